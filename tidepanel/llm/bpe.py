@@ -20,35 +20,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words a worker remembers in each of two generations.
-MEMORY_WORDS = 350_000
+#: Words a worker remembers at most between groups of texts.
+MEMORY_WORDS = 600_000
 
 #: Words coded by one query, and tokens decoded by one, to bound DuckDB's memory.
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 60_000, 2_000_000
 
-# A pair's key holds its rank above its position, so the least key of a word is its leftmost pair of
-# minimum rank. The row that starts that pair takes the merged id, the row after it goes, and the rows
-# that see a new neighbour look up their pairs anew. A word without pairs leaves with done set.
+# A row is a token: its word's number and its place in the word are the halves of wp, and key is the
+# rank of the pair that it starts, above its place. So the least key of a word is its leftmost pair of
+# minimum rank. That row takes the merged id, the row after it goes and the later ones move up; the
+# word's rows then look up their pairs anew. A word without pairs leaves with done set.
 _ENCODE = """
-WITH RECURSIVE state(word, pos, id, key, done) AS (
-    SELECT word, pos, id, rank::BIGINT * 4294967296 + pos, false
-    FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS beside FROM start)
-    LEFT JOIN merges ON pair = id::BIGINT * 4294967296 + beside
+WITH RECURSIVE
+first AS MATERIALIZED (SELECT word::BIGINT * 4294967296 + pos AS wp, id FROM start),
+state(wp, id, key, done) AS (
+    SELECT a.wp, a.id, rank::BIGINT * 4294967296 + (a.wp & 4294967295), false
+    FROM first a LEFT JOIN first b ON b.wp = a.wp + 1 LEFT JOIN merges ON pair = a.id::BIGINT * 4294967296 + b.id
   UNION ALL
-    SELECT word, pos, new_id, rank::BIGINT * 4294967296 + pos, best IS NULL
-    FROM (
-        SELECT word, pos, best,
-               CASE WHEN key = best THEN (best // 4294967296)::INTEGER ELSE id END AS new_id,
-               CASE WHEN best IS NULL THEN NULL WHEN key = best THEN id_2 WHEN key_1 = best THEN (best // 4294967296)::INTEGER ELSE id_1 END AS beside
-        FROM (
-            SELECT word, pos, id, key, min(key) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
-                   lag(key) OVER w AS before, lead(key) OVER w AS key_1, lead(id) OVER w AS id_1, lead(id, 2) OVER w AS id_2
-            FROM state WHERE NOT done
-            WINDOW w AS (PARTITION BY word ORDER BY pos))
-        WHERE best IS NULL OR before IS DISTINCT FROM best)
-    LEFT JOIN merges ON pair = new_id::BIGINT * 4294967296 + beside
+    (WITH best AS (SELECT wp >> 32 AS word, min(key) AS best, min(key) & 4294967295 AS place FROM state WHERE NOT done GROUP BY 1),
+    cut AS MATERIALIZED (
+        SELECT CASE WHEN key = best THEN (best >> 32)::INTEGER ELSE id END AS id, wp - CASE WHEN (wp & 4294967295) > place THEN 1 ELSE 0 END AS wp, best
+        FROM state JOIN best ON word = wp >> 32
+        WHERE NOT done AND (best IS NULL OR (wp & 4294967295) <> place + 1))
+    SELECT a.wp, a.id, rank::BIGINT * 4294967296 + (a.wp & 4294967295), a.best IS NULL
+    FROM cut a LEFT JOIN cut b ON b.wp = a.wp + 1 AND a.best IS NOT NULL LEFT JOIN merges ON pair = a.id::BIGINT * 4294967296 + b.id)
 )
-SELECT word, id FROM state WHERE done ORDER BY word, pos
+SELECT (wp >> 32)::INTEGER AS word, id FROM state WHERE done ORDER BY wp
 """
 _DECODE = "SELECT text, string_agg(piece, '' ORDER BY pos) AS decoded FROM ids JOIN vocabulary USING (id) GROUP BY text ORDER BY text"
 
@@ -138,17 +135,32 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _Numbers(dict):
+    """word -> its number, in order of first sight; the new ones wait in ``fresh``."""
+
+    def __init__(self, words=()):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Vocabulary:
-    """A coder with its memory of words; one per worker process and file."""
+    """A coder with its memory of words; one per worker process and file.
+
+    The memory is one array of all remembered words' ids with each word's start and length, so
+    that texts turn into ids by array lookups.
+    """
 
     held: dict[tuple[str, str], "Vocabulary"] = {}
 
     def __init__(self, path: str, pattern: str):
-        ranks = load_ranks(path)
-        self.coder, self.split = Coder(ranks), splitter(pattern)
-        self.whole = {w.decode(): (r,) for w, r in ranks.items() if w.isascii()}
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.coder, self.split = Coder(load_ranks(path)), splitter(pattern)
+        self.numbers = _Numbers()
+        self.pool, self.size = np.empty(0, np.int32), np.empty(0, np.int64)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "Vocabulary":
@@ -159,16 +171,28 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, all their new words coded together."""
         cut = [self.split(t) for t in texts]
-        words = set().union(*cut) if cut else set()
-        known = {w: ids for w in words if (ids := self.whole.get(w) or self.new.get(w) or self.old.get(w)) is not None}
-        if fresh := [w for w in words if w not in known]:
-            known |= zip(fresh, (tuple(x.tolist()) for x in self.coder.encode_words([w.encode("utf-8", "surrogatepass") for w in fresh])), strict=True)
-        for w, ids in known.items():
-            if len(w) < 64:
-                self.new[w] = ids
-        if len(self.new) > MEMORY_WORDS:
-            self.old, self.new = self.new, {}
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, c)), np.int32) for c in cut]
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        word = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(count.sum()))
+        if self.numbers.fresh:
+            coded = self.coder.encode_words([w.encode("utf-8", "surrogatepass") for w in self.numbers.fresh])
+            self.pool = np.concatenate([self.pool, *coded])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, coded), np.int64, len(coded))])
+            self.numbers.fresh = []
+        begin, size = np.cumsum(self.size) - self.size, self.size[word]
+        end = np.cumsum(size)
+        ids = self.pool[np.repeat(begin[word] - (end - size), size) + np.arange(int(size.sum()))]
+        ends = np.r_[0, end][np.cumsum(count)]
+        if len(self.numbers) > MEMORY_WORDS:
+            self._keep(np.unique(word), begin)
+        return np.split(ids, ends[:-1]) if len(texts) else []
+
+    def _keep(self, used: np.ndarray, begin: np.ndarray) -> None:
+        """Forget all words but those of the last texts, which are the frequent ones; with too many of them, all."""
+        used = used if len(used) < MEMORY_WORDS // 2 else used[:0]
+        size = self.size[used]
+        at = np.repeat(begin[used] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        words = np.array(list(self.numbers), object)[used]
+        self.numbers, self.pool, self.size = _Numbers(words), self.pool[at], size
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         return self.coder.decode(ids)

@@ -13,6 +13,7 @@ complete join then only looks at pairs that are not connected yet, so no group's
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ LEADER_ORDERS, LEADER_AGREE = 8, 3
 FILTER_ORDERS = 2
 #: Bins of the token counts (a byte each per task): fixed, whatever the corpus.
 COUNT_BITS = 22
+#: Hash cells of a set's own token counts; a power of two.
+CELLS = 256
+#: A join side of two longs is broadcast up to so many rows (some 50 MB as a hash table); beyond that it is shuffled.
+BROADCAST_ROWS = 1_000_000
 _WORDS = 300_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -42,33 +47,65 @@ def mixed(h: np.ndarray, order: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """word -> 64-bit hash; emptied between groups of texts when it has grown large."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
-    """text -> sorted distinct 64-bit hashes of its word n-grams."""
+    """Texts -> distinct 64-bit hashes of their word n-grams, sorted, all texts in one array."""
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width, self.known = width, _Hashes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, bounds): text i has tokens[bounds[i]:bounds[i + 1]]."""
         # bytes.lower() and bytes.split() know ASCII only: A-Z, and the six white-space bytes
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > _WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.width, len(words))
+        cut = [t.encode("utf-8", "surrogatepass").lower().split() if t else () for t in texts]
+        if len(self.known) > _WORDS:
+            self.known.clear()
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        h = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.uint64, int(n.sum()))
+        starts = np.cumsum(n) - n
+        out = self._join(h, self.width)
+        count = np.where(n >= self.width, n - self.width + 1, np.minimum(n, 1))
+        bounds = np.r_[0, np.cumsum(count)]
+        tokens = out[np.repeat(starts - bounds[:-1], count) + np.arange(bounds[-1])]
+        for i in np.flatnonzero((n > 0) & (n < self.width)):
+            tokens[bounds[i]] = self._join(h[starts[i] : starts[i] + n[i]], int(n[i]))[0] ^ np.uint64(n[i])
+        tokens = mixed(tokens, 0)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            tokens[a:b].sort()
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        new[bounds[:-1][count > 0]] = True
+        return tokens[new], np.r_[0, np.cumsum(new)][bounds]
+
+    @staticmethod
+    def _join(h: np.ndarray, width: int) -> np.ndarray:
+        """At each place a hash of ``width`` words from there on; the last places' are of no use."""
+        out = h.copy()
         with np.errstate(over="ignore"):
-            out = h[: len(h) - n + 1].copy()
-            for i in range(1, n):
+            for i in range(1, width):
                 out *= _K[0]
                 out ^= out >> np.uint64(29)
-                out += h[i : len(h) - n + 1 + i]
-            if n < self.width:
-                out += np.uint64(n) * _K[2]
-        return np.unique(mixed(out, 0))
+                out[:-i] += h[i:]
+        return out
+
+
+def groups(texts: list, chars: int = 4_000_000) -> Iterator[slice]:
+    """Runs of texts of about so many characters; a longer text is alone."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > chars:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t or "")
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def wanted(n: int, percent: int) -> int:
@@ -76,12 +113,16 @@ def wanted(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first n - wanted + 1 tokens under an order: rarer levels first, then by the order's mix."""
+def order_keys(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """Numbers that sort tokens in a global order: rarer levels first, then by the order's mix."""
+    return (levels[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(tokens, order) >> np.uint64(6))
+
+
+def prefix(tokens: np.ndarray, keys: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - wanted + 1 tokens in the order that ``keys`` give."""
     n = len(tokens)
-    key = (levels[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(tokens, order) >> np.uint64(6))
     size = n - wanted(n, percent) + 1
-    return tokens[np.argpartition(key, size - 1)[:size]] if size < n else tokens
+    return tokens[np.argpartition(keys, size - 1)[:size]] if size < n else tokens
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -89,31 +130,49 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, s1, s2, firsts, counts): set size, set signature, first token of each leader order.
+    """(doc_id, n, s1, s2, firsts, spread, counts) of every row.
 
-    Each task's last row has only counts: its tokens by bin, 255 at most in a bin.
+    Set size, set signature, the least mix of each leader order, and the set's tokens by hash cell
+    (a byte each). Each task's last row has only counts: its tokens by bin, 255 at most in a bin.
     """
+    names = ["doc_id", "n", "s1", "s2", "firsts", "spread", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(width), np.zeros(1 << COUNT_BITS, np.uint8)
-        names = ["doc_id", "n", "s1", "s2", "firsts", "counts"]
         for batch in batches:
-            n, s1, s2, firsts, waiting = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                t = shingles(text)
-                n.append(len(t))
-                s1.append(int(np.add.reduce(mixed(t, 101)).view(np.int64)) if len(t) else 0)
-                s2.append(int(np.bitwise_xor.reduce(mixed(t, 102)).view(np.int64)) if len(t) else 0)
-                firsts.append([int(t[np.argmin(mixed(t, k + 1))].view(np.int64)) for k in range(LEADER_ORDERS)] if len(t) else [])
-                waiting.append(t)
-            bins, add = np.unique(np.concatenate(waiting) >> np.uint64(64 - COUNT_BITS), return_counts=True)
-            bins = bins.astype(np.int64)
-            counts[bins] = np.minimum(counts[bins] + add, 255)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.nulls(len(n), pa.binary())], names=names)
+            texts = batch.column(1).to_pylist()
+            for part in groups(texts):
+                tokens, bounds = shingles(texts[part])
+                n = np.diff(bounds)
+                full, begin = n > 0, bounds[:-1][n > 0]
+                s1, s2 = np.zeros((2, len(n)), np.uint64)
+                firsts = np.zeros((len(n), LEADER_ORDERS), np.uint64)
+                cells = np.bincount(np.repeat(np.arange(len(n)), n) * CELLS + (tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(n) * CELLS)
+                if len(begin):
+                    s1[full] = np.add.reduceat(mixed(tokens, 101), begin)
+                    s2[full] = np.bitwise_xor.reduceat(mixed(tokens, 102), begin)
+                    for k in range(LEADER_ORDERS):
+                        firsts[full, k] = np.minimum.reduceat(mixed(tokens, k + 1), begin)
+                    add = np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+                    counts = np.minimum(counts + add, 255).astype(np.uint8)
+                spread = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0)[part],
+                        pa.array(n, pa.int64()),
+                        pa.array(s1.view(np.int64)),
+                        pa.array(s2.view(np.int64)),
+                        pa.FixedSizeListArray.from_arrays(firsts.ravel().view(np.int64), LEADER_ORDERS).cast(pa.list_(pa.int64())),
+                        pa.array([r.tobytes() for r in spread], pa.binary()),
+                        pa.nulls(len(n), pa.binary()),
+                    ],
+                    names=names,
+                )
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(),) * 4 + (pa.list_(pa.int64()),)] + [pa.array([counts.tobytes()], pa.binary())], names=names)
+            empty = [pa.nulls(1, t) for t in (*(pa.int64(),) * 4, pa.list_(pa.int64()), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    return _documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, counts binary")
+    return _documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, spread binary, counts binary")
 
 
 def _levels(profiles: DataFrame) -> np.ndarray:
@@ -144,29 +203,62 @@ def _leader_pairs(classes: DataFrame) -> DataFrame:
     return firsts.join(met, ["k", "token"]).where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("orders")).where(F.col("orders") >= LEADER_AGREE).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
 
 
+def _beside(pairs: DataFrame, ids: DataFrame, value: str) -> DataFrame:
+    """(a, b, left, right): the pairs with the value of each end."""
+    one, two = (ids.select(F.col("id").alias(end), F.col(value).alias(name)) for end, name in (("a", "left"), ("b", "right")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+
+
+def _compared(met: DataFrame, good) -> DataFrame:
+    """The (a, b) whose left and right bytes pass ``good``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("left"), batch.column("right")
+            keep = pa.array([good(x.as_buffer(), y.as_buffer()) for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _could_be(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose tokens by cell leave room for enough shared ones.
+
+    Sets share no more in a cell than the smaller has there, so the sum of these minima bounds
+    what they share; a cell that is full to 255 in both bounds nothing.
+    """
+
+    def good(x, y) -> bool:
+        x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+        least = np.minimum(x, y)
+        if (least == 255).any():
+            return True
+        most = int(least.sum())
+        # nx and ny are exact where no cell is full; a full cell's set is larger, which is checked later
+        return bool((x == 255).any() or (y == 255).any()) or 100 * most >= percent * (int(x.sum()) + int(y.sum()) - most)
+
+    return _compared(_beside(pairs, classes.select(F.col("rep").alias("id"), "spread"), "spread"), good)
+
+
+def _bounded(side: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has few enough rows of two longs; else it is joined by a shuffle."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, levels, width: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough. A pair goes to its first document's set, then to its second's."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "tokens"])
-
-    sets = durable(_documents(docs).join(ends, "doc_id", "left_semi").mapInArrow(shingle, "id long, tokens binary"))
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("right")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = levels.value
-        for batch in batches:
-            a, b, good = batch.column("a"), batch.column("b"), []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                good.append(_similar(x, y, rarity, percent))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+            texts = batch.column(1).to_pylist()
+            for part in groups(texts):
+                tokens, bounds = shingles(texts[part])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "tokens"])
 
-    return met.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    sets = _documents(docs).join(_bounded(ends), "doc_id", "left_semi").mapInArrow(shingle, "id long, tokens binary")
+    return _compared(_beside(pairs, durable(sets), "tokens"), lambda x, y: _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), levels.value, percent))
 
 
 def _similar(x: np.ndarray, y: np.ndarray, rarity: np.ndarray, percent: int) -> bool:
@@ -174,7 +266,8 @@ def _similar(x: np.ndarray, y: np.ndarray, rarity: np.ndarray, percent: int) ->
     if not small or 100 * small < percent * large:
         return False
     for order in range(2, 2 + FILTER_ORDERS):
-        if not len(np.intersect1d(prefix(x, rarity, order, percent), prefix(y, rarity, order, percent), assume_unique=True)):
+        first, second = (prefix(t, order_keys(t, rarity, order), percent) for t in (x, y))
+        if not len(np.intersect1d(first, second, assume_unique=True)):
             return False
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * shared >= percent * (small + large - shared)
@@ -223,18 +316,18 @@ def _remaining_pairs(docs: DataFrame, classes: DataFrame, levels, width: int, pe
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, rarity = Shingler(width), levels.value
         for batch in batches:
-            out = [[], [], [], []]
-            for rep, comp, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "comp", "text")), strict=True):
-                t = shingles(text)
-                p = prefix(t, rarity, 1, percent)
-                for to, v in zip(out, (p, np.full(len(p), rep), np.full(len(p), comp), np.full(len(p), len(t), np.int32)), strict=True):
-                    to.append(v)
-            token, rep, comp, n = map(np.concatenate, out)
-            for i in range(0, len(token), 200_000):
-                s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_pydict({"token": token[s].view(np.int64), "rep": rep[s], "comp": comp[s], "n": n[s].astype(np.int32)})
-
-    rows = _documents(docs).join(classes.select(F.col("rep").alias("doc_id"), "rep", "comp"), "doc_id").select("rep", "comp", "text").mapInArrow(emit, "token long, rep long, comp long, n int")
+            reps, comps, texts = np.asarray(batch.column("rep")), np.asarray(batch.column("comp")), batch.column("text").to_pylist()
+            for part in groups(texts):
+                tokens, bounds = shingles(texts[part])
+                keys, n = order_keys(tokens, rarity, 1), np.diff(bounds)
+                found = [prefix(tokens[a:b], keys[a:b], percent) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                size = np.fromiter(map(len, found), np.int64, len(found))
+                columns = [np.concatenate(found).view(np.int64), np.repeat(reps[part], size), np.repeat(comps[part], size), np.repeat(n, size).astype(np.int32)]
+                for i in range(0, len(columns[0]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000]) for c in columns], names=["token", "rep", "comp", "n"])
+
+    chosen = _bounded(classes.select(F.col("rep").alias("doc_id"), "rep", "comp"))
+    rows = _documents(docs).join(chosen, "doc_id").select("rep", "comp", "text").mapInArrow(emit, "token long, rep long, comp long, n int")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32)]
@@ -272,14 +365,14 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     profiles = durable(_profiles(docs, width))
     levels = spark.sparkContext.broadcast(_levels(profiles))  # 2**COUNT_BITS bytes, whatever the corpus
-    rows = profiles.where("counts is null").select("doc_id", "n", "s1", "s2", "firsts")
-    members = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"))
+    rows = profiles.where("counts is null").select("doc_id", "n", "s1", "s2", "firsts", "spread")
+    members = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"), F.first("spread").alias("spread"))
     classes = durable(members)
     leaders = durable(_leader_pairs(classes))
     links = durable(_verified(docs, leaders, levels, width, percent))
     near = connected(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     placed = durable(classes.select("rep").distinct().join(near, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")))
-    rest = durable(_remaining_pairs(docs, placed, levels, width, percent))
+    rest = durable(_could_be(_remaining_pairs(docs, placed, levels, width, percent), classes, percent))
     more = durable(_verified(docs, rest, levels, width, percent))
     joined = connected(more.unionByName(placed.where("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))))
     final = placed.select("rep").join(joined.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component_id"))

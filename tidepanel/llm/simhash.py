@@ -31,23 +31,26 @@ def _one(bit: int) -> Column:
     return F.lit(value if value < 1 << 63 else value - (1 << 64)).cast("long")
 
 
-def votes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, bits): the fingerprint of ``text`` for each row, as a long; 0 without words.
+def votes(rows: DataFrame, keys: list[str], text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, carry, bits): the fingerprint of ``text`` for each row, as a long; 0 without words.
 
     ``keys`` tell the rows apart; where the input is dealt out by some of them nothing is shuffled.
+    ``carry`` are long columns that come along: read at a text's first term, so that neither keys
+    grow nor a join has to bring them back.
     """
     words = F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = rows.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("_h"))
-    terms = hashed.select(*keys, F.transform("_h", lambda h, i: F.xxhash64(h, *[F.get("_h", i + k) for k in range(1, WIDTH)])).alias("_t"))
+    hashed = rows.select(*keys, *carry, F.transform(words, lambda w: F.xxhash64(w)).alias("_h"))
+    terms = hashed.select(*keys, *carry, F.transform("_h", lambda h, i: F.xxhash64(h, *[F.get("_h", i + k) for k in range(1, WIDTH)])).alias("_t"))
     # outer: a plain explode makes the optimizer test the array's size below the projections, inlining all of the above
-    single = terms.select(*keys, F.posexplode_outer("_t").alias("_p", "_t")).withColumn("_c", F.shiftright("_p", CHUNK_SHIFT))
+    single = terms.select(*keys, *carry, F.posexplode_outer("_t").alias("_p", "_t")).withColumn("_c", F.shiftright("_p", CHUNK_SHIFT))
+    first = F.coalesce("_p", F.lit(0)) == 0
     packed = single.groupBy(*keys, "_c").agg(
-        F.count("_t").alias("_n"), *[F.sum(F.shiftrightunsigned("_t", i).bitwiseAND(F.lit(LANE_MASK))).alias(f"_s{i}") for i in range(LANES)]
+        F.count("_t").alias("_n"), *[F.max(F.when(first, F.col(c))).alias(c) for c in carry], *[F.sum(F.shiftrightunsigned("_t", i).bitwiseAND(F.lit(LANE_MASK))).alias(f"_s{i}") for i in range(LANES)]
     )
     count = {i + LANES * lane: F.shiftrightunsigned(f"_s{i}", LANE_BITS * lane).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) for i in range(LANES) for lane in range(4)}
-    summed = packed.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_b{b}") for b, c in count.items()])
+    summed = packed.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[F.max(c).alias(c) for c in carry], *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_b{b}") for b, c in count.items()])
     bits = [F.when(F.col(f"_b{b}") * 2 > F.col("_n"), _one(b)).otherwise(F.lit(0).cast("long")) for b in range(BITS)]
-    return summed.select(*keys, reduce(Column.bitwiseOR, bits).alias("bits"))
+    return summed.select(*keys, *carry, reduce(Column.bitwiseOR, bits).alias("bits"))
 
 
 def shown(bits: Column) -> Column:
@@ -80,13 +83,16 @@ def near_links(points: DataFrame) -> DataFrame:
     What is still unconnected goes through the block tables: 3 differing bits leave two of five
     blocks equal. Buckets of a single component have nothing to find and are left out.
     """
+    # the table is small by now, and adaptive execution has packed it into few partitions: deal it out before it grows
+    wide = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = points.repartition(wide, "bits")
     variants = F.array(F.col("bits"), *[F.col("bits").bitwiseXOR(_one(b)) for b in range(BITS)])
     filed = points.select("bits", F.explode(variants).alias("at"))
     least = filed.groupBy("at").agg(F.min("bits").alias("b"), F.max("bits").alias("most")).where("b <> most").select("at", "b")
     stars = durable(filed.join(least, "at").where("bits <> b").select(F.col("bits").alias("a"), "b").distinct())
     close = components(stars)
     placed = points.join(close.withColumnRenamed("node", "bits"), "bits", "left").select("bits", F.coalesce("component", "bits").alias("comp"))
-    tables = durable(placed).select("bits", "comp", F.explode(F.array(*_table_keys(F.col("bits")))).alias("key")).select("bits", "comp", "key.*")
+    tables = durable(placed).repartition(wide, "bits").select("bits", "comp", F.explode(F.array(*_table_keys(F.col("bits")))).alias("key")).select("bits", "comp", "key.*")
     keys = ["table", "one", "two"]
     live = tables.groupBy(*keys).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(*keys)
     active = tables.join(live, keys, "left_semi")
@@ -144,14 +150,16 @@ def digest(docs: DataFrame) -> DataFrame:
     """
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     rows = _beside(docs).withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third)))
-    both = rows.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("e")).select("bucket", "rn", "e.*")
-    voted = votes(both, ["bucket", "rn", "kind"], "text")
-    zero = F.lit(0).cast("long")
-    pairs = voted.groupBy("bucket", "rn").agg(F.max(F.when(F.col("kind") == 0, F.col("bits"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("bits"))).alias("changed"))
-    facts = rows.select("bucket", "rn", "guard", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    sha = F.sha2("edited", 256)
+    quarters = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"q{i}") for i in range(4)]
+    facts = ("doc_id", "n_chars", "guarding", "q0", "q1", "q2", "q3")
+    rows = rows.select("bucket", "rn", "doc_id", "n_chars", F.col("guard").cast("long").alias("guarding"), *quarters, "text", "edited")
+    both = rows.select("bucket", "rn", *facts, F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("e")).select("bucket", "rn", *facts, "e.*")
+    voted = votes(both, ["bucket", "rn", "kind"], "text", facts)
+    joined = voted.groupBy("bucket", "rn").agg(*[F.max(c).alias(c) for c in facts], F.max(F.when(F.col("kind") == 0, F.col("bits"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("bits"))).alias("changed"))
     w = Window.partitionBy("bucket").orderBy("rn")
-    joined = facts.join(pairs, ["bucket", "rn"], "left").select("bucket", "rn", "guard", "doc_id", "n_chars", "edited_sha256", F.coalesce("own", zero).alias("own"), F.coalesce("changed", zero).alias("changed"))
-    done = durable(joined.withColumn("after", F.lead("own").over(w)).where(~F.col("guard")))
+    joined = joined.withColumn("edited_sha256", F.lower(F.concat(*[F.lpad(F.hex(f"q{i}"), 16, "0") for i in range(4)])))
+    done = durable(joined.withColumn("after", F.lead("own").over(w)).where("guarding = 0").select("doc_id", "n_chars", "edited_sha256", "own", "changed", "after"))
     classes = near_classes(done.select(F.col("own").alias("bits"), "doc_id"))
     return done.join(classes.withColumnRenamed("bits", "own"), "own", "left").select(
         "doc_id",
