@@ -73,6 +73,15 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity:
 def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """[(sequences, lengths)]: patterns that pack all ``counts`` (length -> pieces).
 
+    Small pieces that are spent early are missed later, so it's done twice, replacing whenever two
+    fit better and only when they fill the gap whole; the plan with fewer sequences is taken.
+    """
+    return min((_two_fit(counts, capacity, whole) for whole in (False, True)), key=lambda made: sum(times for times, _ in made))
+
+
+def _two_fit(counts: dict[int, int], capacity: int, only_whole: bool) -> list[tuple[int, list[int]]]:
+    """One pass of the heuristic.
+
     A sequence is filled greedily: the largest piece left, then again and again the largest that
     fits. Then its smallest piece is replaced by the two unpacked pieces that fill the widened gap
     best, if they fill it better. The same sequence is made as often as its lengths last; so a
@@ -102,7 +111,7 @@ def best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             single = (mate == first) & (have[first] < 2)
             mate = np.where(single, largest[np.maximum(first - 1, 0)], mate)
             both = np.where(mate > 0, first + mate, 0)
-            if len(both) and both.max() > smallest:
+            if len(both) and both.max() > smallest and (both.max() == room or not only_whole):
                 i = int(both.argmax())
                 chosen[-1:] = sorted((int(first[i]), int(mate[i])), reverse=True)
         need = np.bincount(chosen, minlength=capacity + 1)
