@@ -32,6 +32,8 @@ FILTER_ORDERS = 2
 COUNT_BITS = 22
 #: Hash cells of a set's own token counts; a power of two.
 CELLS = 256
+#: Cells of the counts that travel with each prefix token, kept modulo 16 in half a byte each.
+ROW_CELLS = 64
 #: A join side of two longs is broadcast up to so many rows (some 50 MB as a hash table); beyond that it is shuffled.
 BROADCAST_ROWS = 1_000_000
 _WORDS = 300_000
@@ -273,8 +275,25 @@ def _similar(x: np.ndarray, y: np.ndarray, rarity: np.ndarray, percent: int) ->
     return 100 * shared >= percent * (small + large - shared)
 
 
-def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes of one token, different components and fitting sizes; rows are sorted by token."""
+def half_bytes(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each set's tokens by cell modulo 16, two cells in a byte."""
+    sets = len(bounds) - 1
+    cell = np.repeat(np.arange(sets), np.diff(bounds)) * ROW_CELLS + ((tokens >> np.uint64(8)) & np.uint64(ROW_CELLS - 1)).astype(np.int64)
+    counts = (np.bincount(cell, minlength=sets * ROW_CELLS) & 15).astype(np.uint8).reshape(sets, ROW_CELLS)
+    return counts[:, ::2] | (counts[:, 1::2] << 4)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At least so many tokens are in one set of each pair only: counts modulo 16 are no further apart than counts."""
+    total = np.zeros(len(x), np.int64)
+    for shift in (0, 4):
+        d = ((x >> shift) - (y >> shift)) & 15
+        total += np.minimum(d, 16 - d).sum(1, dtype=np.int64)
+    return total
+
+
+def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, cells: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of one token, different components, fitting sizes and counts; rows are sorted by token."""
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
     mixed_up = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
@@ -283,8 +302,13 @@ def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.nda
 
     def fits(i, j):
         ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        left.append(rep[i[ok]])
-        right.append(rep[j[ok]])
+        i, j = i[ok], j[ok]
+        for k in range(0, len(i), 100_000):
+            x, y = i[k : k + 100_000], j[k : k + 100_000]
+            both, only = n[x].astype(np.int64) + n[y], apart(cells[x], cells[y])
+            good = 100 * (both - only) >= percent * (both + only)
+            left.append(rep[x[good]])
+            right.append(rep[y[good]])
 
     rows = np.flatnonzero(np.repeat(few, sizes))
     room = np.repeat(starts + sizes, sizes)[rows]  # the end of each row's group
@@ -310,6 +334,13 @@ def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.nda
     return np.maximum(a, b), np.minimum(a, b)
 
 
+def _fixed(column: pa.Array) -> np.ndarray:
+    """A binary column whose values are all ROW_CELLS / 2 bytes, as rows of bytes."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, ROW_CELLS // 2)
+
+
 def _remaining_pairs(docs: DataFrame, classes: DataFrame, levels, width: int, percent: int) -> DataFrame:
     """(a, b): all pairs of classes that share a prefix token and are not connected yet."""
 
@@ -323,14 +354,17 @@ def _remaining_pairs(docs: DataFrame, classes: DataFrame, levels, width: int, pe
                 found = [prefix(tokens[a:b], keys[a:b], percent) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 size = np.fromiter(map(len, found), np.int64, len(found))
                 columns = [np.concatenate(found).view(np.int64), np.repeat(reps[part], size), np.repeat(comps[part], size), np.repeat(n, size).astype(np.int32)]
+                cells = np.repeat(half_bytes(tokens, bounds), size, axis=0)
                 for i in range(0, len(columns[0]), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000]) for c in columns], names=["token", "rep", "comp", "n"])
+                    wide = np.ascontiguousarray(cells[i : i + 200_000])
+                    bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ROW_CELLS // 2), len(wide), [None, pa.py_buffer(wide)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 200_000]) for c in columns), bytes_], names=["token", "rep", "comp", "n", "cells"])
 
     chosen = _bounded(classes.select(F.col("rep").alias("doc_id"), "rep", "comp"))
-    rows = _documents(docs).join(chosen, "doc_id").select("rep", "comp", "text").mapInArrow(emit, "token long, rep long, comp long, n int")
+    rows = _documents(docs).join(chosen, "doc_id").select("rep", "comp", "text").mapInArrow(emit, "token long, rep long, comp long, n int, cells binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32)]
+        held = [*(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32)), np.empty((0, ROW_CELLS // 2), np.uint8)]
 
         def found(columns):
             a, b = _cross_pairs(*columns, percent)
@@ -339,9 +373,10 @@ def _remaining_pairs(docs: DataFrame, classes: DataFrame, levels, width: int, pe
                 yield pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
 
         for batch in batches:
-            columns = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
-            if not len(columns[0]):
+            if not batch.num_rows:
                 continue
+            new = [*(np.asarray(batch.column(i)) for i in range(4)), _fixed(batch.column(4))]
+            columns = [np.concatenate(pair) for pair in zip(held, new, strict=True)]
             last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last token may go on in the next batch
             if last:
                 yield from found([c[:last] for c in columns])
