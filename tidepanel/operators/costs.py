@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-OWN = Window.partitionBy("stock_id").orderBy("date")
+def own_rows():
+    return Window.partitionBy("stock_id").orderBy("date")
 
 
 def last_rows(n: int):
-    return OWN.rowsBetween(-(n - 1), 0)
+    return own_rows().rowsBetween(-(n - 1), 0)
 
 
 def weighted_cost(net: str, price: Column, n: int) -> Column:
@@ -39,7 +40,7 @@ def range_position(n: int) -> Column:
 
 
 def row_change(n: int) -> Column:
-    return F.col("close") / F.lag("close", n).over(OWN) - 1
+    return F.col("close") / F.lag("close", n).over(own_rows()) - 1
 
 
 def deviation_bucket(x: Column) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 NETS = ("foreign_net", "trust_net", "dealer_net", "total_net")
-BY_DATE = Window.partitionBy("stock_id").orderBy("idx")
+def by_date():
+    return Window.partitionBy("stock_id").orderBy("idx")
 
 
 def trailing(n: int):
-    return BY_DATE.rowsBetween(-(n - 1), 0)
+    return by_date().rowsBetween(-(n - 1), 0)
 
 
 def flow_share(net: str, n: int) -> Column:
@@ -27,9 +28,9 @@ def buy_day_ratio(net: str, n: int) -> Column:
 def signed_streak(panel: DataFrame, net: str) -> DataFrame:
     """The panel with ``streak``: +n on the nth consecutive day of buying, -n of selling, 0 else."""
     sign = F.signum(net).cast("int")
-    starts = F.when(sign == F.lag(sign).over(BY_DATE), 0).otherwise(1)
+    starts = F.when(sign == F.lag(sign).over(by_date()), 0).otherwise(1)
     island = panel.withColumn("_sign", sign).withColumn("_starts", starts)
-    island = island.withColumn("_island", F.sum("_starts").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)))
+    island = island.withColumn("_island", F.sum("_starts").over(by_date().rowsBetween(Window.unboundedPreceding, 0)))
     place = F.row_number().over(Window.partitionBy("stock_id", "_island").orderBy("idx"))
     return island.withColumn("streak", (place * F.col("_sign")).cast("long")).drop("_sign", "_starts", "_island")
 
@@ -61,7 +62,7 @@ def liquidity(panel: DataFrame, least_money: float, days: int = 20, least_normal
         .withColumn("normal_days", F.sum(F.when(valid_signal(), 1).otherwise(0)).over(w))
         .withColumn("median_money", F.percentile("money", F.lit(0.5)).over(w))
         .withColumn("zero_run", longest_zero_run("volume", days))
-        .withColumn("entry_ready", F.coalesce(F.lead("open").over(BY_DATE) > 0, F.lit(False)))
+        .withColumn("entry_ready", F.coalesce(F.lead("open").over(by_date()) > 0, F.lit(False)))
         .withColumn("liquid", (F.col("history") == days) & (F.col("normal_days") >= least_normal) & (F.col("median_money") >= least_money) & (F.col("zero_run") < most_zeros))
     )
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DAY = Window.partitionBy("date")
+def same_day():
+    return Window.partitionBy("date")
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -16,18 +17,18 @@ def average_rank(value: str, by: list[str]) -> Column:
 
 def percentile_share(value: str) -> Column:
     """Average rank over the day's count times 100: (0, 100]."""
-    return average_rank(value, ["date"]) / F.count("*").over(DAY) * 100
+    return average_rank(value, ["date"]) / F.count("*").over(same_day()) * 100
 
 
 def percentile_span(value: str) -> Column:
     """100 * (average rank - 1) / (n - 1); 50 where the day has one."""
-    n = F.count("*").over(DAY)
+    n = F.count("*").over(same_day())
     return F.when(n == 1, 50.0).otherwise(100 * (average_rank(value, ["date"]) - 1) / F.nullif(n - 1, F.lit(0)))
 
 
 def percentile_first(value: str) -> Column:
     """As the span, but equal values are ranked by stock_id; 100 where the day has one."""
-    n, place = F.count("*").over(DAY), F.row_number().over(DAY.orderBy(value, "stock_id"))
+    n, place = F.count("*").over(same_day()), F.row_number().over(same_day().orderBy(value, "stock_id"))
     return F.when(n <= 1, 100.0).otherwise(100.0 * (place - 1) / F.nullif(n - 1, F.lit(0)))
 
 
@@ -41,16 +42,16 @@ def floored_group(p: Column, groups: int) -> Column:
 
 def daily_rank(value: str) -> Column:
     """1 is the highest; equal values by stock_id."""
-    return F.row_number().over(DAY.orderBy(F.desc(value), "stock_id"))
+    return F.row_number().over(same_day().orderBy(F.desc(value), "stock_id"))
 
 
 def whole_days(scores: DataFrame, least: int) -> DataFrame:
     """Rows of dates that have ``least`` rows at least."""
-    return scores.withColumn("n_stocks", F.count("*").over(DAY)).where(F.col("n_stocks") >= least)
+    return scores.withColumn("n_stocks", F.count("*").over(same_day())).where(F.col("n_stocks") >= least)
 
 
 def excess(value: str) -> Column:
-    return F.col(value) - F.avg(value).over(DAY)
+    return F.col(value) - F.avg(value).over(same_day())
 
 
 def daily_spread(scores: DataFrame, p: str, value: str, band: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.operators.features import BY_DATE
+from tidepanel.operators.features import by_date
 
 #: Which action's reference price wins on a day with several, and how far others may differ.
 PRIORITY = {"par_value_change": 4, "split": 3, "capital_reduction": 2, "dividend": 1}
@@ -47,7 +47,7 @@ def forward_returns(panel: DataFrame, actions: DataFrame, horizon: int, last_dat
     frame is ``horizon`` rows of the dense panel, so no task holds more than that per row.
     ``last_dates`` (stock_id, last_date) are days from which on a security is not traded any more.
     """
-    window = BY_DATE.rowsBetween(1, horizon)
+    window = by_date().rowsBetween(1, horizon)
     close = F.when(F.col("close") > 0, F.col("close"))
     joined = panel.join(resolved_actions(actions), ["stock_id", "date"], "left").withColumn("_close", close)
     day = F.struct("idx", "date", "open", F.col("_close").alias("close"), "reference", "action_types", "conflict")

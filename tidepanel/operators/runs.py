@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BY_IDX = Window.partitionBy("stock_id").orderBy("idx")
+def by_idx():
+    return Window.partitionBy("stock_id").orderBy("idx")
 
 
 def runs(scores: DataFrame, score: str, threshold: float) -> DataFrame:
@@ -14,7 +15,7 @@ def runs(scores: DataFrame, score: str, threshold: float) -> DataFrame:
 
     Rows of one run have consecutive market-day numbers; a missing day ends it.
     """
-    high = scores.where(F.col(score) >= threshold).withColumn("_island", F.col("idx") - F.row_number().over(BY_IDX))
+    high = scores.where(F.col(score) >= threshold).withColumn("_island", F.col("idx") - F.row_number().over(by_idx()))
     island = Window.partitionBy("stock_id", "_island")
     return high.withColumns(
         {
@@ -28,11 +29,11 @@ def runs(scores: DataFrame, score: str, threshold: float) -> DataFrame:
 
 def score_days_ago(score: str, days: int) -> Column:
     """The score just so many market days ago, null if that day is missing: days, not rows."""
-    return F.first(score).over(BY_IDX.rangeBetween(-days, -days))
+    return F.first(score).over(by_idx().rangeBetween(-days, -days))
 
 
 def score_days_ahead(score: str, days: int) -> Column:
-    return F.first(score).over(BY_IDX.rangeBetween(days, days))
+    return F.first(score).over(by_idx().rangeBetween(days, days))
 
 
 def cooled(events: DataFrame, days: int, after_end: bool) -> DataFrame:

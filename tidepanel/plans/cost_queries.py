@@ -43,7 +43,7 @@ def w20(spark, d):
 
 @query("w19_next_open_and_change", with_ctes(("cells",), f"SELECT stock_id, date, lead(date) OVER w AS next_date, {rq('lead(open) OVER w', 'next_open')}, {rq('close / lag(close, 5) OVER w - 1', 'change_5')}, {rq('close / lag(close, 20) OVER w - 1', 'change_20')} FROM cells WINDOW w AS (PARTITION BY stock_id ORDER BY date)"))
 def w19(spark, d):
-    return cells(spark, d).select("stock_id", "date", F.lead("date").over(X.OWN).alias("next_date"), r(F.lead("open").over(X.OWN), "next_open"), r(X.row_change(5), "change_5"), r(X.row_change(20), "change_20"))
+    return cells(spark, d).select("stock_id", "date", F.lead("date").over(X.own_rows()).alias("next_date"), r(F.lead("open").over(X.own_rows()), "next_open"), r(X.row_change(5), "change_5"), r(X.row_change(20), "change_20"))
 
 
 CTES["risky"] = (("band", "ranked"), "SELECT s.stock_id, s.date, s.year, s.ret, s.pct, deviation FROM ranked s JOIN band b ON b.stock_id = s.stock_id AND b.date = s.date WHERE pct > 60")

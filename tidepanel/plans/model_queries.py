@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.operators import models as M
-from tidepanel.operators.ranking import DAY, average_rank, daily_spread
+from tidepanel.operators.ranking import same_day, average_rank, daily_spread
 from tidepanel.plans.adapter import CTES, with_ctes
 from tidepanel.plans.audit_queries import feats, probs
 from tidepanel.plans.core import query
@@ -19,7 +19,7 @@ FIXED = {"foreign_net_20": (-50.0, 50.0, 1.5, 20.0, 0.3), "trust_net_20": (-40.0
 
 def training(spark, d):
     """Features with the rank target in (0, 1]."""
-    t = scores(spark, d).select("stock_id", "date", "year", F.date_add("date", 70).alias("target_date"), (average_rank("ret", ["date"]) / F.count("*").over(DAY)).alias("target"), "ret")
+    t = scores(spark, d).select("stock_id", "date", "year", F.date_add("date", 70).alias("target_date"), (average_rank("ret", ["date"]) / F.count("*").over(same_day())).alias("target"), "ret")
     return t.join(feats(spark, d).select("stock_id", "date", *NAMES), ["stock_id", "date"])
 
 
@@ -134,10 +134,10 @@ def a31(spark, d):
 
 @query("a50_incremental_return", with_ctes(("panel",), f"SELECT {rq('avg(m)', 'daily_mean')}, sum(n)::BIGINT AS n FROM (SELECT date, avg((1 + b) / (1 + a) - 1) AS m, count(*) AS n FROM (SELECT date, present, lead(close, 5) OVER w / lead(open, 1) OVER w - 1 AS a, lead(close, 20) OVER w / lead(open, 1) OVER w - 1 AS b FROM panel WINDOW w AS (PARTITION BY stock_id ORDER BY idx)) WHERE present AND a IS NOT NULL AND b IS NOT NULL GROUP BY 1)"))
 def a50(spark, d):
-    from tidepanel.operators.features import BY_DATE
+    from tidepanel.operators.features import by_date
     from tidepanel.plans.adapter import panel
 
-    at = lambda k: F.lead("close", k).over(BY_DATE) / F.lead("open", 1).over(BY_DATE) - 1
+    at = lambda k: F.lead("close", k).over(by_date()) / F.lead("open", 1).over(by_date()) - 1
     x = panel(spark, d).select("date", "present", at(5).alias("a"), at(20).alias("b")).where("present and a is not null and b is not null")
     m = x.groupBy("date").agg(F.avg((1 + F.col("b")) / (1 + F.col("a")) - 1).alias("m"), F.count("*").alias("n"))
     return m.agg(r(F.avg("m"), "daily_mean"), F.sum("n").alias("n"))

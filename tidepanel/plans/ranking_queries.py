@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepanel.operators import ranking as R
-from tidepanel.operators.features import BY_DATE, flow_share
+from tidepanel.operators.features import by_date, flow_share
 from tidepanel.plans.adapter import CTES, panel, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq, share_sql
@@ -31,7 +31,7 @@ SELECT *, count(*) OVER (PARTITION BY date) AS n, rank() OVER (PARTITION BY date
 
 def scores(spark, d) -> DataFrame:
     """(stock_id, date, idx, money, score, ret, year): 20-week net flow share and the ten-week return from the next open."""
-    entry, exit_ = F.lead("open", 1).over(BY_DATE), F.lead("close", 10).over(BY_DATE)
+    entry, exit_ = F.lead("open", 1).over(by_date()), F.lead("close", 10).over(by_date())
     out = panel(spark, d).select("stock_id", "date", "idx", "money", "present", flow_share("total_net", 20).alias("score"), F.when((entry > 0) & (exit_ > 0), exit_ / entry - 1).alias("ret"))
     return out.where("present and ret is not null").withColumn("year", F.year("date"))
 
