@@ -44,10 +44,10 @@ def fixed_columns():
     return {n: M.standardised(n, v[:4]) for n, v in FIXED.items()}
 
 
-@query("m13_linear_scores", with_ctes(("feats",), f"SELECT stock_id, date, {rq(_SCORE, 'score')}, " + ", ".join(rq(f"{_z(n)} * ({FIXED[n][4]}::DOUBLE)", f"by_{n}") for n in NAMES) + " FROM feats"))
+@query("m13_linear_scores", with_ctes(("feats",), f"SELECT stock_id, date, {rq(_SCORE, "score", 12)}, " + ", ".join(rq(f"{_z(n)} * ({FIXED[n][4]}::DOUBLE)", f"by_{n}", 12) for n in NAMES) + " FROM feats"))
 def m13(spark, d):
     cols, w = fixed_columns(), [v[4] for v in FIXED.values()]
-    return feats(spark, d).select("stock_id", "date", r(M.linear_score(cols, w, 0.5), "score"), *[r(c, f"by_{n}") for n, c in M.contributions(cols, w).items()])
+    return feats(spark, d).select("stock_id", "date", r(M.linear_score(cols, w, 0.5), "score", 12), *[r(c, f"by_{n}", 12) for n, c in M.contributions(cols, w).items()])
 
 
 @query("m14_softmax_index", with_ctes(("feats",), f", s AS (SELECT stock_id, date, {_SCORE} AS u FROM feats) SELECT stock_id, date, {rq('100 * (exp(u - greatest(u, 0.0)) - exp(-u - greatest(u, 0.0))) / (exp(u - greatest(u, 0.0)) + exp(-greatest(u, 0.0)) + exp(-u - greatest(u, 0.0)))', 'score')} FROM s"))
