@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepanel.functions import parsing as C
-from tidepanel.plans.adapter import CTES, cells, stock_key, table, with_ctes
+from tidepanel.plans.adapter import cells, stock_key, table, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq
 from tidepanel.plans.ranking_queries import ranked
