@@ -284,8 +284,6 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             assert all(r["n_chars"] == len(r["text"]) for r in after.values())
     before, after = seen["toxicity"]
-    from pyspark.sql import Row  # noqa: F401
-
     model = toxicity.train(spark.read.parquet(f"{source}/documents.parquet"), spark.read.parquet(f"{source}/labels.parquet"))
     score = {i: sum(model.weights[f] for w in toxicity.words(r["text"]) for f in toxicity.features(w)) for i, r in before.items()}
     assert after.keys() == {i for i, s in score.items() if model.exceed(np.array([s]))[0, 0] < toxicity.REJECT_AT}

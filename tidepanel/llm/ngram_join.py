@@ -26,17 +26,19 @@ from tidepanel.llm.graph import components as connected
 
 #: Orders whose first token is kept for the leaders, and how many of them must agree on a leader.
 LEADER_ORDERS, LEADER_AGREE = 8, 3
+#: Classes of a large meeting that get a leader of their own in the second round.
+PART = 8
 #: Orders that filter candidates beside the one that finds them.
 FILTER_ORDERS = 2
 #: Bins of the token counts (a byte each per task): fixed, whatever the corpus.
-COUNT_BITS = 22
+COUNT_BITS = 21
 #: Hash cells of a set's own token counts; a power of two.
 CELLS = 256
 #: Cells of the counts that travel with each prefix token, kept modulo 16 in half a byte each.
 ROW_CELLS = 64
 #: A join side of two longs is broadcast up to so many rows (some 50 MB as a hash table); beyond that it is shuffled.
 BROADCAST_ROWS = 1_000_000
-_WORDS = 300_000
+_WORDS = 150_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -98,7 +100,7 @@ class Shingler:
         return out
 
 
-def groups(texts: list, chars: int = 4_000_000) -> Iterator[slice]:
+def groups(texts: list, chars: int = 2_000_000) -> Iterator[slice]:
     """Runs of texts of about so many characters; a longer text is alone."""
     first = size = 0
     for i, t in enumerate(texts):
@@ -121,10 +123,11 @@ def order_keys(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray
 
 
 def prefix(tokens: np.ndarray, keys: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - wanted + 1 tokens in the order that ``keys`` give."""
+    """The first n - wanted + 1 tokens, in the order that ``keys`` give."""
     n = len(tokens)
     size = n - wanted(n, percent) + 1
-    return tokens[np.argpartition(keys, size - 1)[:size]] if size < n else tokens
+    at = np.argpartition(keys, size - 1)[:size] if size < n else np.arange(n)
+    return tokens[at[np.argsort(keys[at])]]
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -140,7 +143,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
     names = ["doc_id", "n", "s1", "s2", "firsts", "spread", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, counts = Shingler(width), np.zeros(1 << COUNT_BITS, np.uint8)
+        shingles, counts = Shingler(width), np.zeros(1 << COUNT_BITS, np.int32)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in groups(texts):
@@ -155,8 +158,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                     s2[full] = np.bitwise_xor.reduceat(mixed(tokens, 102), begin)
                     for k in range(LEADER_ORDERS):
                         firsts[full, k] = np.minimum.reduceat(mixed(tokens, k + 1), begin)
-                    add = np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
-                    counts = np.minimum(counts + add, 255).astype(np.uint8)
+                    counts += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.int32)
                 spread = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -172,7 +174,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                 )
         if counts.any():
             empty = [pa.nulls(1, t) for t in (*(pa.int64(),) * 4, pa.list_(pa.int64()), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array([counts.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([np.minimum(counts, 255).astype(np.uint8).tobytes()], pa.binary())], names=names)
 
     return _documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, spread binary, counts binary")
 
@@ -205,6 +207,20 @@ def _leader_pairs(classes: DataFrame) -> DataFrame:
     return firsts.join(met, ["k", "token"]).where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("orders")).where(F.col("orders") >= LEADER_AGREE).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
 
 
+def _part_pairs(classes: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b): classes of large meetings, each with the leader of a small random part of it, if not connected yet.
+
+    Where one leader is too far from most of a group of near copies, the parts' leaders connect it
+    by random comparisons, as many as there are orders for each class.
+    """
+    firsts = classes.join(placed, "rep").select("rep", "comp", F.posexplode("firsts").alias("k", "token"))
+    large = firsts.groupBy("k", "token").agg(F.count("*").alias("size")).where(F.col("size") >= PART)
+    parts = firsts.join(large, ["k", "token"]).withColumn("part", F.pmod(F.xxhash64("rep", "k"), F.ceil(F.col("size") / PART)))
+    lead = parts.groupBy("k", "token", "part").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(9))).alias("lead"))
+    met = parts.join(lead, ["k", "token", "part"]).where(F.col("comp") != F.col("lead.comp"))
+    return met.select(F.greatest("rep", F.col("lead.rep")).alias("a"), F.least("rep", F.col("lead.rep")).alias("b")).distinct()
+
+
 def _beside(pairs: DataFrame, ids: DataFrame, value: str) -> DataFrame:
     """(a, b, left, right): the pairs with the value of each end."""
     one, two = (ids.select(F.col("id").alias(end), F.col(value).alias(name)) for end, name in (("a", "left"), ("b", "right")))
@@ -292,8 +308,12 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, cells: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes of one token, different components, fitting sizes and counts; rows are sorted by token."""
+def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, cells: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of one token, different components, fitting sizes and counts; rows are sorted by token.
+
+    Two sets that share ``need`` tokens already share one among the first n - need + 1 of each, so
+    a token further back in either need not bring them together.
+    """
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
     mixed_up = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
@@ -305,7 +325,11 @@ def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.nda
         i, j = i[ok], j[ok]
         for k in range(0, len(i), 100_000):
             x, y = i[k : k + 100_000], j[k : k + 100_000]
-            both, only = n[x].astype(np.int64) + n[y], apart(cells[x], cells[y])
+            both = n[x].astype(np.int64) + n[y]
+            need = -(-percent * both // (100 + percent))
+            early = (place[x] <= n[x] - need) & (place[y] <= n[y] - need)
+            x, y, both = x[early], y[early], both[early]
+            only = apart(cells[x], cells[y])
             good = 100 * (both - only) >= percent * (both + only)
             left.append(rep[x[good]])
             right.append(rep[y[good]])
@@ -324,9 +348,9 @@ def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.nda
         # by size: each row only meets the rows up to the largest that fits; the largest component's rows meet no one of their own
         names, of, members = np.unique(comp[at], return_inverse=True, return_counts=True)
         main = of == members.argmax()
-        for place in np.flatnonzero(~main):
-            i = at[place]
-            other = at[(comp[at] != comp[i]) & (main | (np.arange(len(at)) > place))]
+        for q in np.flatnonzero(~main):
+            i = at[q]
+            other = at[(comp[at] != comp[i]) & (main | (np.arange(len(at)) > q))]
             fits(np.full(len(other), i), other)
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -354,17 +378,18 @@ def _remaining_pairs(docs: DataFrame, classes: DataFrame, levels, width: int, pe
                 found = [prefix(tokens[a:b], keys[a:b], percent) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 size = np.fromiter(map(len, found), np.int64, len(found))
                 columns = [np.concatenate(found).view(np.int64), np.repeat(reps[part], size), np.repeat(comps[part], size), np.repeat(n, size).astype(np.int32)]
+                columns.append((np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32))
                 cells = np.repeat(half_bytes(tokens, bounds), size, axis=0)
                 for i in range(0, len(columns[0]), 200_000):
                     wide = np.ascontiguousarray(cells[i : i + 200_000])
                     bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ROW_CELLS // 2), len(wide), [None, pa.py_buffer(wide)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 200_000]) for c in columns), bytes_], names=["token", "rep", "comp", "n", "cells"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 200_000]) for c in columns), bytes_], names=["token", "rep", "comp", "n", "place", "cells"])
 
     chosen = _bounded(classes.select(F.col("rep").alias("doc_id"), "rep", "comp"))
-    rows = _documents(docs).join(chosen, "doc_id").select("rep", "comp", "text").mapInArrow(emit, "token long, rep long, comp long, n int, cells binary")
+    rows = _documents(docs).join(chosen, "doc_id").select("rep", "comp", "text").mapInArrow(emit, "token long, rep long, comp long, n int, place int, cells binary")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [*(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32)), np.empty((0, ROW_CELLS // 2), np.uint8)]
+        held = [*(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32)), np.empty((0, ROW_CELLS // 2), np.uint8)]
 
         def found(columns):
             a, b = _cross_pairs(*columns, percent)
@@ -375,7 +400,7 @@ def _remaining_pairs(docs: DataFrame, classes: DataFrame, levels, width: int, pe
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [*(np.asarray(batch.column(i)) for i in range(4)), _fixed(batch.column(4))]
+            new = [*(np.asarray(batch.column(i)) for i in range(5)), _fixed(batch.column(5))]
             columns = [np.concatenate(pair) for pair in zip(held, new, strict=True)]
             last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last token may go on in the next batch
             if last:
@@ -389,6 +414,16 @@ def _remaining_pairs(docs: DataFrame, classes: DataFrame, levels, width: int, pe
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
+def _placed(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, comp): each class with the smallest one that links reach."""
+    near = connected(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    return durable(classes.select("rep").distinct().join(near, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")))
+
+
+def _as_links(placed: DataFrame) -> DataFrame:
+    return placed.where("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+
+
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable over links of that similarity.
 
@@ -405,12 +440,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = durable(members)
     leaders = durable(_leader_pairs(classes))
     links = durable(_verified(docs, leaders, levels, width, percent))
-    near = connected(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    placed = durable(classes.select("rep").distinct().join(near, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")))
+    placed = _placed(classes, links)
+    again = durable(_could_be(_part_pairs(classes, placed), classes, percent))
+    placed = _placed(classes, _verified(docs, again, levels, width, percent).unionByName(_as_links(placed)))
     rest = durable(_could_be(_remaining_pairs(docs, placed, levels, width, percent), classes, percent))
     more = durable(_verified(docs, rest, levels, width, percent))
-    joined = connected(more.unionByName(placed.where("rep <> comp").select(F.col("rep").alias("a"), F.col("comp").alias("b"))))
-    final = placed.select("rep").join(joined.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component_id"))
+    final = _placed(classes, more.unionByName(_as_links(placed))).withColumnRenamed("comp", "component_id")
     named = classes.select("n", "s1", "s2", "rep").join(final, "rep").drop("rep")
     return rows.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -419,3 +454,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows whose doc_id is the smallest of their component, with all their columns; rows without doc_id stay."""
     leaders = components(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(leaders, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+#: The contract's components (four words, 85 in 100) for DuckDB: all pairs that share a shingle, then reachability.
+ORACLE_SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 2, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i + 3], ' '))) AS s FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+"""

@@ -9,7 +9,6 @@ whether they hold more of the words that mark toxic documents than the median to
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ def words(text: str) -> set[str]:
 class _Cache(dict):
     """word -> what ``make`` gives; emptied when it has grown large."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 
