@@ -78,6 +78,21 @@ def test_checksums_and_context():
     assert "ssn" not in [k for k, *_ in pii.spans("order 123-45-6789 shipped")]
 
 
+@pytest.mark.parametrize(
+    "text,shown",
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+        ("GB82WEST12345698765432 EUR 100 due", ["GB82WEST12345698765432"]),
+        ("GB82WEST12345698765432 DE89 3704 0044 0532 0130 00 NO93 8601 1117 947 AB", ["GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]),
+        ("konto AB12 CDEF GHIJ KLMN DE89370400440532013000", ["DE89370400440532013000"]),
+        ("IBAN DE89 3704 0044 0532 0130 00x, DE89370400440532013000EUR", []),
+    ],
+)
+def test_ibans_before_other_words(text, shown):
+    assert [text[s:e] for k, s, e, _ in pii.spans(text) if k == "iban"] == shown
+    assert not any(x in pii.masked(text) for x in shown)
+
+
 def test_weak_secrets_need_company():
     assert [k for k, *_ in secret_scan.spans(TEXTS[12])] == ["endpoint", "identifier", "assign"]
     assert secret_scan.spans("see https://example.com/a for more") == []

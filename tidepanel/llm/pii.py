@@ -20,7 +20,17 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_GROUPS = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+_GROUP_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+#: Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTH = {
+    c[:2]: int(c[2:])
+    for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18
+    FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22
+    MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23
+    TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Score before context, and the words nearby that raise it.
@@ -76,6 +86,23 @@ def _emails(text: str):
         at = text.find("@", done)
 
 
+def _ibans(text: str):
+    """Take the end of a group that gives the country's length, else the last one; a failed start doesn't use up the text behind it."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        start = m.start()
+        body = _GROUPS.match(text, m.end()) if start >= done else None
+        if not body:
+            continue
+        ends = [e.start() for e in _GROUP_END.finditer(text, m.end() + 1, body.end() + 1) if e.start() <= body.end()]
+        shown = {end: text[start:end].replace(" ", "") for end in ends}
+        fitting = [end for end, c in shown.items() if len(c) == IBAN_LENGTH.get(c[:2])] + ends[-1:]
+        end = next((end for end in fitting if 15 <= len(shown[end]) <= 34 and mod97(shown[end])), None)
+        if end:
+            done = end
+            yield start, end
+
+
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in code points, by start and kind."""
     found = [("email", s, e) for s, e in _emails(text)]
@@ -88,9 +115,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     for m in _PHONE.finditer(text):
         if 9 <= len(_digits(m[0])) <= 15:
             found.append(("phone", *m.span()))
-    for m in _IBAN.finditer(text):
-        if 15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c):
-            found.append(("iban", *m.span()))
+    found += [("iban", s, e) for s, e in _ibans(text)]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     out = []
     for kind, start, end in sorted(found, key=lambda f: (f[1], _ORDER[f[0]])):
