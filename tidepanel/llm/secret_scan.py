@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +22,13 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_IDENTIFIER = re.compile(r"(?:user(?:name)?|client_?id|account|login)[\"']? {0,4}[:=] {0,4}[\"']?[A-Za-z0-9_.@-]{3,64}", re.IGNORECASE | re.ASCII)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])")
-_ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,256}")
+_IDENTIFIER = re.compile(r"(?:user(?:name)?|client_?id|account|login)[\"']? {0,4}[:=] {0,4}[\"']?[A-Za-z0-9_.@-]{3,}", re.IGNORECASE | re.ASCII)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])")
+_ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}")
 
 #: The role each kind plays in a credential.
 ROLE = {"access": "id", "identifier": "id", "assign": "secret", "hex": "secret", "opaque": "secret", "endpoint": "endpoint"}
-#: Roles that make a weak part of this role credible. A weak part needs a strong partner or parts of both other roles.
+#: How far a part's scope reaches. A weak part needs a strong partner, an id a secret or a secret an id, or parts of both other roles.
 SCOPE_CHARS = 400
 
 
@@ -45,33 +46,37 @@ def _proposals(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda f: (f[1], _ORDER[f[0]], f[2]))
 
 
+def _reach(parts: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts in order, and for each the furthest end of the parts up to it."""
+    return [start for _, start, _ in parts], list(accumulate((end for _, _, end in parts), max))
+
+
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score): base spans, and weak ones whose scope holds a complementary part.
 
-    A scope reaches SCOPE_CHARS from a part's ends. It is an interval semi-join over sorted starts:
+    A scope reaches SCOPE_CHARS from a part's ends, and a partner may lie in it with any of its
+    characters. It is an interval semi-join over sorted starts with the furthest end up to each:
     each weak part probes the list of each other role with a binary search, so a text with very
     many parts costs n log n and emits each part once, however many partners it has.
     """
     found = _proposals(text)
-    strong: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
-    every: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
-    for kind, start, _ in found:
-        every[ROLE[kind]].append(start)
-        if kind in BASE_KINDS:
-            strong[ROLE[kind]].append(start)
+    roles = ("id", "secret", "endpoint")
+    every = {r: _reach([f for f in found if ROLE[f[0]] == r]) for r in roles}
+    strong = {r: _reach([f for f in found if ROLE[f[0]] == r and f[0] in BASE_KINDS]) for r in roles}
 
-    def near(starts: list[int], low: int, high: int) -> bool:
-        i = bisect_left(starts, low)
-        return i < len(starts) and starts[i] <= high
+    def near(parts: tuple[list[int], list[int]], low: int, high: int) -> bool:
+        i = bisect_right(parts[0], high)
+        return i > 0 and parts[1][i - 1] >= low
 
     out = []
     for kind, start, end in found:
         low, high, others = start - SCOPE_CHARS, end + SCOPE_CHARS, [r for r in every if r != ROLE[kind]]
+        pair = {"id": "secret", "secret": "id"}.get(ROLE[kind])
         partners = sum(near(every[r], low, high) for r in others)
         sure = any(near(strong[r], low, high) for r in others)
         if kind in BASE_KINDS:
             out.append((kind, start, end, min(1.0, 0.7 + 0.15 * partners)))
-        elif sure or partners == 2:
+        elif sure or partners == 2 or (pair and near(every[pair], low, high)):
             out.append((kind, start, end, 0.4 + 0.15 * partners + 0.2 * sure))
     return out
 
