@@ -75,9 +75,11 @@ def f20(spark, d):
     return ranked(spark, d).groupBy(F.when(p > 90, "top10").when(p > 80, "top20").when(p <= 10, "bottom10").when(p <= 20, "bottom20").otherwise("middle").alias("band")).agg(F.count("*").alias("n"))
 
 
-def _payloads(spark, d):
-    """One payload of fields and data, and one of positional rows, per order date of the first 50."""
-    o = table(spark, d, "orders").where("o_orderkey <= 200").select(F.to_date("o_orderdate").cast("string").alias("id"), F.lpad(F.col("o_custkey").cast("string"), 4, "0").alias("code"), "o_orderkey", F.format_number("o_totalprice", 2).alias("price"))
+def _payloads(spark, d, every=False):
+    """One payload of fields and data, and one of positional rows, per order date of the orders up to 200, or of all."""
+    key = F.col("o_custkey").cast("string")
+    code = F.when(F.length(key) > 4, key).otherwise(F.lpad(key, 4, "0")) if every else F.lpad(key, 4, "0")  # lpad cuts longer keys
+    o = table(spark, d, "orders").where(F.lit(every) | (F.col("o_orderkey") <= 200)).select(F.to_date("o_orderdate").cast("string").alias("id"), code.alias("code"), "o_orderkey", F.format_number("o_totalprice", 2).alias("price"))
     row = F.array("code", F.col("o_orderkey").cast("string"), "price")
     fields = F.array(F.lit("Code "), F.lit("Name"), F.lit("Closing Price"))
     pos = F.concat(F.array("code", F.col("o_orderkey").cast("string"), "price"), F.array_repeat(F.col("price"), 15))
@@ -85,14 +87,14 @@ def _payloads(spark, d):
 
 
 @query("s07_s10_named_payloads", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS id, lpad(o_custkey::VARCHAR, 4, '0') AS code, o_orderkey::VARCHAR AS name, round(o_totalprice, 2) AS close FROM orders WHERE o_orderkey <= 200")
-def s07(spark, d):
-    rows = S.shredded(_payloads(spark, d), {"code": ["Code", "SecuritiesCompanyCode"], "name": ["CompanyName", "Name"], "close": ["Close", "Closing Price"]})
+def s07(spark, d, every=False):
+    rows = S.shredded(_payloads(spark, d, every), {"code": ["Code", "SecuritiesCompanyCode"], "name": ["CompanyName", "Name"], "close": ["Close", "Closing Price"]})
     return rows.select("id", "code", "name", C.number(F.col("close")).alias("close"))
 
 
 @query("s07_s08_positional_payloads", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS id, lpad(o_custkey::VARCHAR, 4, '0') AS code, round(o_totalprice, 2) AS close, round(o_totalprice, 2) AS trust_net FROM orders WHERE o_orderkey <= 200 AND length(lpad(o_custkey::VARCHAR, 4, '0')) <= 6")
-def s08(spark, d):
-    p = _payloads(spark, d).select("id", F.col("flat").alias("payload"))
+def s08(spark, d, every=False):
+    p = _payloads(spark, d, every).select("id", F.col("flat").alias("payload"))
     q = S.positional_quotes(p).select("id", "code", "name", "close").withColumn("n", F.row_number().over(Window.partitionBy("id", "code").orderBy("close")))
     f = S.positional_flows(p).select("id", "code", "trust_net").withColumn("n", F.row_number().over(Window.partitionBy("id", "code").orderBy("trust_net")))
     return q.join(f, ["id", "code", "n"]).select("id", "code", "close", "trust_net")

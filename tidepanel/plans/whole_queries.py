@@ -1,0 +1,79 @@
+"""Queries over whole tables, beside those of the same name without _all, whose SQL fixes a smaller job."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidepanel.functions import parsing as C
+from tidepanel.operators import models as M
+from tidepanel.operators.ranking import ceiled_group
+from tidepanel.plans.adapter import cells, table, with_ctes
+from tidepanel.plans.audit_queries import probs
+from tidepanel.plans.catalog_queries import s07, s08
+from tidepanel.plans.core import query
+from tidepanel.plans.feature_queries import r, rq
+from tidepanel.plans.ranking_queries import ranked
+from tidepanel.sources import tables as K
+
+
+@query("s07_s10_named_payloads_all", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS id, lpad(o_custkey::VARCHAR, greatest(4, length(o_custkey::VARCHAR))::INTEGER, '0') AS code, o_orderkey::VARCHAR AS name, round(o_totalprice, 2) AS close FROM orders")
+def s07_all(spark, d):
+    return s07(spark, d, every=True)
+
+
+@query("s07_s08_positional_payloads_all", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS id, lpad(o_custkey::VARCHAR, greatest(4, length(o_custkey::VARCHAR))::INTEGER, '0') AS code, round(o_totalprice, 2) AS close, round(o_totalprice, 2) AS trust_net FROM orders WHERE length(o_custkey::VARCHAR) <= 6")
+def s08_all(spark, d):
+    return s08(spark, d, every=True)
+
+
+@query("j18_historical_behaviour_all", with_ctes(("ranked",), f", g AS (SELECT *, greatest(1, least(10, ceil(round(pct, 9) / 10)))::INTEGER AS decile FROM ranked), h AS (SELECT decile, {rq('avg(ret) FILTER (WHERE year <= 1998)', 'early')}, {rq('avg(ret) FILTER (WHERE year > 1998)', 'late')} FROM g GROUP BY 1) SELECT stock_id, date, decile, early, late FROM g JOIN h USING (decile)"))
+def j18_all(spark, d):
+    g = ranked(spark, d).withColumn("decile", ceiled_group(F.round("pct", 9), 10))
+    when = lambda c: F.avg(F.when(c, F.col("ret")))
+    h = g.groupBy("decile").agg(r(when(F.col("year") <= 1998), "early"), r(when(F.col("year") > 1998), "late"))
+    return g.join(F.broadcast(h), "decile").select("stock_id", "date", "decile", "early", "late")  # ten rows
+
+
+@query("c07_s09_html_cells_all")
+def c07_all(spark, d):
+    """Items and title of every page; DuckDB doesn't decode entities, so the tests hold it against Python."""
+    return table(spark, d, "pages").select("page_id", F.size(C.html_cells(F.col("html"), "li")).alias("items"), F.coalesce(F.get(C.html_cells(F.col("html"), "title"), F.lit(0)), F.lit("")).alias("title"))
+
+
+@query("t01_top_contributions_all", with_ctes(("cells",), "SELECT stock_id, date, array_to_string(list_transform(list_filter(list_sort([{'v': -round(foreign_net / 7, 4), 'n': 'a'}, {'v': -round(trust_net / 7, 4), 'n': 'b'}, {'v': -round(dealer_net / 7, 4), 'n': 'c'}]), lambda x: x.v < 0)[1:2], lambda x: printf('%s(%+.4f)', x.n, -x.v)), '；') AS factors FROM cells"))
+def t01_all(spark, d):
+    return cells(spark, d).select("stock_id", "date", C.top_contributions(["a", "b", "c"], [F.col(n) / 7 for n in ("foreign_net", "trust_net", "dealer_net")], 2).alias("factors"))
+
+
+_OLD, _NEW = "event_id % 3 <> 0", "(event_id % 3 = 0 OR event_id % 2 = 0)"  # every event is on one side, some on both
+
+
+@query("k01_upsert_all", "SELECT k, arg_max(value, (ts, event_id)) AS value FROM (SELECT event_id % 400 AS k, ts, event_id, value FROM events) GROUP BY 1")
+def k01_all(spark, d):
+    side = lambda c: table(spark, d, "events").where(c).select((F.col("event_id") % 400).alias("k"), F.struct("ts", "event_id").alias("at"), "value")
+    return K.upsert(side(_OLD), side(_NEW), ["k"], "at").select("k", "value")
+
+
+@query("k02_insert_or_ignore_all", f"SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events WHERE {_OLD} UNION ALL SELECT DISTINCT user_id, event_type FROM events WHERE {_NEW} AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE {_OLD})) GROUP BY 1")
+def k02_all(spark, d):
+    side = lambda c: table(spark, d, "events").where(c).select("user_id", "event_type").distinct()
+    return K.insert_or_ignore(side(_OLD), side(_NEW), ["user_id", "event_type"]).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("m07_temperature_all", with_ctes(("probs",), f", t AS (SELECT exp(ln(0.25) + i * (ln(4) - ln(0.25)) / 72) AS t FROM range(0, 73) x(i)), z AS (SELECT y, ln(p / (1 - p)) AS z FROM probs), l AS (SELECT t, round(-avg(y * ln(greatest(1e-12, 1 / (1 + exp(-greatest(-40, least(40, z / t)))))) + (1 - y) * ln(greatest(1e-12, 1 - 1 / (1 + exp(-greatest(-40, least(40, z / t))))))), 9) AS loss FROM z, t GROUP BY 1) SELECT {rq('t', 'temperature')}, {rq('loss', 'loss')} FROM l ORDER BY loss, t LIMIT 1"))
+def m07_all(spark, d):
+    z = probs(spark, d).select("y", F.ln(F.col("p") / (1 - F.col("p"))).alias("z"))
+    return M.temperature(z, "z", "y").select(r(F.col("temperature"), "temperature"), r(F.col("loss"), "loss"))
+
+
+@query("a30_threshold_search_all", with_ctes(("probs",), f", q AS (SELECT y, round(p, 9) AS p FROM probs), t AS (SELECT DISTINCT round(t, 9) AS t FROM (SELECT unnest(quantile_cont(p, [{', '.join(str(i / 100) for i in range(1, 100))}])) AS t FROM q UNION ALL SELECT 0.5)), c AS (SELECT t, count(*) FILTER (WHERE y = 1 AND p >= t) AS tp, count(*) FILTER (WHERE y = 0 AND p >= t) AS fp, count(*) FILTER (WHERE y = 1 AND p < t) AS fn, count(*) FILTER (WHERE y = 0 AND p < t) AS tn FROM q, t GROUP BY 1), m AS (SELECT t, round((tp / greatest(tp + fn, 1) + tn / greatest(tn + fp, 1)) / 2, 9) AS ba, round(2 * tp / greatest(2 * tp + fp + fn, 1), 9) AS f1 FROM c) SELECT {rq('t', 'threshold')}, {rq('ba', 'balanced')}, {rq('f1', 'f1')} FROM m ORDER BY m.ba DESC, m.f1 DESC, m.t DESC LIMIT 1"))
+def a30_all(spark, d):
+    """The best of the 99 percentiles and 0.5 by balanced accuracy, F1 and threshold."""
+    p = probs(spark, d).select("y", F.round("p", 9).alias("p"))
+    cuts = p.agg(F.percentile("p", [i / 100 for i in range(1, 100)]).alias("q"))
+    t = cuts.select(F.explode(F.array_distinct(F.transform(F.concat("q", F.array(F.lit(0.5))), lambda x: F.round(x, 9)))).alias("t"))
+    up, yes = F.col("y") == 1, F.col("p") >= F.col("t")
+    c = p.crossJoin(F.broadcast(t)).groupBy("t").agg(F.count_if(up & yes).alias("tp"), F.count_if(~up & yes).alias("fp"), F.count_if(up & ~yes).alias("fn"), F.count_if(~up & ~yes).alias("tn"))  # a hundred rows
+    least = lambda e: F.greatest(F.expr(e), F.lit(1))
+    m = c.select("t", F.round((F.col("tp") / least("tp + fn") + F.col("tn") / least("tn + fp")) / 2, 9).alias("ba"), F.round(2 * F.col("tp") / least("2 * tp + fp + fn"), 9).alias("f1"))
+    return m.agg(F.max(F.struct("ba", "f1", "t")).alias("b")).select(r(F.col("b.t"), "threshold"), r(F.col("b.ba"), "balanced"), r(F.col("b.f1"), "f1"))
