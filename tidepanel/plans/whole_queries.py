@@ -1,4 +1,4 @@
-"""Queries over whole tables, beside those of the same name without _all, whose SQL fixes a smaller job."""
+"""Queries over whole tables, beside those of the same name without _all, whose SQL fixes a smaller job."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import parsing as C
 from tidepanel.operators import models as M
+from tidepanel.operators import notify as N
 from tidepanel.operators.ranking import ceiled_group
 from tidepanel.plans.adapter import cells, table, with_ctes
 from tidepanel.plans.audit_queries import probs
 from tidepanel.plans.catalog_queries import s07, s08
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq
+from tidepanel.plans.lifecycle_queries import notices, users
+from tidepanel.plans.more_queries import entries
 from tidepanel.plans.ranking_queries import ranked
 from tidepanel.sources import tables as K
 
@@ -77,3 +80,34 @@ def a30_all(spark, d):
     least = lambda e: F.greatest(F.expr(e), F.lit(1))
     m = c.select("t", F.round((F.col("tp") / least("tp + fn") + F.col("tn") / least("tn + fp")) / 2, 9).alias("ba"), F.round(2 * F.col("tp") / least("2 * tp + fp + fn"), 9).alias("f1"))
     return m.agg(F.max(F.struct("ba", "f1", "t")).alias("b")).select(r(F.col("b.t"), "threshold"), r(F.col("b.ba"), "balanced"), r(F.col("b.f1"), "f1"))
+
+
+def _plan(spark, d, who, notes):
+    """The plan of the users and notes given; notes are dealt out, as each becomes a row for every user."""
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return N.notification_plan(notes.repartition(wide, "market", "stock_id", "idx", "type"), who, ranked(spark, d).select("stock_id", "idx", F.round("pct", 6).alias("percentile")))
+
+
+@query("m23_notification_plan_all")
+def m23_all(spark, d):
+    """Every customer's plan of every market date; its size is users times notes, so tests hold it against SQL on the smallest tables."""
+    return _plan(spark, d, users(spark, d, every=True), notices(spark, d)).select("user_id", "market", "stock_id", "idx", "type", "class", "priority", "percentile", "state_key")
+
+
+@query("x11_t05_dispatch_all")
+def x11_all(spark, d):
+    """Dispatch to every customer, over all market dates; tested as m23.
+
+    Each fifth day's notes are sent already, to all users: they go before the product, as do users
+    that aren't enabled and updates for users that don't want them.
+    """
+    who, notes = users(spark, d, every=True).where("enabled"), notices(spark, d).where("idx % 5 <> 0")
+    new = notes.where("class <> 'STATE_UPDATE'")
+    open_ = _plan(spark, d, who, new).unionByName(_plan(spark, d, who.where("wants_updates"), notes.where("class = 'STATE_UPDATE'")))
+    return N.dispatch(open_, spark.createDataFrame([], "state_key string")).select("user_id", "state_key", "position")
+
+
+@query("j17_users_by_notices_all", with_ctes(("entries",), "SELECT c_custkey AS user_id, count(*) AS notices FROM customer CROSS JOIN entries WHERE c_custkey % 7 <> 0 GROUP BY 1"))
+def j17_all(spark, d):
+    u = users(spark, d, every=True).where("enabled").select("user_id")
+    return u.crossJoin(entries(spark, d).select("idx")).groupBy("user_id").agg(F.count("*").alias("notices"))
