@@ -94,6 +94,47 @@ def test_leaders_only_save_work(spark, monkeypatch):
     assert got == plain_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("setting,value", [("FILTER_ORDERS", 0), ("FILTER_ORDERS", 1), ("BLOCK", 4)])
+def test_orders_and_blocks_only_save_work(spark, monkeypatch, setting, value):
+    monkeypatch.setattr(ngram_join, setting, value)
+    monkeypatch.setattr(ngram_join, "LEADER_AGREE", 99)
+    rows = copies(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs, 5, 80).collect()}
+    assert got == plain_components(rows, 5, 80)
+
+
+def test_more_orders_leave_fewer_candidates():
+    rng, percent = np.random.default_rng(3), 80
+    level = np.zeros(1 << ngram_join.COUNT_BITS, np.uint8)
+    left = {1: 0, 2: 0, 3: 0}
+    for _ in range(400):
+        n = int(rng.integers(5, 60))
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = x.copy()
+        change = rng.random(n) < rng.choice([0.02, 0.1, 0.3])
+        y[change] = rng.integers(0, 1 << 63, int(change.sum()), dtype=np.uint64)
+        shared = len(np.intersect1d(x, y))
+        pairs = [[ngram_join.prefix(s, ngram_join.order_keys(s, level, k), percent) for s in (x, y)] for k in (1, 2, 3)]
+        agree = [ngram_join.orders_agree(p, n, q, n, percent) for p, q in pairs]
+        if 100 * shared >= percent * (2 * n - shared):
+            assert all(agree)
+        for k in left:
+            left[k] += all(agree[:k])
+    assert left[1] > left[2] > left[3]
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 400, 5000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.r_[x[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]
+        one, two = (np.frombuffer(ngram_join.sketches(s, np.array([0, len(s)]))[0], np.uint8) for s in (x, y))
+        for size in (32, min(len(one), len(two))):
+            bits = int(np.bitwise_count(ngram_join.folded(one, size) ^ ngram_join.folded(two, size)).sum(dtype=np.int64))
+            assert bits <= len(np.setxor1d(x, y))
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in copies(3)]
     docs = spark.createDataFrame([(i, t, 0, "", 0, 0) for i, t in rows], DOCS).repartition(3)

@@ -2,12 +2,16 @@
 
 Of two sets that are similar enough, the first few tokens under any one order of all tokens share
 a token. Orders here put tokens that many documents hold last, by a fixed-size count of all
-documents' tokens, and break ties by different hash mixes. Candidates come from one order's
-prefixes and must pass the others' before their sets are compared exactly.
+documents' tokens, and break ties by different hash mixes. Pairs that share a token of the first
+order's prefixes are candidates if their sizes, the token's places and their parity sketches allow
+it; then the prefixes under the other orders are intersected as well. Only what passes every order
+has its sets fetched and compared exactly (on 64-bit hashes of the shingles; equal sets are told by
+128 bits).
 
 Copies are one class from the start. Classes that meet under several single-token prefixes are
 compared with one leader each, which connects groups of near copies with few comparisons; the
-complete join then only looks at pairs that are not connected yet, so no group's pairs are listed.
+complete join then only looks at pairs that are not connected yet. Tokens of very many classes are
+cut into blocks, and each pair of blocks is a group of its own that any task can compare.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +37,12 @@ PART = 8
 FILTER_ORDERS = 2
 #: Bins of the token counts (a byte each per task): fixed, whatever the corpus.
 COUNT_BITS = 21
-#: Hash cells of a set's own token counts; a power of two.
-CELLS = 256
-#: Cells of the counts that travel with each prefix token, kept modulo 16 in half a byte each.
-ROW_CELLS = 64
+#: Bits of the parity sketch that travels with each prefix token, and bounds of a whole set's sketch (4 bits a token).
+ROW_BITS, LEAST_BITS, MOST_BITS = 256, 1024, 1 << 16
+#: Classes of one token that a task compares at once; the rest of a larger token is compared by pairs of such blocks.
+BLOCK = 1024
+#: Pairs looked at in one step.
+_STEP = 1 << 18
 #: A join side of two longs is broadcast up to so many rows (some 50 MB as a hash table); beyond that it is shuffled.
 BROADCAST_ROWS = 1_000_000
 _WORDS = 150_000
@@ -117,9 +124,13 @@ def wanted(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def bins(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
 def order_keys(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     """Numbers that sort tokens in a global order: rarer levels first, then by the order's mix."""
-    return (levels[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mixed(tokens, order) >> np.uint64(6))
+    return (levels[bins(tokens)].astype(np.uint64) << np.uint64(58)) | (mixed(tokens, order) >> np.uint64(6))
 
 
 def prefix(tokens: np.ndarray, keys: np.ndarray, percent: int) -> np.ndarray:
@@ -134,13 +145,46 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def sketches(tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Each set's parity sketch: bit i tells whether an odd number of tokens ends in i.
+
+    A sketch has a power of two of bits, 4 a token at least between the bounds; its halves'
+    exclusive or is the sketch of half as many bits.
+    """
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bits = min(max(1 << (4 * (b - a) - 1).bit_length() if b > a else 0, LEAST_BITS), MOST_BITS)
+        odd = np.bincount((tokens[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return out
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch in ``size`` bytes."""
+    return sketch if len(sketch) == size else np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
+def needed(nx, ny, percent: int):
+    """Tokens that sets of these sizes share at least if they are similar enough."""
+    return -(-percent * (nx + ny) // (100 + percent))
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact below 128, then rounded up to eighths of a power of two."""
+    large = 128 + np.ceil(8 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts < 128, counts, np.minimum(large, 255)).astype(np.uint8)
+
+
+_DECODED = np.r_[np.arange(128), np.ceil(128 * 2 ** (np.arange(128) / 8))].astype(np.uint32)
+
+
 def _profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, s1, s2, firsts, spread, counts) of every row.
+    """(doc_id, n, s1, s2, firsts, sketch, counts) of every row.
 
-    Set size, set signature, the least mix of each leader order, and the set's tokens by hash cell
-    (a byte each). Each task's last row has only counts: its tokens by bin, 255 at most in a bin.
+    Set size, set signature, the least mix of each leader order, and the set's parity sketch behind
+    its size. Each task's last row has only counts: its tokens by bin, a byte each.
     """
-    names = ["doc_id", "n", "s1", "s2", "firsts", "spread", "counts"]
+    names = ["doc_id", "n", "s1", "s2", "firsts", "sketch", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(width), np.zeros(1 << COUNT_BITS, np.int32)
@@ -152,14 +196,13 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                 full, begin = n > 0, bounds[:-1][n > 0]
                 s1, s2 = np.zeros((2, len(n)), np.uint64)
                 firsts = np.zeros((len(n), LEADER_ORDERS), np.uint64)
-                cells = np.bincount(np.repeat(np.arange(len(n)), n) * CELLS + (tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=len(n) * CELLS)
                 if len(begin):
                     s1[full] = np.add.reduceat(mixed(tokens, 101), begin)
                     s2[full] = np.bitwise_xor.reduceat(mixed(tokens, 102), begin)
                     for k in range(LEADER_ORDERS):
                         firsts[full, k] = np.minimum.reduceat(mixed(tokens, k + 1), begin)
-                    counts += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.int32)
-                spread = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
+                    at, more = np.unique((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int32), return_counts=True)
+                    counts[at] += more.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[part],
@@ -167,37 +210,62 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(s1.view(np.int64)),
                         pa.array(s2.view(np.int64)),
                         pa.FixedSizeListArray.from_arrays(firsts.ravel().view(np.int64), LEADER_ORDERS).cast(pa.list_(pa.int64())),
-                        pa.array([r.tobytes() for r in spread], pa.binary()),
+                        pa.array([size.tobytes() + one for size, one in zip(n.astype(np.int64), sketches(tokens, bounds), strict=True)], pa.binary()),
                         pa.nulls(len(n), pa.binary()),
                     ],
                     names=names,
                 )
         if counts.any():
             empty = [pa.nulls(1, t) for t in (*(pa.int64(),) * 4, pa.list_(pa.int64()), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array([np.minimum(counts, 255).astype(np.uint8).tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*empty, pa.array([_coded(counts).tobytes()], pa.binary())], names=names)
 
-    return _documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, spread binary, counts binary")
+    return _documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, sketch binary, counts binary")
 
 
-def _levels(profiles: DataFrame) -> np.ndarray:
-    """A byte for each bin: how many times over the mean its tokens are, as a rounded-down logarithm."""
+def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The sums of the arrays with equal keys; a task holds one sum at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch in batches:
+            for *mine, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if mine != key and key is not None:
+                    yield pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.int32()) for k, v in zip(keys, key, strict=True)}, "part": [total.astype(np.uint32).tobytes()]})
+                new = np.frombuffer(part, np.uint32).astype(np.uint64)
+                key, total = (mine, np.minimum(total + new, 0xFFFFFFFF)) if mine == key else (mine, new)
+        if key is not None:
+            yield pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.int32()) for k, v in zip(keys, key, strict=True)}, "part": [total.astype(np.uint32).tobytes()]})
+
+    return parts.select(*keys, "part").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{k} int" for k in keys) + ", part binary")
+
+
+class Rarity:
+    """By bin: a level, and into how many salts the rows of its tokens go (0: few enough for one task)."""
+
+    def __init__(self, counts: np.ndarray):
+        mean = max(counts.mean(), 4.0)
+        self.level = np.log2(np.maximum(counts / mean, 1)).astype(np.uint8)
+        usual = 4 * mean + BLOCK
+        self.salts = np.where(counts > usual, np.minimum(counts / usual + 1, 60_000), 0).astype(np.uint16)
+
+
+def _rarity(profiles: DataFrame) -> Rarity:
+    """The bins' counts over all tasks, added up in two steps, so that no task reads all of them."""
     pieces = 16
     size = (1 << COUNT_BITS) // pieces
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.uint32)
-        for one in group.column("part"):
-            total += np.frombuffer(one.as_py(), np.uint8)
-        return pa.table({"piece": group.column("piece").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for salt, one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = _DECODED[np.frombuffer(one, np.uint8)].reshape(pieces, size)
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "salt": pa.array([salt] * pieces, pa.int32()), "part": [c.tobytes() for c in counts]})
 
-    parts = profiles.where("counts is not null").select(F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"), "counts")
-    parts = parts.select("piece", F.substring(F.col("counts"), F.col("piece") * size + 1, F.lit(size)).alias("part"))
-    rows = parts.groupBy("piece").applyInArrow(add, "piece int, total binary").collect()  # one row for each of 16 pieces
-    counts = np.zeros(1 << COUNT_BITS, np.uint32)
-    for r in rows:
-        counts[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(bytes(r["total"]), np.uint32)
-    mean = max(counts.mean(), 4.0)
-    return np.log2(np.maximum(counts / mean, 1)).astype(np.uint8)
+    whole = profiles.where("counts is not null").select(F.pmod(F.spark_partition_id(), F.lit(256)).alias("salt"), "counts")
+    parts = whole.mapInArrow(cut, "piece int, salt int, part binary")
+    counts = np.zeros((pieces, size), np.uint32)
+    for r in _added(_added(parts, ["piece", "salt"]), ["piece"]).collect():  # 16 rows, 8 MB in all, whatever the corpus
+        counts[r["piece"]] = np.frombuffer(bytes(r["part"]), np.uint32)
+    return Rarity(counts.ravel())
 
 
 def _leader_pairs(classes: DataFrame) -> DataFrame:
@@ -240,22 +308,15 @@ def _compared(met: DataFrame, good) -> DataFrame:
 
 
 def _could_be(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose tokens by cell leave room for enough shared ones.
-
-    Sets share no more in a cell than the smaller has there, so the sum of these minima bounds
-    what they share; a cell that is full to 255 in both bounds nothing.
-    """
+    """The pairs whose sketches differ in no more bits than similar enough sets of their sizes may in tokens."""
 
     def good(x, y) -> bool:
-        x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-        least = np.minimum(x, y)
-        if (least == 255).any():
-            return True
-        most = int(least.sum())
-        # nx and ny are exact where no cell is full; a full cell's set is larger, which is checked later
-        return bool((x == 255).any() or (y == 255).any()) or 100 * most >= percent * (int(x.sum()) + int(y.sum()) - most)
+        nx, ny = (int(np.frombuffer(v, np.int64, 1)[0]) for v in (x, y))
+        x, y = (np.frombuffer(v, np.uint8, offset=8) for v in (x, y))
+        size = min(len(x), len(y))
+        return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)) <= nx + ny - 2 * needed(nx, ny, percent)
 
-    return _compared(_beside(pairs, classes.select(F.col("rep").alias("id"), "spread"), "spread"), good)
+    return _compared(_beside(pairs, classes.select(F.col("rep").alias("id"), "sketch"), "sketch"), good)
 
 
 def _bounded(side: DataFrame) -> DataFrame:
@@ -263,155 +324,251 @@ def _bounded(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, levels, width: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough. A pair goes to its first document's set, then to its second's."""
+def orders_agree(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool:
+    """Whether two prefixes under one order, in its order, leave the sets room to be similar enough.
+
+    They have to share a token, and the tokens of either before the last shared one that the other
+    lacks are missing there for good.
+    """
+    need = needed(nx, ny, percent)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(i) or need > min(nx, ny):
+        return False
+    return i.max() + 1 - len(i) <= nx - need and j.max() + 1 - len(j) <= ny - need
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, rarity, width: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough.
+
+    The other orders' prefixes of a pair's documents meet first; the sets follow for the pairs
+    that all orders allow. ``pairs`` is durable.
+    """
     ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    orders = range(2, 2 + FILTER_ORDERS)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
+        shingles, level = Shingler(width), rarity.value.level
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in groups(texts):
                 tokens, bounds = shingles(texts[part])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["id", "tokens"])
-
-    sets = _documents(docs).join(_bounded(ends), "doc_id", "left_semi").mapInArrow(shingle, "id long, tokens binary")
-    return _compared(_beside(pairs, durable(sets), "tokens"), lambda x, y: _similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), levels.value, percent))
-
-
-def _similar(x: np.ndarray, y: np.ndarray, rarity: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(x), len(y)))
-    if not small or 100 * small < percent * large:
-        return False
-    for order in range(2, 2 + FILTER_ORDERS):
-        first, second = (prefix(t, order_keys(t, rarity, order), percent) for t in (x, y))
-        if not len(np.intersect1d(first, second, assume_unique=True)):
+                sets = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                # a set's size, then its prefix under each order: all of the same length
+                heads = [b"".join([len(s).to_bytes(8, "little"), *(prefix(s, order_keys(s, level, k), percent).tobytes() for k in orders if len(s))]) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(heads, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "heads", "tokens"])
+
+    def allowed(x, y) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        nx, ny = int(x[0]), int(y[0])
+        if not nx or not ny or needed(nx, ny, percent) > min(nx, ny):
             return False
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * shared >= percent * (small + large - shared)
-
-
-def half_bytes(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each set's tokens by cell modulo 16, two cells in a byte."""
-    sets = len(bounds) - 1
-    cell = np.repeat(np.arange(sets), np.diff(bounds)) * ROW_CELLS + ((tokens >> np.uint64(8)) & np.uint64(ROW_CELLS - 1)).astype(np.int64)
-    counts = (np.bincount(cell, minlength=sets * ROW_CELLS) & 15).astype(np.uint8).reshape(sets, ROW_CELLS)
-    return counts[:, ::2] | (counts[:, 1::2] << 4)
-
-
-def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """At least so many tokens are in one set of each pair only: counts modulo 16 are no further apart than counts."""
-    total = np.zeros(len(x), np.int64)
-    for shift in (0, 4):
-        d = ((x >> shift) - (y >> shift)) & 15
-        total += np.minimum(d, 16 - d).sum(1, dtype=np.int64)
-    return total
-
-
-def _cross_pairs(token: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, cells: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes of one token, different components, fitting sizes and counts; rows are sorted by token.
-
-    Two sets that share ``need`` tokens already share one among the first n - need + 1 of each, so
-    a token further back in either need not bring them together.
-    """
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    sizes = np.diff(np.r_[starts, len(token)])
-    mixed_up = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-    few = mixed_up & (sizes <= 16)
-    left, right = [], []
-
-    def fits(i, j):
-        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        return all(orders_agree(p, nx, q, ny, percent) for p, q in zip(*(np.split(v[1:], FILTER_ORDERS) if FILTER_ORDERS else () for v in (x, y)), strict=True))
+
+    def similar(x, y) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+
+    sets = durable(_documents(docs).join(_bounded(ends), "doc_id", "left_semi").mapInArrow(shingle, "id long, heads binary, tokens binary"))
+    left = durable(_compared(_beside(pairs, sets, "heads"), allowed))
+    return _compared(_beside(left, sets, "tokens"), similar)
+
+
+class Met:
+    """Rows of classes where tokens meet: rep, comp, place in the prefix, set size, previous prefix token, row sketch."""
+
+    NAMES = ("rep", "comp", "at", "prev", "sketch")
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table):
+        self.rep, self.comp, at, self.prev = (np.asarray(batch.column(c)) for c in self.NAMES[:4])
+        self.n, self.place = at >> 32, at & 0xFFFFFFFF
+        self.sketch = _words(batch.column("sketch"))
+
+    def pairs(self, begin: np.ndarray, end: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+        """(a, b) of each row i with the rows begin[i] to end[i] that could be similar and aren't connected."""
+        many = np.maximum(end - begin, 0)
+        rows = np.flatnonzero(many)
+        upto = np.cumsum(many[rows])
+        first = 0
+        while first < len(rows):
+            done = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, done + _STEP, "right")))
+            chosen = rows[first:last]
+            i = np.repeat(chosen, many[chosen])
+            j = np.arange(len(i)) - np.repeat(upto[first:last] - many[chosen] - done, many[chosen]) + np.repeat(begin[chosen], many[chosen])
+            i, j = self._likely(i, j, percent)
+            if len(i):
+                yield pa.RecordBatch.from_pydict({"a": np.maximum(self.rep[i], self.rep[j]), "b": np.minimum(self.rep[i], self.rep[j])})
+            first = last
+
+    def _likely(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        ok = self.comp[i] != self.comp[j]
+        i, j = i[ok], j[ok]
+        # a pair whose previous prefix tokens are the same one has met there already
+        ok = (self.prev[i] != self.prev[j]) | (self.place[i] == 0) | (self.place[j] == 0)
         i, j = i[ok], j[ok]
-        for k in range(0, len(i), 100_000):
-            x, y = i[k : k + 100_000], j[k : k + 100_000]
-            both = n[x].astype(np.int64) + n[y]
-            need = -(-percent * both // (100 + percent))
-            early = (place[x] <= n[x] - need) & (place[y] <= n[y] - need)
-            x, y, both = x[early], y[early], both[early]
-            only = apart(cells[x], cells[y])
-            good = 100 * (both - only) >= percent * (both + only)
-            left.append(rep[x[good]])
-            right.append(rep[y[good]])
-
-    rows = np.flatnonzero(np.repeat(few, sizes))
-    room = np.repeat(starts + sizes, sizes)[rows]  # the end of each row's group
-    for d in range(1, 16):
-        ok = rows + d < room
-        rows, room = rows[ok], room[ok]
-        if not len(rows):
-            break
-        fits(rows, rows + d)
-    for g in np.flatnonzero(mixed_up & ~few):
-        at = np.arange(starts[g], starts[g] + sizes[g])
-        at = at[np.argsort(n[at], kind="stable")]
-        # by size: each row only meets the rows up to the largest that fits; the largest component's rows meet no one of their own
-        names, of, members = np.unique(comp[at], return_inverse=True, return_counts=True)
-        main = of == members.argmax()
-        for q in np.flatnonzero(~main):
-            i = at[q]
-            other = at[(comp[at] != comp[i]) & (main | (np.arange(len(at)) > q))]
-            fits(np.full(len(other), i), other)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    return np.maximum(a, b), np.minimum(a, b)
-
-
-def _fixed(column: pa.Array) -> np.ndarray:
-    """A binary column whose values are all ROW_CELLS / 2 bytes, as rows of bytes."""
+        both = self.n[i] + self.n[j]
+        need = needed(self.n[i], self.n[j], percent)
+        # sets that share ``need`` tokens share one among the first n - need + 1 of each
+        ok = (self.place[i] <= self.n[i] - need) & (self.place[j] <= self.n[j] - need)
+        i, j, spare = i[ok], j[ok], (both - 2 * need)[ok]
+        differ = np.zeros(len(i), np.int64)
+        for word in range(self.sketch.shape[1]):
+            differ += np.bitwise_count(self.sketch[i, word] ^ self.sketch[j, word])
+        ok = differ <= spare
+        return i[ok], j[ok]
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    """A binary column whose values are all ROW_BITS long, as rows of 64-bit words."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     _, offsets, data = column.buffers()
+    if not len(column):
+        return np.empty((0, ROW_BITS // 64), np.uint64)
     ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, ROW_CELLS // 2)
-
-
-def _remaining_pairs(docs: DataFrame, classes: DataFrame, levels, width: int, percent: int) -> DataFrame:
-    """(a, b): all pairs of classes that share a prefix token and are not connected yet."""
+    return np.frombuffer(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].tobytes(), np.uint64).reshape(-1, ROW_BITS // 64)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Sorted batches as tables of whole groups, False beside them; rows of groups larger than ``most`` come as they are, True beside them."""
+    held, large = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if large is not None:
+            same = np.ones(len(table), bool)
+            for k, v in zip(keys, large, strict=True):
+                same &= np.asarray(table.column(k)) == v
+            size = int(same.sum())  # sorted: the group goes on at the front only
+            if size:
+                yield table.slice(0, size), True
+            table = table.slice(size)
+            if not len(table):
+                continue
+            large = None
+        table = pa.concat_tables([held, table]) if held is not None else table
+        last = int(_runs(*(np.asarray(table.column(k)) for k in keys))[-1])
+        if last:
+            yield table.slice(0, last), False
+        held = table.slice(last).combine_chunks()
+        if most is not None and len(held) > most:
+            large = [held.column(k)[0].as_py() for k in keys]
+            yield held, True
+            held = None
+    if held is not None:
+        yield held, False
+
+
+def _prefix_rows(docs: DataFrame, placed: DataFrame, rarity, width: int, percent: int) -> DataFrame:
+    """(token, salt, rep, comp, at, prev, sketch): a row for each token of each class's first prefix."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, rarity = Shingler(width), levels.value
+        shingles, level, salts = Shingler(width), rarity.value.level, rarity.value.salts
         for batch in batches:
             reps, comps, texts = np.asarray(batch.column("rep")), np.asarray(batch.column("comp")), batch.column("text").to_pylist()
             for part in groups(texts):
                 tokens, bounds = shingles(texts[part])
-                keys, n = order_keys(tokens, rarity, 1), np.diff(bounds)
+                keys, n = order_keys(tokens, level, 1), np.diff(bounds)
                 found = [prefix(tokens[a:b], keys[a:b], percent) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 size = np.fromiter(map(len, found), np.int64, len(found))
-                columns = [np.concatenate(found).view(np.int64), np.repeat(reps[part], size), np.repeat(comps[part], size), np.repeat(n, size).astype(np.int32)]
-                columns.append((np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32))
-                cells = np.repeat(half_bytes(tokens, bounds), size, axis=0)
-                for i in range(0, len(columns[0]), 200_000):
-                    wide = np.ascontiguousarray(cells[i : i + 200_000])
-                    bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ROW_CELLS // 2), len(wide), [None, pa.py_buffer(wide)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 200_000]) for c in columns), bytes_], names=["token", "rep", "comp", "n", "place", "cells"])
-
-    chosen = _bounded(classes.select(F.col("rep").alias("doc_id"), "rep", "comp"))
-    rows = _documents(docs).join(chosen, "doc_id").select("rep", "comp", "text").mapInArrow(emit, "token long, rep long, comp long, n int, place int, cells binary")
+                token = np.concatenate(found) if found else np.empty(0, np.uint64)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                prev = np.r_[np.uint64(0), token[:-1]] if len(token) else token
+                rep = np.repeat(reps[part], size)
+                deal = salts[bins(token)].astype(np.int64)
+                salt = np.where(deal > 0, (mixed(rep.view(np.uint64), 5) >> np.uint64(1)).astype(np.int64) % np.maximum(deal, 1), -1).astype(np.int32)
+                columns = [token.view(np.int64), salt, rep, np.repeat(comps[part], size), (np.repeat(n, size) << 32) | place, prev.view(np.int64)]
+                rows = np.stack([folded(np.frombuffer(s, np.uint8), ROW_BITS // 8) for s in sketches(tokens, bounds)])
+                for i in range(0, len(token), 50_000):
+                    owner = np.repeat(np.arange(len(size)), size)[i : i + 50_000]
+                    wide = np.ascontiguousarray(rows[owner])
+                    bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ROW_BITS // 8), len(wide), [None, pa.py_buffer(wide)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 50_000]) for c in columns), bytes_], names=["token", "salt", *Met.NAMES])
+
+    chosen = _bounded(placed.select(F.col("rep").alias("doc_id"), "rep", "comp"))
+    return _documents(docs).join(chosen, "doc_id").select("rep", "comp", "text").mapInArrow(emit, "token long, salt int, rep long, comp long, at long, prev long, sketch binary")
+
+
+def _remaining_pairs(docs: DataFrame, placed: DataFrame, rarity, width: int, percent: int) -> DataFrame:
+    """(a, b): pairs of classes that share a token of the first order's prefixes, could be similar and aren't connected yet."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [*(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32)), np.empty((0, ROW_CELLS // 2), np.uint8)]
+        names = ["a", "b", "token", *Met.NAMES[1:]]
 
-        def found(columns):
-            a, b = _cross_pairs(*columns, percent)
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            if len(both):
-                yield pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
+        def later(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.append_column("a", table.column("rep")).append_column("b", pa.nulls(len(table), pa.int64())).select(names)
+            yield from table.to_batches(max_chunksize=50_000)
 
-        for batch in batches:
-            if not batch.num_rows:
+        for table, large in _streamed(batches, ["token"], BLOCK):
+            heavy = pc.greater_equal(table.column("salt"), 0)
+            if large or pc.all(heavy).as_py():
+                yield from later(table)
                 continue
-            new = [*(np.asarray(batch.column(i)) for i in range(5)), _fixed(batch.column(5))]
-            columns = [np.concatenate(pair) for pair in zip(held, new, strict=True)]
-            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last token may go on in the next batch
-            if last:
-                yield from found([c[:last] for c in columns])
-            held = [c[last:] for c in columns]
-        if len(held[0]):
-            yield from found(held)
-
-    parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(parts, "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+            if pc.any(heavy).as_py():
+                yield from later(table.filter(heavy))
+                table = table.filter(pc.invert(heavy))
+            token, comp = np.asarray(table.column("token")), np.asarray(table.column("comp"))
+            order = np.lexsort((comp, token))
+            token, comp = token[order], comp[order]
+            starts = _runs(token, comp)
+            size = np.diff(np.r_[starts, len(token)])
+            first = _runs(token[starts])
+            # rows of the token's largest component come last and look for no one
+            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(starts)]))
+            largest = np.maximum.reduceat(size, first)[group]
+            place = np.arange(len(starts))
+            main = place == np.minimum.reduceat(np.where(size == largest, place, len(starts)), first)[group]
+            seen = np.lexsort((np.repeat(main, size), token))
+            order, main = order[seen], np.repeat(main, size)[seen]
+            ends = np.repeat(np.r_[_runs(token)[1:], len(token)], np.diff(np.r_[_runs(token), len(token)]))
+            for found in Met(table.take(pa.array(order))).pairs(np.arange(1, len(order) + 1), np.where(main, 0, ends), percent):
+                more = [pa.nulls(len(found), t) for t in (pa.int64(),) * 4 + (pa.binary(),)]
+                yield pa.RecordBatch.from_arrays([*found.columns, *more], names=names)
+
+    rows = _prefix_rows(docs, placed, rarity, width, percent).repartition("token", "salt").sortWithinPartitions("token")
+    met = durable(rows.mapInArrow(meet, "a long, b long, token long, comp long, at long, prev long, sketch binary"))
+    heavy = met.where("b is null").select("token", F.col("a").alias("rep"), *Met.NAMES[1:])
+    return met.where("b is not null").select("a", "b").unionByName(_block_pairs(heavy, percent)).distinct()
+
+
+def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the tokens of very many classes: each pair of a token's blocks is a group of its own.
+
+    The classes of a token's largest component have blocks apart, which aren't compared with each other.
+    """
+    counted = rows.groupBy("token", "comp").agg(F.count("*").alias("size"))
+    blocks = counted.groupBy("token").agg(F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by("comp", "size").alias("main")).where(F.col("all") > F.col("most"))
+    blocks = blocks.select("token", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("others"))
+    mixed_ = F.xxhash64("rep", F.lit(3))
+    marked = rows.join(blocks, "token").withColumn("block", F.when(F.col("comp") == F.col("main"), F.pmod(mixed_, F.col("mains"))).otherwise(F.col("mains") + F.pmod(mixed_, F.col("others"))).cast("int"))
+    met = F.sequence(F.when(F.col("comp") == F.col("main"), F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)
+    dealt = marked.select("token", *Met.NAMES, "block", F.explode(met).alias("other"))
+    dealt = dealt.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *Met.NAMES)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in _streamed(batches, ["token", "low", "high"]):
+            token, low, high, block = (np.asarray(table.column(c)) for c in ("token", "low", "high", "block"))
+            starts = _runs(token, low, high)
+            size = np.diff(np.r_[starts, len(token)])
+            end = np.repeat(starts + size, size)
+            # in a group of two blocks the first one's rows look for the second's, in a group of one each row for those after it
+            second = np.repeat(starts + np.add.reduceat((block == low).astype(np.int64), starts), size)
+            begin = np.where(low == high, np.arange(len(token)) + 1, second)
+            yield from Met(table).pairs(begin, np.where((low == high) | (block == low), end, 0), percent)
+
+    keys = ["token", "low", "high"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "block").mapInArrow(compare, "a long, b long")
 
 
 def _placed(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -434,17 +591,17 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     profiles = durable(_profiles(docs, width))
-    levels = spark.sparkContext.broadcast(_levels(profiles))  # 2**COUNT_BITS bytes, whatever the corpus
-    rows = profiles.where("counts is null").select("doc_id", "n", "s1", "s2", "firsts", "spread")
-    members = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"), F.first("spread").alias("spread"))
+    rarity = spark.sparkContext.broadcast(_rarity(profiles))  # 3 * 2**COUNT_BITS bytes, whatever the corpus
+    rows = profiles.where("counts is null").select("doc_id", "n", "s1", "s2", "firsts", "sketch")
+    members = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch"))
     classes = durable(members)
     leaders = durable(_leader_pairs(classes))
-    links = durable(_verified(docs, leaders, levels, width, percent))
+    links = durable(_verified(docs, leaders, rarity, width, percent))
     placed = _placed(classes, links)
     again = durable(_could_be(_part_pairs(classes, placed), classes, percent))
-    placed = _placed(classes, _verified(docs, again, levels, width, percent).unionByName(_as_links(placed)))
-    rest = durable(_could_be(_remaining_pairs(docs, placed, levels, width, percent), classes, percent))
-    more = durable(_verified(docs, rest, levels, width, percent))
+    placed = _placed(classes, _verified(docs, again, rarity, width, percent).unionByName(_as_links(placed)))
+    rest = durable(_could_be(_remaining_pairs(docs, placed, rarity, width, percent), classes, percent))
+    more = durable(_verified(docs, rest, rarity, width, percent))
     final = _placed(classes, more.unionByName(_as_links(placed))).withColumnRenamed("comp", "component_id")
     named = classes.select("n", "s1", "s2", "rep").join(final, "rep").drop("rep")
     return rows.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
