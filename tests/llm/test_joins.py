@@ -205,6 +205,33 @@ def test_neighbours_recall_and_scores(spark):
             assert abs(score - x[ids.index(v)] @ x[ids.index(q)]) < 1e-12
 
 
+@pytest.mark.parametrize("rows,spread,most", [(2_000, 0.0, 0.6), (2_000, 1.0, 0.7), (50_000, 0.0, 0.2), (50_000, 1.0, 0.2)])
+def test_recall_and_share_of_vectors_without_structure(spark, tmp_path, rows, spread, most):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(rows, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(spread * rng.normal(size=(rows, 1)))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(rows), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    got = ann.neighbours(spark.read.parquet(str(tmp_path / "v.parquet"))).toPandas()
+    assert len(got) == rows // 20 * 20
+    assert got.groupby("query_id").n_scored.first().mean() / rows <= most
+    asked = np.arange(0, rows, 20)[:300]
+    scores = x[asked].astype(float) @ x.T.astype(float)
+    scores[np.arange(len(asked)), asked] = -np.inf
+    found = got.groupby("query_id").vec_id.agg(set)
+    assert np.mean([len(found[q] & set(np.argsort(-s)[:20].tolist())) / 20 for q, s in zip(asked.tolist(), scores, strict=True)]) >= 0.95
+
+
+def test_repeated_ids_have_a_defined_vector(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 5.0]), (1, [2.0, 3.0]), (1, None), (2, [1.0, 1.0])]
+    for n in (1, 3):
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n)
+        got = {r["vec_id"]: r["score"] for r in ann.neighbours(vectors).collect() if r["query_id"] == 0}
+        assert got == {1: 2.0, 2: 1.0}
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (1, [3.0, 0.0]), (7, [1.0, 2.0, 3.0]), (40, [-1.0, 1e-3]), (8, [])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("slot", F.lit("clash"))

@@ -5,6 +5,12 @@ has coded. New words become token-position rows of an in-process DuckDB table; t
 query joins neighbours with the merge table and contracts each word's leftmost pair of minimum
 rank until no word has a pair left. Decoding joins ids with the vocabulary and aggregates their
 bytes in order.
+
+A long word is coded in blocks, so that the work grows with its length and not with its square.
+Two codes may be joined as they are where the last token of one and the first of the other, coded
+together, stay apart: no merge of the whole word crosses that place then, since the first to do so
+would be the least pair of these two tokens' bytes as well. Otherwise the tokens around the place
+are coded anew, and the result is taken where it begins and ends with a token that was there before.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ MEMORY_WORDS = 600_000
 
 #: Words coded by one query, and tokens decoded by one, to bound DuckDB's memory.
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 60_000, 2_000_000
+#: Bytes from which a word is coded in blocks, and the bytes of a block.
+LONG, BLOCK = 512, 128
 
 # A row is a token: its word's number and its place in the word are the halves of wp, and key is the
 # rank of the pair that it starts, above its place. So the least key of a word is its leftmost pair of
@@ -56,7 +64,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
 
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, rank = [], [], []
@@ -76,11 +84,63 @@ class Coder:
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each word; an empty word has none."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            short = self.encode_words([b"" if len(w) > LONG else w for w in words])
+            for i, ids in zip(long, self._encode_long([words[i] for i in long]), strict=True):
+                short[i] = ids
+            return short
         out: list[np.ndarray] = []
         for i in range(0, len(words), WORDS_AT_ONCE):
             out += self._encode(words[i : i + WORDS_AT_ONCE])
         return out
 
+    def _whole(self, words: list[bytes]) -> list[list[int]]:
+        """Codes of the words, equal ones coded once."""
+        distinct = list(dict.fromkeys(words))
+        ids = dict(zip(distinct, (x.tolist() for i in range(0, len(distinct), WORDS_AT_ONCE) for x in self._encode(distinct[i : i + WORDS_AT_ONCE])), strict=True))
+        return [ids[w] for w in words]
+
+    def _encode_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """Token ids of long words, by blocks."""
+        blocks = [[w[i : i + BLOCK] for i in range(0, len(w), BLOCK)] for w in words]
+        ids = iter(self._whole([b for word in blocks for b in word]))
+        codes = [[next(ids) for _ in word] for word in blocks]
+        while True:
+            open_ = [(w, j) for w, word in enumerate(codes) for j in range(len(word) - 1)]
+            seams: dict[tuple[int, int], tuple[int, list[int]]] = {}
+            reach = 1
+            while open_:
+                # a block keeps a token that neither of its ends' seams replaces
+                tried = [(w, j) for w, j in open_ if reach - 1 <= min(len(codes[w][j]) - 1, len(codes[w][j + 1]) - 1) // 2]
+                around = [(codes[w][j][-reach:], codes[w][j + 1][:reach]) for w, j in tried]
+                again = self._whole([b"".join(self.bytes_of[i] for i in left + right) for left, right in around])
+                seams |= {at: (reach, new) for at, (left, right), new in zip(tried, around, again, strict=True) if len(new) > 1 and new[0] == left[0] and new[-1] == right[-1]}
+                open_ = [at for at in tried if at not in seams]
+                reach *= 2
+            failed = [[j for j in range(len(word) - 1) if (w, j) not in seams] for w, word in enumerate(codes)]
+            if not any(failed):
+                return [self._joined(word, [seams[w, j] for j in range(len(word) - 1)]) for w, word in enumerate(codes)]
+            # blocks on both sides of a place without a seam become one
+            for w, places in enumerate(failed):
+                for j in reversed(places):
+                    blocks[w][j : j + 2] = [blocks[w][j] + blocks[w][j + 1]]
+                    codes[w][j : j + 2] = [[]]
+            todo = [(w, j) for w, word in enumerate(codes) for j, ids in enumerate(word) if not ids]
+            for (w, j), new in zip(todo, self._whole([blocks[w][j] for w, j in todo]), strict=True):
+                codes[w][j] = new
+
+    @staticmethod
+    def _joined(word: list[list[int]], seams: list[tuple[int, list[int]]]) -> np.ndarray:
+        """A word's blocks with each seam's tokens in place of those around it, its first and last being the blocks' own."""
+        out: list[int] = []
+        begin = 0
+        for block, (reach, new) in zip(word, seams, strict=False):
+            out += block[begin : len(block) - reach + 1]
+            out += new[1:-1]
+            begin = reach - 1
+        return np.array(out + word[-1][begin:], np.int32)
+
     def _encode(self, words: list[bytes]) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), sizes)

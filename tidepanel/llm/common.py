@@ -18,16 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a folder beside the warehouse stands in.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on
+    one machine, a folder in the session's warehouse stands in, which executors share as well.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(place or f"{spark.conf.get('spark.sql.warehouse.dir')}/../spark-warehouse/checkpoints")
+        spark.sparkContext.setCheckpointDir(place or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint(eager=True)
 
 
+def rows_apart(docs: DataFrame, *needed) -> DataFrame:
+    """Each row whole, as a struct named row, beside the columns that an operator reads: no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
+
+
+def beside_rows(done: DataFrame, added: tuple[str, ...]) -> DataFrame:
+    """The rows' columns and the added ones; of equal names (in any case) the added column stays."""
+    taken = {a.lower() for a in added}
+    return done.select(*[F.col("row")[c].alias(c) for c in done.schema["row"].dataType.names if c.lower() not in taken], *added)
+
+
 def map_documents(docs: DataFrame, work: Callable[[list, list], dict], schema: str) -> DataFrame:
     """Run ``work(ids, texts)`` over Arrow batches of (doc_id, text); a null text counts as empty.
 

@@ -2,30 +2,34 @@
 
 Keys are counted in one map-side-combined aggregation of 128-bit hashes. The keys that reach the
 threshold are dealt into shards; each shard becomes a bit-level minimal perfect hash whose slots
-index a fingerprint, a count and a last-holder array. While all shards together stay under
+index a fingerprint, a count and a last-holder array. While the built shards together stay under
 ``BROADCAST_BYTES`` every task gets them and documents probe them in place, so the texts are
-never shuffled. Above it, documents send the hashes of their own lines to the shards and only the
-hits return; the result is the same.
+never shuffled. Above it, documents send the hashes of their own lines to the shards, streaming
+past their arrays, and only the hits return; the result is the same.
+
+Counting is an aggregation, as a hash over all distinct lines would hold mostly lines that occur
+once: only keys that reach the threshold are worth a slot.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidepanel.llm.common import durable
+from tidepanel.llm.common import beside_rows, durable, rows_apart
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: All shards together may be this large to be broadcast; a key takes about 25 bytes.
+#: All shards together may be this large, as measured, to be broadcast.
 BROADCAST_BYTES = 48 << 20
-#: Keys in a shard on average.
-SHARD_KEYS = 200_000
+#: Keys in a shard, and lines that a task sends past a shard, on average.
+SHARD_KEYS, TASK_LINES = 200_000, 4_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -141,7 +145,7 @@ def repeated_keys(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             ends = np.r_[new[1:], len(low)]
             yield pa.RecordBatch.from_pydict({"low": low[new].view(np.int64), "high": high[new].view(np.int64), "n": ends - new, "last": ids[ends - 1]})
 
-    found = docs.select("doc_id", "text").mapInArrow(work, "low long, high long, n long, last long")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "low long, high long, n long, last long")
     return found.groupBy("low", "high").agg(F.sum("n").alias("n_docs"), F.max("last").alias("last_doc")).where(F.col("n_docs") >= min_docs)
 
 
@@ -165,18 +169,23 @@ def _rewritten(ids: list, texts: list, drops) -> tuple[list, list, list]:
     return [len(s) for s in split], dropped, kept
 
 
+def _shard(n_shards: int):
+    return F.pmod(F.shiftright("low", 7), F.lit(n_shards)).cast("int").alias("shard")
+
+
 def build_shards(keys: DataFrame, n_shards: int) -> DataFrame:
     """(shard, arrays): each shard's pickled arrays, built where its keys meet."""
-    import pickle
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["low"].to_numpy(np.int64).view(np.uint64), pdf["high"].to_numpy(np.int64).view(np.uint64)
+    def build(group: pa.Table) -> pa.Table:
+        low, high = (np.asarray(group.column(c), np.int64).view(np.uint64) for c in ("low", "high"))
+        n_docs, last = (np.asarray(group.column(c), np.int64) for c in ("n_docs", "last_doc"))
         # two keys that agree in the first half only (about n**2 / 2**65 of them) are told apart by a spare shard
-        first = ~pd.Series(low).duplicated().to_numpy()
-        made = [Shard(low[m], high[m], pdf["n_docs"].to_numpy()[m], pdf["last_doc"].to_numpy()[m]) for m in (first, ~first)]
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "arrays": [pickle.dumps(made)]})
+        first = np.zeros(len(low), bool)
+        first[np.unique(low, return_index=True)[1]] = True
+        made = [Shard(low[m], high[m], n_docs[m], last[m]) for m in (first, ~first)]
+        return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "arrays": pa.array([pickle.dumps(made)], pa.binary())})
 
-    return keys.withColumn("shard", F.pmod(F.shiftright("low", 7), F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, arrays binary")
+    return keys.select(_shard(n_shards), "*").groupBy("shard").applyInArrow(build, "shard int, arrays binary")
 
 
 def _probing(low: np.ndarray, high: np.ndarray, shards: dict, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,64 +199,66 @@ def _probing(low: np.ndarray, high: np.ndarray, shards: dict, n_shards: int) ->
     return member, last
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents' other columns stay; n_lines, n_dropped and kept (the text's kept lines) are added.
+ADDED = ("n_lines", "n_dropped", "kept")
 
-    A line goes if its key (stripped, A-Z lower-cased, 40 code points or more) is in ``min_docs``
-    documents and this isn't the largest doc_id that holds it. Null or empty texts are one empty
-    line. A row is a document: rows that repeat a doc_id count once each, and if theirs is the
-    largest id all of them keep the line. Rows without doc_id are not counted and lose nothing.
-    """
-    import pickle
 
-    names = docs.columns
+def deduped_rows(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(row, n_lines, n_dropped, kept): each row of ``docs`` as a struct beside its counts and kept lines."""
     keys = durable(repeated_keys(docs, min_docs))
-    n_keys = keys.count()
-    n_shards = max(1, -(-n_keys // SHARD_KEYS))
-    shards = build_shards(keys, n_shards)
-    at_id, at_text = names.index("doc_id"), names.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_lines long", "n_dropped long", "kept string"])
+    n_shards = max(1, -(-keys.count() // SHARD_KEYS))
+    shards = durable(build_shards(keys, n_shards))
+    rows = rows_apart(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
+    size = shards.agg(F.sum(F.length("arrays"))).first()[0] or 0
+    if size > broadcast_bytes:
+        return _by_shards(rows, shards, n_shards, schema)
+    sent = docs.sparkSession.sparkContext.broadcast({r["shard"]: pickle.loads(bytes(r["arrays"])) for r in shards.collect()})  # broadcast_bytes at most
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def drops(low, high, owner):
+            member, last = _probing(low, high, sent.value, n_shards)
+            return member & (last != owner)
 
-    def rewrite(batches, table, n_shards):
         for batch in batches:
-            ids, texts = batch.column(at_id).to_pylist(), batch.column(at_text).to_pylist()
-            if not ids:
-                continue
+            if batch.num_rows:
+                yield _finished(batch, *_rewritten(batch.column(1).to_pylist(), batch.column(2).to_pylist(), drops))
 
-            def drops(low, high, owner):
-                member, last = _probing(low, high, table, n_shards)
-                return member & (last != owner)
+    return rows.mapInArrow(here, schema)
 
-            lines, dropped, kept = _rewritten(ids, texts, drops)
-            more = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "n_lines", "n_dropped", "kept"])
 
-    if n_keys * 25 <= broadcast_bytes:
-        sent = docs.sparkSession.sparkContext.broadcast([(r["shard"], bytes(r["arrays"])) for r in shards.collect()])
+def _finished(batch: pa.RecordBatch, lines: list, dropped: list, kept: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", *ADDED])
 
-        def here(batches):
-            table = {k: pickle.loads(v) for k, v in sent.value}
-            yield from rewrite(batches, table, n_shards)
 
-        return docs.mapInArrow(here, schema)
-    return _by_shards(docs, shards, n_shards, schema, names)
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents' columns, with n_lines, n_dropped and kept (the text's kept lines).
 
+    A line goes if its key (stripped, A-Z lower-cased, 40 code points or more) is in ``min_docs``
+    documents and this isn't the largest doc_id that holds it. Null or empty texts are one empty
+    line. A row is a document: rows that repeat a doc_id count once each, and if theirs is the
+    largest id all of them keep the line. Rows without doc_id are not counted and lose nothing.
+    Very long texts and lines are read whole. A column of ``docs`` named like an added one gives
+    way to it; an empty table stays empty.
+    """
+    return beside_rows(deduped_rows(docs, min_docs, broadcast_bytes), ADDED)
 
-def _by_shards(docs: DataFrame, shards: DataFrame, n_shards: int, schema: str, names: list[str]) -> DataFrame:
+
+def _by_shards(rows: DataFrame, shards: DataFrame, n_shards: int, schema: T.StructType) -> DataFrame:
     """The way beyond the broadcast bound: line hashes travel to the shards, hits return to their rows.
 
-    The lines' hashes are dealt by shard and salt, so that a line of very many documents is spread;
-    every salt of a shard gets a copy of its arrays.
+    The lines are dealt by shard and salt, with as many salts as the number of lines asks for, so
+    that a line of very many documents is spread; every salt of a shard gets a copy of its arrays,
+    which come first in its group, and the lines stream past them.
     """
-    import pickle
-
-    salts = 8
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = durable(rows.withColumn("id", F.monotonically_increasing_id()))
+    # a keyed line has MIN_CHARS characters at least
+    most = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // MIN_CHARS
+    salts = max(1, -(-most // (TASK_LINES * n_shards)))
 
-    def emit(batches):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, row, lows, highs = [], [], [], []
-            for r, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for r, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc_id is not None and text is not None:
                     _, low, high = _hashes(_lines(text))
                     lows.append(low)
@@ -255,42 +266,47 @@ def _by_shards(docs: DataFrame, shards: DataFrame, n_shards: int, schema: str, n
                     owner.append(np.full(len(low), doc_id, np.int64))
                     row.append(np.full(len(low), r, np.int64))
             if lows:
-                yield pa.RecordBatch.from_pydict({"row": np.concatenate(row), "owner": np.concatenate(owner), "low": np.concatenate(lows).view(np.int64), "high": np.concatenate(highs).view(np.int64)})
-
-    lines = rows.select("_row", "doc_id", "text").mapInArrow(emit, "row long, owner long, low long, high long").distinct()
-    lines = lines.withColumn("shard", F.pmod(F.shiftright("low", 7), F.lit(n_shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    tables = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                yield pa.RecordBatch.from_pydict({"id": np.concatenate(row), "owner": np.concatenate(owner), "low": np.concatenate(lows).view(np.int64), "high": np.concatenate(highs).view(np.int64)})
 
-    def probe(key, left, right):
-        if not len(right) or not len(left):
-            return pd.DataFrame({"row": [], "low": [], "high": []}).astype("int64")
-        low, high = left["low"].to_numpy(np.int64).view(np.uint64), left["high"].to_numpy(np.int64).view(np.uint64)
-        member, last = _probing(low, high, {int(key[0]): pickle.loads(right["arrays"].iloc[0])}, n_shards)
-        return left.loc[member & (last != left["owner"].to_numpy()), ["row", "low", "high"]]
+    lines = rows.select("id", "doc_id", "text").mapInArrow(emit, "id long, owner long, low long, high long").distinct()
+    lines = lines.select(_shard(n_shards), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "id", "owner", "low", "high", F.lit(None).cast("binary").alias("arrays"))
+    copies = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.lit(None).cast("long").alias(c) for c in ("id", "owner", "low", "high")], "arrays")
 
-    hits = lines.groupBy("shard", "salt").cogroup(tables.groupBy("shard", "salt")).applyInPandas(probe, "row long, low long, high long")
-    per_row = hits.groupBy("row").agg(F.collect_list("low").alias("_lows"), F.collect_list("high").alias("_highs"))
-    joined = rows.join(per_row, rows["_row"] == per_row["row"], "left").select(*[rows[f"`{c}`"] for c in names], "_lows", "_highs")
-    at_id, at_text = names.index("doc_id"), names.index("text")
-
-    def finish(batches):
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: dict = {}
+        for batch in batches:
+            places = np.flatnonzero(np.asarray(batch.column("arrays").is_valid())).tolist()
+            for begin, end in zip([-1, *places], [*places, batch.num_rows], strict=True):
+                # a shard's arrays are followed by its lines, maybe over several batches
+                if begin >= 0:
+                    shard = {batch.column("shard")[begin].as_py(): pickle.loads(batch.column("arrays")[begin].as_py())}
+                part = batch.slice(begin + 1, end - begin - 1)
+                if part.num_rows:
+                    low, high = (np.asarray(part.column(c), np.int64).view(np.uint64) for c in ("low", "high"))
+                    member, last = _probing(low, high, shard, n_shards)
+                    hit = pa.array(member & (last != np.asarray(part.column("owner"))))
+                    yield pa.RecordBatch.from_arrays([part.column(c).filter(hit) for c in ("id", "low", "high")], names=["id", "low", "high"])
+
+    dealt = lines.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("arrays").isNull())
+    hits = dealt.mapInArrow(probe, "id long, low long, high long")
+    per_row = hits.groupBy("id").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    joined = rows.join(per_row, "id", "left").select("row", "doc_id", "text", "lows", "highs")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(at_id).to_pylist(), batch.column(at_text).to_pylist()
-            lows, highs = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            lines, dropped, kept = [], [], []
-            for i, t, a, b in zip(ids, texts, lows, highs, strict=True):
+            made: tuple[list, list, list] = ([], [], [])
+            for i, t, a, b in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 gone = set(zip(a or (), b or (), strict=True))
-                n, d, k = _rewritten([i], [t], lambda low, high, _, gone=gone: np.array([x in gone for x in zip(low.view(np.int64).tolist(), high.view(np.int64).tolist(), strict=True)], bool))
-                lines += n
-                dropped += d
-                kept += k
-            more = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=[*names, "n_lines", "n_dropped", "kept"])
+                one = _rewritten([i], [t], lambda low, high, _, gone=gone: np.array([x in gone for x in zip(low.view(np.int64).tolist(), high.view(np.int64).tolist(), strict=True)], bool))
+                for whole, part in zip(made, one, strict=True):
+                    whole += part
+            yield _finished(batch, *made)
 
     return joined.mapInArrow(finish, schema)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256, one row for each input row; see ``dedup_lines`` for odd rows."""
     done = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 

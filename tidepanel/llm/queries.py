@@ -23,42 +23,52 @@ def pattern() -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document. Null and empty texts score the base rate; repeated rows, null ids and clashing columns do no harm; ties in the sample's order go by doc_id; no rows, no result."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest of every 20th vector. Null, zero and non-finite vectors and null ids take no part; a repeated id has its smallest vector; ties go to smaller ids; no rows, no result; other columns are ignored."""
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, one rendered turn a row. Null roles are unknown and null texts empty; repeated rows count once; a null conv_id is left out; equal logs leave the smallest id; no rows, no result; other columns are ignored."""
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document. Null and empty texts are linked with nothing; repeated rows get a row each; a null doc_id has no component; long texts are read whole; no rows, no result; other columns are ignored."""
     return ngram_join.components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text. A null text is empty; equal doc_ids are put in order by their texts; long texts are read whole; no rows, no result; other columns are ignored."""
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text. A null text is empty and has no ids; repeated rows get a row each; long words are coded in blocks, whole; no rows, no result; other columns are ignored."""
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text. A null text is empty; spans that start together stand in the order of kinds; repeated rows get a row each; long texts are read whole; no rows, no result; other columns are ignored."""
     return secret_scan.secrets_digest(table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept of every text. A null or empty text is one empty line; rows with the same doc_id count once each and keep their lines together; a null doc_id loses nothing; long texts are read whole; no rows, no result; other columns are ignored."""
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text. A null text is empty; spans that start together stand in the order of kinds; repeated rows get a row each; long texts are read whole; no rows, no result; other columns are ignored."""
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their sequence. A null text is empty and gives its end token; repeated rows get places of their own, null ids as well; long texts are cut, whole; no rows, no result; other columns are ignored."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 

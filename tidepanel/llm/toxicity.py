@@ -16,10 +16,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidepanel.llm.common import beside_rows, rows_apart
 
 #: Bound of the labelled sample for the fit: this many toxic and as many clean documents, those
 #: with the smallest hashes of their doc_id. Everything else covers all rows.
 MAX_PER_CLASS = 3000
+#: Features that a document of the sample gives at most, those of the smallest numbers: the sample has a fixed largest size.
+MAX_FEATURES = 20_000
 BITS = 18
 STRIP = ".,;:!?\"'()[]{}<>|#$%&*-_"
 #: A document is rejected from this probability of any toxic grade on (of held-out documents, toxic ones lie above and clean ones far below).
@@ -55,7 +60,11 @@ class _Cache(dict):
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """(toxic, features) of the bounded sample; a document labelled twice counts as toxic if any label says so."""
+    """(toxic, features) of the bounded sample, one row for each doc_id.
+
+    A document labelled twice counts as toxic if any label says so; of rows that repeat a doc_id
+    the one with the smallest text counts.
+    """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     picked = [marked.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(per_class) for t in (0, 1)]
@@ -64,10 +73,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Cache(features)
         for batch in batches:
-            rows = [np.array([f for w in words(t or "") for f in cache[w]], np.int32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0).cast(pa.int32()), "features": pa.array(rows, pa.binary())})
+            rows = [np.array(sorted(f for w in words(t or "") for f in cache[w])[:MAX_FEATURES], np.int32).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "features"])
 
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text").mapInArrow(run, "toxic int, features binary")
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
+    first = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return first.mapInArrow(run, "doc_id long, toxic int, features binary").select("toxic", "features")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -142,20 +153,18 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], prior: float, penalty: float
 def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> OrdinalModel:
     """Fit on the bounded sample; without labels of both classes every document scores 0."""
     prior = labels.where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    rows = sample(docs, labels, per_class).collect()  # at most 2 * per_class rows of feature numbers
+    rows = sample(docs, labels, per_class).collect()  # at most 2 * per_class rows of MAX_FEATURES numbers
     rows.sort(key=lambda r: (r["toxic"], bytes(r["features"])))
     toxic = np.array([r["toxic"] for r in rows], np.int64)
     return fit(toxic, [np.frombuffer(bytes(r["features"]), np.int32) for r in rows], min(max(prior or 0.0, 0.01), 0.99))
 
 
-def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """All rows and columns of ``docs``, with p_mild, p_severe (at least that grade), severity, grade and rejected.
+ADDED = ("p_mild", "p_severe", "severity", "grade", "rejected")
 
-    Null and empty texts have no features: they get the thresholds' base rate and are kept.
-    """
-    names = docs.columns
-    at = names.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "p_mild double, p_severe double, severity double, grade int, rejected boolean"])
+
+def scored_rows(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """(row, p_mild, p_severe, severity, grade, rejected): each row of ``docs`` as a struct beside its scores."""
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(a, t()) for a, t in zip(ADDED, (T.DoubleType, T.DoubleType, T.DoubleType, T.IntegerType, T.BooleanType), strict=True))])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,16 +172,26 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
         weights = model.weights
         cache = _Cache(lambda w: float(sum(weights[f] for f in features(w))))
         for batch in batches:
-            score = np.array([sum(map(cache.__getitem__, words(t))) if t else 0.0 for t in batch.column(at).to_pylist()], np.float64)
+            score = np.array([sum(map(cache.__getitem__, words(t))) if t else 0.0 for t in batch.column(1).to_pylist()], np.float64)
             p = model.exceed(score)
             severity = p.sum(1)
             more = [p[:, 0], p[:, 1], severity, np.rint(severity).astype(np.int32), p[:, 0] >= REJECT_AT]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more)], names=[*names, "p_mild", "p_severe", "severity", "grade", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, more)], names=["row", *ADDED])
 
-    return docs.mapInArrow(run, schema)
+    return rows_apart(docs, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """All rows and columns of ``docs``, with p_mild, p_severe (at least that grade), severity, grade and rejected.
+
+    Null and empty texts have no features: they get the thresholds' base rate and are kept. Each
+    row is scored by its own text, so repeated rows score the same and a null doc_id does no harm.
+    Long texts are read whole. A column of ``docs`` that has the name of a score gives way to it.
+    """
+    return beside_rows(scored_rows(docs, model), ADDED)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_mild, p_severe, severity, grade, rejected for every document."""
+    """doc_id, p_mild, p_severe, severity, grade, rejected for every row; see ``score`` and ``train`` for odd rows."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return score(slim, train(slim, labels)).drop("text")
