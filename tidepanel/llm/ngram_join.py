@@ -222,8 +222,8 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
     return _documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, sketch binary, counts binary")
 
 
-def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """The sums of the arrays with equal keys; a task holds one sum at a time."""
+def _added(parts: DataFrame, keys: list[str], coded: bool) -> DataFrame:
+    """The sums of the arrays (bytes that are codes, or numbers) with equal keys; a task holds one sum at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
@@ -231,7 +231,7 @@ def _added(parts: DataFrame, keys: list[str]) -> DataFrame:
             for *mine, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if mine != key and key is not None:
                     yield pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.int32()) for k, v in zip(keys, key, strict=True)}, "part": [total.astype(np.uint32).tobytes()]})
-                new = np.frombuffer(part, np.uint32).astype(np.uint64)
+                new = (_DECODED[np.frombuffer(part, np.uint8)] if coded else np.frombuffer(part, np.uint32)).astype(np.uint64)
                 key, total = (mine, np.minimum(total + new, 0xFFFFFFFF)) if mine == key else (mine, new)
         if key is not None:
             yield pa.RecordBatch.from_pydict({**{k: pa.array([v], pa.int32()) for k, v in zip(keys, key, strict=True)}, "part": [total.astype(np.uint32).tobytes()]})
@@ -257,13 +257,12 @@ def _rarity(profiles: DataFrame) -> Rarity:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for salt, one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = _DECODED[np.frombuffer(one, np.uint8)].reshape(pieces, size)
-                yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "salt": pa.array([salt] * pieces, pa.int32()), "part": [c.tobytes() for c in counts]})
+                yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "salt": pa.array([salt] * pieces, pa.int32()), "part": [one[i : i + size] for i in range(0, len(one), size)]})
 
-    whole = profiles.where("counts is not null").select(F.pmod(F.spark_partition_id(), F.lit(256)).alias("salt"), "counts")
+    whole = profiles.where("counts is not null").select(F.pmod(F.spark_partition_id(), F.lit(128)).alias("salt"), "counts")
     parts = whole.mapInArrow(cut, "piece int, salt int, part binary")
     counts = np.zeros((pieces, size), np.uint32)
-    for r in _added(_added(parts, ["piece", "salt"]), ["piece"]).collect():  # 16 rows, 8 MB in all, whatever the corpus
+    for r in _added(_added(parts, ["piece", "salt"], True), ["piece"], False).collect():  # 16 rows, 8 MB in all, whatever the corpus
         counts[r["piece"]] = np.frombuffer(bytes(r["part"]), np.uint32)
     return Rarity(counts.ravel())
 
