@@ -1,7 +1,9 @@
 """A corpus pipeline over ``documents``: score, clean, deduplicate, mask, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next stage's docs. All stages but the last keep the columns of ``documents``.
+read again as the next stage's docs. All stages but the last keep the columns of ``documents``,
+whatever others there are besides doc_id and text. Null and empty texts, null and repeated doc_ids
+pass through every stage by their operators' own rules; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import line_dedup, ngram_join, packing, pii, toxicity
-from tidepanel.llm.common import durable, table
+from tidepanel.llm.common import durable, small_batches, table
 from tidepanel.llm.queries import pattern, vocabulary
 
 
@@ -21,30 +23,34 @@ def _retexted(docs: DataFrame, text) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model rejects go; all others stay as they are."""
+    """Documents that the ordinal model rejects go; all others stay as they are, also null and empty texts."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return toxicity.scored_rows(docs, model).where(~F.col("rejected")).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated long lines leave all documents but their last holder; a null text stays null."""
-    done = line_dedup.dedup_lines(docs)
-    kept = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return _retexted(done, kept).select(*docs.columns)
+    small_batches(spark)
+    new = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    done = line_dedup.deduped_rows(docs).select(F.col("row").withField("text", new).alias("row")).select("row.*")
+    return _retexted(done, F.col("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents (five-word shingles, Jaccard 0.8) the smallest doc_id stays."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, width=5, percent=80).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind in angle brackets; no document goes."""
+    small_batches(spark)
     return _retexted(pii.mask_pii(docs), F.col("text")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
