@@ -65,9 +65,27 @@ def html_cells(html: Column, tag: str) -> Column:
     return F.transform(found, html_text)
 
 
-def common_stock(code: Column, industry: Column) -> Column:
-    """Four digits, not beginning with 00, and no fund or note by industry."""
-    return code.rlike("^[0-9]{4}$") & ~code.startswith("00") & ~F.coalesce(industry, F.lit("")).rlike("ETF|ETN|受益|存託")
+# Markets of common stocks, industries that are none, and words that tell others that are none.
+STOCK_MARKETS = ("twse", "tpex")
+OTHER_INDUSTRIES = ("大盤", "Index", "所有證券", "ETF", "ETN", "TDR", "存託憑證", "特別股", "受益證券", "認購權證", "認售權證")
+OTHER_WORDS = ("ETF", "ETN", "存託憑證", "特別股", "權證", "受益證券")
+
+
+def common_stock(code: Column, industry: Column, market: Column) -> Column:
+    """A code of four digits not beginning with 00, of a stock market, and no fund, note, preferred share or warrant by industry."""
+    kind = F.coalesce(industry, F.lit(""))
+    return F.lower(market).isin(*STOCK_MARKETS) & code.rlike("^[0-9]{4}$") & ~code.startswith("00") & ~kind.isin(*OTHER_INDUSTRIES) & ~kind.rlike("|".join(OTHER_WORDS))
+
+
+def feature_group(name: Column, apart: bool) -> Column:
+    """The actor that a feature's name begins with; totals are a group of their own or, else, part of the consensus."""
+    groups = ["foreign", "investment_trust", "dealer_self", *(["selected_total"] if apart else [])]
+    return F.coalesce(*[F.when(name.startswith(f"{g}_"), g) for g in groups], F.lit("consensus"))
+
+
+def first_nonzero(*values: Column) -> Column:
+    """The first value that is neither null nor 0; the last one whatever it is."""
+    return F.coalesce(*[F.nullif(v, F.lit(0.0)) for v in values[:-1]], values[-1])
 
 
 def top_contributions(names: list[str], values: list[Column], most: int = 3) -> Column:

@@ -77,3 +77,32 @@ def return_metrics(scores: DataFrame, value: str, by: list[str]) -> DataFrame:
     daily = scores.where(F.col(value).isNotNull()).groupBy(*by, "date").agg(F.avg(value).alias("day_mean"), F.count("*").alias("n"), F.sum(value).alias("total"), *[F.count_if(c).alias(k) for k, c in (("up", F.col(value) > 0), ("high", F.col(value) >= 0.05), ("low", F.col(value) <= -0.05))])
     n = F.sum("n")
     return daily.groupBy(*by).agg(n.alias("n"), F.count("*").alias("days"), F.avg("day_mean").alias("daily_mean"), (F.sum("total") / n).alias("mean"), (F.sum("up") / n).alias("positive"), (F.sum("high") / n).alias("up5"), (F.sum("low") / n).alias("down5"))
+
+
+def tier_ranks(rows: DataFrame, amount: str, score: str, least: dict[str, float]) -> DataFrame:
+    """The rows with each liquidity tier's rank, count and percentile among the day's rows of at least its amount.
+
+    A row below a tier has none there; the name of the highest tier that it reaches is in ``tier``.
+    Each tier is a window by day and membership, so the rows are not joined with themselves.
+    """
+    out = rows
+    for name, money in least.items():
+        member = F.coalesce(F.col(amount) >= money, F.lit(False))
+        out = out.withColumn("_in", member)
+        among = Window.partitionBy("date", "_in")
+        n = F.count("*").over(among)
+        ranks = {f"rank_{name}": F.row_number().over(among.orderBy(F.desc(score), "stock_id")), f"count_{name}": n, f"percentile_{name}": F.when(n == 1, 50.0).otherwise(100 * (average_rank(score, ["date", "_in"]) - 1) / F.nullif(n - 1, F.lit(0)))}
+        out = out.withColumns({k: F.when(F.col("_in"), v) for k, v in ranks.items()}).drop("_in")
+    tier = F.coalesce(*[F.when(F.col(amount) >= money, name) for name, money in sorted(least.items(), key=lambda x: -x[1])], F.lit("base"))
+    return out.withColumn("tier", tier)
+
+
+def frame_issues(frame: DataFrame, score: str, least: int) -> DataFrame:
+    """(issue, violations) of a frame of scores: nulls, scores that aren't finite or outside 0 to 100, repeated keys, thin days."""
+    s = F.col(score)
+    finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf"))
+    one = frame.agg(F.count_if(F.col("stock_id").isNull() | F.col("date").isNull()).alias("no_key"), F.count_if(~finite).alias("not_finite"), F.count_if(finite & ~s.between(0, 100)).alias("outside"))
+    keys = frame.groupBy("date", "stock_id").agg(F.count("*").alias("n"))  # repeats and days from one aggregation by key
+    days = keys.groupBy("date").agg(F.sum(F.col("n") - 1).alias("repeated"), F.count("*").alias("stocks")).agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated"), F.count_if(F.col("stocks") < least).alias("thin_days"))
+    names = ["no_key", "not_finite", "outside", "repeated", "thin_days"]
+    return one.crossJoin(F.broadcast(days)).unpivot([], names, "issue", "violations")

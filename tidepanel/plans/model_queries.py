@@ -71,10 +71,10 @@ def m10(spark, d):
     return M.fold_rows(training(spark, d), folds).groupBy("test_year", "part").agg(F.count("*").alias("n"))
 
 
-@query("m07_temperature", with_ctes(("probs",), f", t AS (SELECT exp(ln(0.25) + i * (ln(4) - ln(0.25)) / 8) AS t FROM range(0, 9) x(i)), z AS (SELECT y, ln(p / (1 - p)) AS z FROM probs), l AS (SELECT t, round(-avg(y * ln(greatest(1e-12, 1 / (1 + exp(-greatest(-40, least(40, z / t)))))) + (1 - y) * ln(greatest(1e-12, 1 - 1 / (1 + exp(-greatest(-40, least(40, z / t))))))), 9) AS loss FROM z, t GROUP BY 1) SELECT {rq('t', 'temperature')}, {rq('loss', 'loss')} FROM l ORDER BY loss, t LIMIT 1"))
+@query("m07_temperature", with_ctes(("probs",), f", t AS (SELECT exp(ln(0.25) + i * (ln(4) - ln(0.25)) / 72) AS t FROM range(0, 73) x(i)), z AS (SELECT y, ln(p / (1 - p)) AS z FROM probs), l AS (SELECT t, round(-avg(y * ln(greatest(1e-12, 1 / (1 + exp(-greatest(-40, least(40, z / t)))))) + (1 - y) * ln(greatest(1e-12, 1 - 1 / (1 + exp(-greatest(-40, least(40, z / t))))))), 9) AS loss FROM z, t GROUP BY 1) SELECT {rq('t', 'temperature')}, {rq('loss', 'loss')} FROM l ORDER BY loss, t LIMIT 1"))
 def m07(spark, d):
     z = probs(spark, d).select("y", F.ln(F.col("p") / (1 - F.col("p"))).alias("z"))
-    return M.temperature(z, "z", "y", 9).select(r(F.col("temperature"), "temperature"), r(F.col("loss"), "loss"))
+    return M.temperature(z, "z", "y").select(r(F.col("temperature"), "temperature"), r(F.col("loss"), "loss"))
 
 
 @query("m06_ridge_weights")
