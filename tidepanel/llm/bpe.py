@@ -274,12 +274,24 @@ def groups(texts: list[str]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches of (doc_id, text) put together to about CHARS_AT_ONCE bytes: a query costs the same for few words as for many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= CHARS_AT_ONCE:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of every row; null and empty texts have no ids, a null doc_id stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.of(ranks_path, pattern)
-        for batch in batches:
+        for batch in gathered(batches):
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for part in groups(texts):
                 ids = vocabulary.encode(texts[part])
@@ -311,7 +323,7 @@ def round_trip_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.of(ranks_path, pattern)
         name = np.array([str(i) for i in range(len(vocabulary.coder.bytes_of))], object)
-        for batch in batches:
+        for batch in gathered(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for part in groups(texts):
