@@ -55,3 +55,12 @@ def test_target_dates_follow_the_cutoff(spark):
     a = spark.createDataFrame(asks, "now string, as_of string, explicit string, cutoff string").selectExpr("now::timestamp AS now", "as_of::date AS as_of", "explicit::date AS explicit", "cutoff")
     got = [(str(r["target"]) if r["target"] else None, r["source"]) for r in target_dates(a.coalesce(1), cal).collect()]
     assert got == [("2024-05-03", "before_as_of"), ("2024-05-06", "at_or_before_as_of"), ("2024-05-03", "before_as_of"), ("2024-05-03", "at_or_before_as_of"), (None, "as_of_after_today"), (None, "explicit_not_a_market_date"), ("2024-05-02", "explicit"), (None, "no_market_date")]
+
+
+def test_hash_sample_is_the_same_however_the_rows_lie(spark):
+    from pyspark.sql import functions as F
+
+    got = [tuple(r) for r in QUERIES["t06_hash_sample"](spark, SOURCE).collect()]
+    every = spark.read.parquet(f"{SOURCE}/orders.parquet").repartition(7).select("o_orderkey", F.xxhash64("o_orderkey", F.lit(42)).alias("h")).collect()
+    want = sorted((r["h"], r["o_orderkey"]) for r in every if r["h"] <= -(2**62))[:100]
+    assert got == [(k, h) for h, k in want] and got

@@ -1,4 +1,4 @@
-"""Queries of parsers, payloads, sinks, joins, set operations and orderings (C01-C07, C13, C18, F04, F05, F19, F20, S07-S10, K01-K04, J02-J06, J11, J12, J16, J18, J25-J29, T01, T06, T07, U01-U04, A01)."""
+"""Queries of parsers, payloads, sinks, joins, set operations and orderings (C01-C07, C13, C18, F04, F05, F20, S07-S10, K01-K04, J02-J06, J11, J12, J16, J18, J25, J26, J29, T01, T06, T07, U01-U04, A01)."""
 
 from __future__ import annotations
 

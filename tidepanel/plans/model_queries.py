@@ -1,4 +1,4 @@
-"""Queries of models: preprocessing, ridge, scoring, folds, calibration, bootstrap."""
+"""Queries of models: preprocessing, ridge, scoring, folds, calibration, bootstrap."""
 
 from __future__ import annotations
 
@@ -96,7 +96,7 @@ def m08(spark, d):
 
 @query("m04_m05_logistic")
 def m04(spark, d):
-    """Log-loss of three-way and two-way logistic models on all rows, beside the base rates'."""
+    """Accuracy of a three-way and a two-way logistic model on all rows."""
     rows = training(spark, d).withColumn("direction", F.when(F.col("ret") >= 0.05, 2).when(F.col("ret") <= -0.05, 0).otherwise(1)).withColumn("up", (F.col("ret") > 0).cast("int"))
     fitted = M.standardiser(rows, NAMES)
     cols = {n: M.standardised(n, v) for n, v in fitted.items()}
