@@ -9,30 +9,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidepanel.operators.quantiles import exact_quantiles
+
 
 def long_form(features: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return features.unpivot(keys, names, "feature", "value")
 
 
 def profiles(features: DataFrame, names: list[str]) -> DataFrame:
-    """A row per feature: counts, moments, extremes and quantiles, all exact and in one pass."""
+    """A row per feature: counts, moments, extremes, exact quantiles, distinct values and the commonest value's share.
+
+    Nulls, NaN and infinities take no part in the numbers. Values are counted by feature and value
+    first, so that neither the distinct values nor a quantile gathers a feature in one task.
+    """
     v = F.col("value")
-    ok = v.isNotNull() & ~F.isnan(v)
-    x = F.when(ok, v)
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.01, 0.5, 0.99)]))
-    by = long_form(features, [], names).groupBy("feature").agg(
-        F.count("*").alias("rows"), F.count(x).alias("valid"), F.count_if(~ok).alias("missing"), F.count_if(x == 0).alias("zeros"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
-        F.min(x).alias("least"), F.max(x).alias("most"), F.count_if(F.abs(x) > 100).alias("over_100"), F.count_distinct(x).alias("distinct"), q.alias("q"),
+    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    x, infinite = F.when(ok, v), F.lit(float("inf"))
+    long = long_form(features, [], names)
+    by = long.groupBy("feature").agg(
+        F.count("*").alias("rows"), F.count(x).alias("valid"), F.count_if(v.isNull() | F.isnan(v)).alias("missing"), F.count_if(v == infinite).alias("above_all"), F.count_if(v == -infinite).alias("below_all"), F.count_if(x == 0).alias("zeros"),
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"), F.count_if(F.abs(x) > 100).alias("over_100"), F.count_if(F.abs(x) > 1000).alias("over_1000"),
     )
-    return by.select("*", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p50", "p99"))]).drop("q")
+    fine = long.where(ok)
+    values = fine.groupBy("feature", "value").agg(F.count("*").alias("c")).groupBy("feature").agg(F.count("*").alias("distinct"), F.max("c").alias("top"))
+    q = exact_quantiles(fine, "value", [0.01, 0.5, 0.99], ("feature",)).select("feature", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p50", "p99"))])
+    out = by.join(F.broadcast(values), "feature", "left").join(F.broadcast(q), "feature", "left")  # a row per feature
+    return out.withColumn("distinct", F.coalesce("distinct", F.lit(0))).withColumn("top_share", F.try_divide("top", "valid")).drop("top")
+
 
+def correlations(features: DataFrame, names: list[str], least: float = 0.995, rows: int = 100) -> DataFrame:
+    """(left, right, corr, n, equal): pairs of features whose correlation is ``least`` or more either way.
 
-def correlations(features: DataFrame, names: list[str], least: float) -> DataFrame:
-    """(left, right, corr): pairs of features at or above ``least``, from one aggregation."""
+    Over the rows where both are finite, at least ``rows`` of them; equal is the share of rows whose
+    values agree. One aggregation of all pairs.
+    """
     pairs = list(combinations(names, 2))
-    row = features.agg(*[F.when((F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.try_divide(F.avg(F.col(a) * F.col(b)) - F.avg(a) * F.avg(b), F.stddev_pop(a) * F.stddev_pop(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(cells).alias("x")).select("x.*").where(F.col("corr") >= least)
+    fine = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))  # noqa: E731  NaN is above infinity
+
+    def cell(i, a, b):
+        x, y = fine(a), fine(b)
+        both = x.isNotNull() & y.isNotNull()
+        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+        return [F.when(spread > 1e-24, F.covar_pop(x, y) / spread).alias(f"c{i}"), F.count_if(both).alias(f"n{i}"), F.count_if(both & (F.abs(x - y) <= 1e-12)).alias(f"e{i}")]
+
+    row = features.agg(*[c for i, (a, b) in enumerate(pairs) for c in cell(i, a, b)])
+    cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("corr"), F.col(f"n{i}").alias("n"), F.try_divide(f"e{i}", f"n{i}").alias("equal")) for i, (a, b) in enumerate(pairs)])
+    return row.select(F.explode(cells).alias("x")).select("x.*").where((F.abs("corr") >= least) & (F.col("n") >= rows))
+
+
+def issues(profile: DataFrame, correlated: DataFrame, drift: DataFrame) -> DataFrame:
+    """(severity, issue, subject, value): what profiles, correlations and yearly drifts give reason to look at."""
+
+    def issue(severity, name, value, when):
+        return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("issue"), value.cast("double").alias("value")))
+
+    c, name = F.col, F.col("feature")
+    bad = [issue("ERROR", label, c(k), c(k) > 0) for label, k in (("missing_count", "missing"), ("positive_infinity_count", "above_all"), ("negative_infinity_count", "below_all"))]
+    ranges = [issue("ERROR", label, F.lit(1), name.contains(word) & ((c("least") < low) | (c("most") > 1))) for label, word, low in (("ratio_out_of_range", "buy_day_ratio", 0), ("agreement_out_of_range", "institutional_agreement", -1))]
+    flat = [issue("WARN", "constant_feature", c("distinct"), c("distinct") <= 1), issue("WARN", "near_constant_feature", c("top_share"), (c("distinct") > 1) & (c("top_share") >= 0.995))]
+    wide = issue("WARN", "extreme_flow_pct_gt_1000", c("over_1000"), name.contains("flow_pct") & (c("over_1000") >= 0.0001 * F.greatest(c("valid"), F.lit(1))))
+    own = profile.select(name.alias("subject"), F.explode(F.array_compact(F.array(*bad, *ranges, *flat, wide))).alias("i")).select("i.severity", "i.issue", "subject", "i.value")
+    alike = correlated.select(F.lit("WARN").alias("severity"), F.lit("high_feature_correlation").alias("issue"), F.concat_ws("|", "left", "right").alias("subject"), F.abs("corr").alias("value"))
+    moved = drift.where("n >= 1000 and abs(drift) >= 2").select(F.lit("WARN").alias("severity"), F.lit("yearly_mean_shift_ge_2std").alias("issue"), F.concat_ws("|", F.col("year").cast("string"), "feature").alias("subject"), F.col("drift").alias("value"))
+    return own.unionByName(alike).unionByName(moved)
 
 
 def yearly_drift(features: DataFrame, names: list[str]) -> DataFrame:

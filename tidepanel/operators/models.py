@@ -6,16 +6,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.operators.quantiles import exact_quantiles
+
 
 def standardiser(rows: DataFrame, names: list[str], low: float = 0.005, high: float = 0.995) -> dict[str, tuple[float, float, float, float]]:
     """name -> (low bound, high bound, mean, std) after clipping to exact quantiles; a constant gets std 1.
 
-    Two aggregations of all rows; one row of numbers per feature comes back.
+    A few aggregations of all rows, which are made once for them; one row of numbers per feature comes back.
     """
-    q = rows.agg(*[F.percentile(n, F.array(F.lit(low), F.lit(high))).alias(n) for n in names]).first()
-    bounds = {n: (float(q[n][0]), float(q[n][1])) for n in names}
+    rows = rows.select(*names).persist()  # lost blocks are made anew
+    q = exact_quantiles(rows.unpivot([], names, "feature", "value"), "value", [low, high], ("feature",)).collect()
+    bounds = {n: (x[0], x[1]) for n, x in q}
     clipped = {n: F.greatest(F.least(F.col(n), F.lit(b)), F.lit(a)) for n, (a, b) in bounds.items()}
     m = rows.agg(*[F.avg(c).alias(f"m_{n}") for n, c in clipped.items()], *[F.stddev_pop(c).alias(f"s_{n}") for n, c in clipped.items()]).first()
+    rows.unpersist()
     return {n: (*bounds[n], m[f"m_{n}"], m[f"s_{n}"] if m[f"s_{n}"] >= 1e-8 else 1.0) for n in names}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tidepanel.operators import audit as X
 from tidepanel.operators import features as P
+from tidepanel.operators.quantiles import exact_quantiles
 from tidepanel.plans.adapter import CTES, cells, panel, table, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq, share_sql
@@ -30,9 +31,39 @@ def a09(spark, d):
     return p.select("feature", "rows", "valid", "missing", "zeros", *[r(F.col(c), c) for c in ("mean", "std", "least", "most")], "over_100", "distinct", *[r(F.col(c), c) for c in ("p01", "p50", "p99")])
 
 
-@query("a11_correlations", with_ctes(("feats",), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) + 0.0::DOUBLE AS corr FROM feats" for i, a in enumerate(_N) for b in _N[i + 1 :]) + ") WHERE corr >= 0.1"))
+# The features with copies and faults beside them, for the checks that look for these.
+_FAULTS = {
+    "total_flow_pct_20": "total_net_20",
+    "total_flow_pct_copy": "round(total_net_20, 3)",
+    "opposite_flow_pct": "-total_net_20",
+    "wide_flow_pct": "foreign_net_20 * 100",
+    "buy_day_ratio_20": "CASE WHEN foreign_net_20 > 0 THEN 1.5 ELSE 0.5 END",
+    "institutional_agreement_20": "sign(total_net_20)",
+    "always_one": "1.0",
+    "nearly_zero": "CASE WHEN stock_id = '000001' AND dayofyear(date) <= 7 THEN 1.0 ELSE 0.0 END",
+    "with_gaps": "CASE WHEN year <> 1995 THEN total_net_5 END",
+    "endless": "CASE WHEN year = 1996 THEN CAST('Infinity' AS DOUBLE) WHEN year = 1997 AND stock_id = '000001' THEN CAST('-Infinity' AS DOUBLE) ELSE foreign_net_5 END",
+    "moving": "CASE WHEN year = 1998 THEN 10.0 ELSE 0.0 END",
+}
+CTES["faults"] = (("feats",), "SELECT year, " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in _FAULTS.items()) + " FROM feats")
+
+
+def faults(spark, d):
+    return feats(spark, d).select("year", *[F.expr(e).cast("double").alias(n) for n, e in _FAULTS.items()])
+
+
+def _fine(n: str) -> str:
+    return f"CASE WHEN abs({n}) < 'Infinity'::DOUBLE THEN {n} END"
+
+
+CTES["alike"] = (("faults",), "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", corr(a, b) AS corr, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n, count(*) FILTER (WHERE abs(a - b) <= 1e-12) / count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS equal FROM (SELECT {_fine(a)} AS a, {_fine(b)} AS b FROM faults)"
+    for i, a in enumerate(_FAULTS) for b in list(_FAULTS)[i + 1 :]) + ") WHERE abs(corr) >= 0.995 AND NOT isnan(corr) AND n >= 100")
+
+
+@query("a11_correlations", with_ctes(("alike",), f'SELECT "left", "right", {rq("corr", "corr")}, n, {rq("equal", "equal")} FROM alike'))
 def a11(spark, d):
-    return X.correlations(feats(spark, d), _N, 0.1).select("left", "right", r(F.col("corr"), "corr"))
+    return X.correlations(faults(spark, d), list(_FAULTS)).select("left", "right", r(F.col("corr"), "corr"), "n", r(F.col("equal"), "equal"))
 
 
 @query("a12_yearly_drift", with_ctes(("feats",), f"SELECT feature, year, count(value) AS n, {rq('(avg(value) - any_value(m)) / any_value(s)', 'drift')} FROM {_LONG} JOIN (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM {_LONG} GROUP BY 1) USING (feature) GROUP BY 1, 2"))
@@ -94,10 +125,32 @@ def a51(spark, d):
     return X.metric_table(table(spark, d, "lineitem").agg(F.count("*").alias("rows"), F.to_date(F.min("l_shipdate")).alias("first"), F.to_date(F.max("l_shipdate")).alias("last"), F.count_distinct("l_suppkey").alias("suppliers")))
 
 
-@query("a15_audit_issues", with_ctes(("feats",), f"SELECT feature, issue FROM (SELECT feature, unnest(list_filter([CASE WHEN stddev_pop(value) < 1e-12 THEN 'constant' END, CASE WHEN count(*) FILTER (WHERE value = 0) >= 0.02 * count(*) THEN 'many_zeros' END, CASE WHEN max(abs(value)) >= 100 THEN 'extreme' END], lambda x: x IS NOT NULL)) AS issue FROM {_LONG} GROUP BY 1)"))
+_OWN = "SELECT feature, x.* FROM (SELECT feature, unnest(list_filter([{}], lambda x: x IS NOT NULL)) AS x FROM p)".format(", ".join(
+    f"CASE WHEN {when} THEN {{'severity': '{severity}', 'issue': '{name}', 'value': ({value})::DOUBLE}} END"
+    for severity, name, value, when in (
+        ("ERROR", "missing_count", "missing", "missing > 0"),
+        ("ERROR", "positive_infinity_count", "above_all", "above_all > 0"),
+        ("ERROR", "negative_infinity_count", "below_all", "below_all > 0"),
+        ("ERROR", "ratio_out_of_range", "1", "contains(feature, 'buy_day_ratio') AND (least < 0 OR most > 1)"),
+        ("ERROR", "agreement_out_of_range", "1", "contains(feature, 'institutional_agreement') AND (least < -1 OR most > 1)"),
+        ("WARN", "constant_feature", "different", "different <= 1"),
+        ("WARN", "near_constant_feature", "top / valid", "different > 1 AND top / valid >= 0.995"),
+        ("WARN", "extreme_flow_pct_gt_1000", "over_1000", "contains(feature, 'flow_pct') AND over_1000 / greatest(valid, 1) >= 0.0001"),
+    )
+))
+
+
+@query("a15_audit_issues", with_ctes(("faults", "alike"), f""", l AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, year, {n} AS value FROM faults" for n in _FAULTS)}),
+v AS (SELECT feature, value, count(*) AS c FROM l WHERE {_fine('value')} IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT * FROM (SELECT feature, count({_fine('value')}) AS valid, count(*) FILTER (WHERE value IS NULL) AS missing, count(*) FILTER (WHERE value = 'Infinity'::DOUBLE) AS above_all, count(*) FILTER (WHERE value = '-Infinity'::DOUBLE) AS below_all, min({_fine('value')}) AS least, max({_fine('value')}) AS most, count(*) FILTER (WHERE abs({_fine('value')}) > 1000) AS over_1000 FROM l GROUP BY 1)
+  JOIN (SELECT feature, count(*) AS different, max(c) AS top FROM v GROUP BY 1) USING (feature)),
+d AS (SELECT feature, year, count({_fine('value')}) AS n, (avg({_fine('value')}) - any_value(m)) / any_value(s) AS z FROM l JOIN (SELECT feature, avg({_fine('value')}) AS m, stddev_pop({_fine('value')}) AS s FROM l GROUP BY 1) USING (feature) GROUP BY 1, 2)
+SELECT severity, issue, feature AS subject, {rq('value', 'value')} FROM ({_OWN}) UNION ALL SELECT 'WARN', 'high_feature_correlation', "left" || '|' || "right", {rq('abs(corr)', 'value')} FROM alike
+UNION ALL SELECT 'WARN', 'yearly_mean_shift_ge_2std', year || '|' || feature, {rq('z', 'value')} FROM d WHERE n >= 1000 AND abs(z) >= 2"""))
 def a15(spark, d):
-    p = X.long_form(feats(spark, d), [], _N).groupBy("feature").agg(F.stddev_pop("value").alias("s"), F.count_if(F.col("value") == 0).alias("z"), F.count("*").alias("n"), F.max(F.abs("value")).alias("m"))
-    return p.select("feature", F.explode(F.array_compact(F.array(F.when(F.col("s") < 1e-12, "constant"), F.when(F.col("z") >= 0.02 * F.col("n"), "many_zeros"), F.when(F.col("m") >= 100, "extreme")))).alias("issue"))
+    f, names = faults(spark, d), list(_FAULTS)
+    drift = X.yearly_drift(f.select("year", *[F.when(F.abs(n) < float("inf"), F.col(n)).alias(n) for n in names]), names)
+    return X.issues(X.profiles(f, names), X.correlations(f, names), drift).select("severity", "issue", "subject", r(F.col("value"), "value"))
 
 
 @query("w22_keep_last", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -159,7 +212,7 @@ def a28(spark, d):
 def a30(spark, d):
     """The best of the 99 percentiles and 0.5 by balanced accuracy, F1 and threshold."""
     p = probs(spark, d).select("y", F.round("p", 9).alias("p"))
-    cuts = p.agg(F.percentile("p", [i / 100 for i in range(1, 100)]).alias("q"))
+    cuts = exact_quantiles(p, "p", [i / 100 for i in range(1, 100)])
     t = cuts.select(F.explode(F.array_distinct(F.transform(F.concat("q", F.array(F.lit(0.5))), lambda x: F.round(x, 9)))).alias("t"))
     up, yes = F.col("y") == 1, F.col("p") >= F.col("t")
     c = p.crossJoin(F.broadcast(t)).groupBy("t").agg(F.count_if(up & yes).alias("tp"), F.count_if(~up & yes).alias("fp"), F.count_if(up & ~yes).alias("fn"), F.count_if(~up & ~yes).alias("tn"))  # a hundred rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.operators import costs as X
+from tidepanel.operators.quantiles import exact_quantiles
 from tidepanel.plans.adapter import CTES, cells, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq
@@ -64,31 +65,37 @@ def a41(spark, d):
     return risky(spark, d).groupBy(X.deviation_bucket(F.col("deviation")).alias("bucket")).agg(F.count("*").alias("n"), r(F.avg("ret"), "mean"))
 
 
+_FIFTHS = [i / 5 for i in range(6)]
 _Q = "list_sort(list_distinct(quantile_cont(deviation, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])))"
 
 
 @query("a41_quintiles", with_ctes(("risky",), f", e AS (SELECT {_Q} AS q FROM risky) SELECT (len(list_filter(q[2:len(q) - 1], lambda x: x < deviation)) + 1)::INTEGER AS quintile, count(*) AS n, {rq('avg(ret)', 'mean')} FROM risky, e WHERE deviation IS NOT NULL GROUP BY 1"))
 def a41q(spark, d):
     s = risky(spark, d).where("deviation is not null")
-    edges = s.agg(F.array_sort(F.array_distinct(F.percentile("deviation", F.array(*[F.lit(i / 5) for i in range(6)])))).alias("q"))
+    edges = exact_quantiles(s, "deviation", _FIFTHS).select(F.array_sort(F.array_distinct("q")).alias("q"))
     return s.crossJoin(F.broadcast(edges)).groupBy(X.quantile_groups(F.col("deviation"), F.col("q")).alias("quintile")).agg(F.count("*").alias("n"), r(F.avg("ret"), "mean"))
 
 
 @query("a42_yearly_high_minus_low", with_ctes(("risky",), f", e AS (SELECT year, {_Q} AS q FROM risky WHERE deviation IS NOT NULL GROUP BY 1) SELECT year, {rq('avg(ret) FILTER (WHERE g = 5) - avg(ret) FILTER (WHERE g = 1)', 'high_minus_low')} FROM (SELECT r.year, ret, len(list_filter(q[2:len(q) - 1], lambda x: x < deviation)) + 1 AS g FROM risky r JOIN e ON e.year = r.year WHERE deviation IS NOT NULL) GROUP BY 1"))
 def a42(spark, d):
     s = risky(spark, d).where("deviation is not null")
-    edges = s.groupBy("year").agg(F.array_sort(F.array_distinct(F.percentile("deviation", F.array(*[F.lit(i / 5) for i in range(6)])))).alias("q"))
+    edges = exact_quantiles(s, "deviation", _FIFTHS, ("year",)).select("year", F.array_sort(F.array_distinct("q")).alias("q"))
     g = s.join(F.broadcast(edges), "year").withColumn("g", X.quantile_groups(F.col("deviation"), F.col("q")))  # a row per year
     return g.groupBy("year").agg(r(F.avg(F.when(F.col("g") == 5, F.col("ret"))) - F.avg(F.when(F.col("g") == 1, F.col("ret"))), "high_minus_low"))
 
 
-@query("a43_overheat_grid", with_ctes(("risky",), f"SELECT a AS least_deviation, b AS least_score, count(*) FILTER (WHERE hot) AS hot, {rq('avg(ret) FILTER (WHERE hot) - avg(ret) FILTER (WHERE NOT hot)', 'difference')} FROM (SELECT *, deviation >= a AND pct >= b AS hot FROM risky, (VALUES (5), (10), (20)) x(a), (VALUES (80), (90), (95)) y(b) WHERE deviation IS NOT NULL) GROUP BY 1, 2 HAVING count(*) FILTER (WHERE hot) >= 5 AND count(*) FILTER (WHERE NOT hot) >= 5"))
+CTES["heat"] = (("risky", "cells"), f"""SELECT r.year, r.ret, r.deviation / 100 AS deviation, c.back, c.place FROM risky r JOIN (SELECT stock_id, date, close / lag(close, 5) OVER (PARTITION BY stock_id ORDER BY date) - 1 AS back,
+  CASE WHEN count(*) OVER {_W.format(19)} = 20 AND max(high) OVER {_W.format(19)} > min(low) OVER {_W.format(19)} THEN (close - min(low) OVER {_W.format(19)}) / (max(high) OVER {_W.format(19)} - min(low) OVER {_W.format(19)}) END AS place FROM cells) c ON c.stock_id = r.stock_id AND c.date = r.date""")
+
+
+@query("a43_overheat_grid", with_ctes(("heat",), f"""SELECT period, a AS least_deviation, b AS least_return, c AS least_place, count(*) AS n, count(*) FILTER (WHERE hot) AS hot, {rq('avg(ret) FILTER (WHERE hot)', 'hot_mean')}, {rq('avg(ret) FILTER (WHERE NOT hot)', 'normal_mean')}, {rq('avg(ret) FILTER (WHERE hot) - avg(ret) FILTER (WHERE NOT hot)', 'difference')}
+FROM (SELECT *, deviation >= a AND (back >= b OR place >= c) AS hot FROM heat, (VALUES ('all'), ('late')) p(period), (VALUES (0.05::DOUBLE), (0.10::DOUBLE), (0.15::DOUBLE)) x(a), (VALUES (0.05::DOUBLE), (0.10::DOUBLE), (0.15::DOUBLE)) y(b), (VALUES (0.8::DOUBLE), (0.9::DOUBLE)) z(c)
+WHERE deviation IS NOT NULL AND back IS NOT NULL AND place IS NOT NULL AND (period = 'all' OR year > 1996)) GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (WHERE hot) >= 20 AND count(*) FILTER (WHERE NOT hot) >= 20"""))
 def a43(spark, d):
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("least_deviation"), F.lit(b).alias("least_score")) for a in (5, 10, 20) for b in (80, 90, 95)]))
-    s = risky(spark, d).where("deviation is not null").withColumn("g", grid).select("ret", "deviation", "pct", "g.*")
-    hot = (F.col("deviation") >= F.col("least_deviation")) & (F.col("pct") >= F.col("least_score"))
-    t = s.groupBy("least_deviation", "least_score").agg(F.count_if(hot).alias("hot"), F.count_if(~hot).alias("cold"), r(F.avg(F.when(hot, F.col("ret"))) - F.avg(F.when(~hot, F.col("ret"))), "difference"))
-    return t.where("hot >= 5 and cold >= 5").drop("cold")
+    """Far above cost and risen fast or high in its range, against the rest; at least 20 rows on both sides."""
+    c = cells(spark, d).select("stock_id", "date", X.row_change(5).alias("back"), X.range_position(20).alias("place"))
+    s = risky(spark, d).join(c, ["stock_id", "date"]).withColumn("deviation", F.col("deviation") / 100)
+    return X.overheat_grid(s, F.array(F.lit("all"), F.when(F.col("year") > 1996, "late")), "ret").select("period", "least_deviation", "least_return", "least_place", "n", "hot", *[r(F.col(k), k) for k in ("hot_mean", "normal_mean", "difference")])
 
 
 _P = [(n, w) for n in ("foreign_net", "trust_net", "dealer_net") for w in (5, 10, 20)]

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tidepanel.operators import features as X
 from tidepanel.operators import gates as G
+from tidepanel.operators.quantiles import exact_quantiles
 from tidepanel.operators.ranking import ceiled_group, daily_rank
 from tidepanel.operators.returns import label
 from tidepanel.plans.adapter import actions, calendar, cells, panel, table, with_ctes
@@ -184,7 +185,8 @@ def a13(spark, d):
     from tidepanel.plans.audit_queries import feats
 
     x = returns(spark, d, 10).where("status = 'ok'").select("stock_id", "date", "label").join(feats(spark, d).select("stock_id", "date", "total_net_20"), ["stock_id", "date"])
-    return x.groupBy("label").agg(F.count("*").alias("n"), r(F.avg("total_net_20"), "mean"), r(F.median("total_net_20"), "median"), r(F.stddev_pop("total_net_20"), "std"))
+    middle = exact_quantiles(x, "total_net_20", [0.5], ("label",)).select("label", r(F.get("q", F.lit(0)), "median"))  # a row per label
+    return x.groupBy("label").agg(F.count("*").alias("n"), r(F.avg("total_net_20"), "mean"), r(F.stddev_pop("total_net_20"), "std")).join(F.broadcast(middle), "label", "left")
 
 
 @query("a29_average_precision", with_ctes(("scores",), f"SELECT year, {rq('avg(up / place)', 'precision')} FROM (SELECT year, y, sum(y) OVER w AS up, row_number() OVER w AS place FROM (SELECT year, date, stock_id, (ret > 0)::INTEGER AS y, round(score, 9) AS s FROM scores) WINDOW w AS (PARTITION BY year, date ORDER BY s DESC, stock_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE y = 1 GROUP BY 1"))
