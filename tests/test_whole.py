@@ -64,3 +64,27 @@ def test_hash_sample_is_the_same_however_the_rows_lie(spark):
     every = spark.read.parquet(f"{SOURCE}/orders.parquet").repartition(7).select("o_orderkey", F.xxhash64("o_orderkey", F.lit(42)).alias("h")).collect()
     want = sorted((r["h"], r["o_orderkey"]) for r in every if r["h"] <= -(2**62))[:100]
     assert got == [(k, h) for h, k in want] and got
+
+
+def test_freshness_has_all_statuses(spark):
+    from tidepanel.operators.notify import freshness
+
+    cal = spark.createDataFrame([("2024-05-02",), ("2024-05-03",), ("2024-05-06",), ("2024-05-07",)], "date string").selectExpr("date::date AS date")
+    want = [  # as_of, explicit, signal, raw, price, flow
+        (("2024-05-07", None, "2024-05-07", "2024-05-07", "2024-05-07", "2024-05-07"), "FRESH", 0),
+        (("2024-05-07", None, "2024-05-06", "2024-05-06", "2024-05-07", "2024-05-06"), "FRESH", 1),
+        (("2024-05-07", None, "2024-05-08", "2024-05-08", None, None), "INVALID_FUTURE_SIGNAL_DATE", None),
+        (("2024-04-01", None, "2024-03-29", "2024-03-29", None, None), "UNKNOWN_NO_MARKET_CALENDAR", None),
+        (("2024-05-07", None, "2024-05-06", "2024-05-06", "2024-05-07", "2024-05-07"), "PHASE3_NOT_UPDATED_TO_LATEST_SOURCE", 1),
+        (("2024-06-07", None, "2024-05-07", "2024-05-07", None, None), "STALE_MARKET_CALENDAR", 0),
+        (("2024-05-07", None, "2024-05-06", "2024-05-07", None, None), "INCOMPLETE_LATEST_CROSS_SECTION", 1),
+        (("2024-05-11", None, "2024-05-10", "2024-05-10", None, None), "UNKNOWN_TRADING_DAY_LAG", None),
+        (("2024-05-07", None, "2024-05-03", "2024-05-03", None, None), "STALE_SELECTION_DATE", 2),
+        (("2024-05-14", None, "2024-05-06", "2024-05-06", None, None), "STALE_CALENDAR_AGE", 1),
+        (("2024-06-07", "2024-05-07", "2024-05-06", "2024-05-06", None, None), "FRESH", 1),
+        (("2024-06-07", "2024-06-06", "2024-06-04", "2024-06-04", None, None), "STALE_SELECTION_DATE", 2),
+        (("2024-05-07", "2024-05-08", "2024-05-07", "2024-05-07", None, None), "INVALID_REFERENCE_DATE", 0),
+    ]
+    names = ("as_of", "explicit", "signal_date", "raw_date", "price_date", "flow_date")
+    asks = spark.createDataFrame([a for a, _, _ in want], ", ".join(f"{n} string" for n in names)).selectExpr(*[f"{n}::date AS {n}" for n in names])
+    assert [(r["status"], r["lag"]) for r in freshness(asks.coalesce(1), cal).collect()] == [(s, lag) for _, s, lag in want]

@@ -77,3 +77,17 @@ def exclusion(liquid: DataFrame, least_money: float, days: int = 20, least_norma
         .when(~F.col("entry_ready"), "no_entry_price")
         .otherwise("eligible")
     )
+
+
+def scoring_ready(panel: DataFrame, market: Column, bounds: dict[str, tuple[float, float]], least_stocks: int, lot: float = 1000.0, days: int = 20) -> DataFrame:
+    """Days that may be scored, with n_stocks: each market has its least median money and median lots (0: any).
+
+    Beyond the normal days and zero runs of the liquidity screen; a market's day counts if at least
+    ``least_stocks`` securities are left. A market without bounds is not scored.
+    """
+    x = liquidity(panel, 0.0, days).withColumn("market", market).withColumn("median_lots", F.percentile("volume", F.lit(0.5)).over(trailing(days)) / lot)
+    enough = F.lit(False)
+    for name, (money, lots) in bounds.items():
+        enough = enough | ((F.col("market") == name) & (F.col("median_money") >= money) & ((F.lit(lots) <= 0) | (F.col("median_lots") >= lots)))
+    ready = x.where((F.col("normal_days") >= 18) & (F.col("zero_run") < 3) & enough)
+    return ready.withColumn("n_stocks", F.count("*").over(Window.partitionBy("market", "date"))).where(F.col("n_stocks") >= least_stocks)

@@ -122,10 +122,11 @@ def f10(spark, d):
     return X.liquidity(panel(spark, d), MONEY).groupBy(X.exclusion(None, MONEY).alias("reason")).agg(F.count("*").alias("days"))
 
 
-@query("f08_scoring_eligibility", with_ctes(("liquid",), "SELECT stock_id, date, n AS n_stocks FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM liquid WHERE liquid) WHERE n >= 5"))
+@query("f08_scoring_eligibility", with_ctes(("liquid",), f"""SELECT stock_id, date, market, n_stocks FROM (SELECT *, count(*) OVER (PARTITION BY market, date) AS n_stocks FROM (SELECT *, CASE WHEN stock_id::BIGINT % 2 = 0 THEN 'tpex' ELSE 'twse' END AS market, quantile_cont(volume, 0.5) OVER {frame(20)} / 10 AS lots FROM liquid)
+WHERE normal_days >= 18 AND zero_run < 3 AND CASE market WHEN 'tpex' THEN median_money >= 50000 ELSE median_money >= 60000 AND lots >= 5 END) WHERE n_stocks >= 3"""))
 def f08(spark, d):
-    n = F.count("*").over(Window.partitionBy("date"))
-    return X.liquidity(panel(spark, d), MONEY).where("liquid").withColumn("n_stocks", n).where("n_stocks >= 5").select("stock_id", "date", "n_stocks")
+    market = F.when(F.col("stock_id").cast("long") % 2 == 0, "tpex").otherwise("twse")
+    return X.scoring_ready(panel(spark, d), market, {"tpex": (MONEY, 0.0), "twse": (60_000.0, 5.0)}, 3, lot=10.0).select("stock_id", "date", "market", "n_stocks")
 
 
 @query("a07_liquidity_thresholds", with_ctes(("liquid",), "SELECT t AS threshold, count(*) FILTER (WHERE history = 20 AND normal_days >= 18 AND zero_run < 3 AND median_money >= t) AS samples FROM liquid, (VALUES (10000.0::DOUBLE), (50000.0::DOUBLE), (100000.0::DOUBLE), (200000.0::DOUBLE)) v(t) GROUP BY 1"))

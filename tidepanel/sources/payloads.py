@@ -27,7 +27,7 @@ def shredded(payloads: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     whole = F.when(F.size(F.coalesce("p.tables", F.array().cast("array<struct<fields: array<string>, data: array<array<string>>>>"))) > 0, F.col("p.tables")).otherwise(F.array(F.struct(F.col("p.fields").alias("fields"), F.col("p.data").alias("data"))))
     tables = p.select("id", F.explode(whole).alias("t")).select("id", F.transform("t.fields", lambda f: F.trim(f)).alias("f"), F.explode("t.data").alias("row"))
     at = lambda aliases: F.coalesce(*[F.nullif(F.array_position("f", a), F.lit(0)) for a in aliases])
-    return tables.where(" and ".join("f is not null" for _ in [0])).select("id", *[F.get("row", (at(v) - 1).cast("int")).alias(k) for k, v in names.items()])
+    return tables.where("f is not null").select("id", *[F.get("row", (at(v) - 1).cast("int")).alias(k) for k, v in names.items()])
 
 
 def positional_quotes(payloads: DataFrame) -> DataFrame:
