@@ -41,20 +41,15 @@ def correlations(features: DataFrame, names: list[str], least: float = 0.995, ro
     """(left, right, corr, n, equal): pairs of features whose correlation is ``least`` or more either way.
 
     Over the rows where both are finite, at least ``rows`` of them; equal is the share of rows whose
-    values agree. One aggregation of all pairs.
+    values agree. A row is split into its pairs, which are summed up before any shuffle: one
+    aggregate of all pairs side by side would be too wide for generated code.
     """
-    pairs = list(combinations(names, 2))
-    fine = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))  # noqa: E731  NaN is above infinity
-
-    def cell(i, a, b):
-        x, y = fine(a), fine(b)
-        both = x.isNotNull() & y.isNotNull()
-        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-        return [F.when(spread > 1e-24, F.covar_pop(x, y) / spread).alias(f"c{i}"), F.count_if(both).alias(f"n{i}"), F.count_if(both & (F.abs(x - y) <= 1e-12)).alias(f"e{i}")]
-
-    row = features.agg(*[c for i, (a, b) in enumerate(pairs) for c in cell(i, a, b)])
-    cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("corr"), F.col(f"n{i}").alias("n"), F.try_divide(f"e{i}", f"n{i}").alias("equal")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(cells).alias("x")).select("x.*").where((F.abs("corr") >= least) & (F.col("n") >= rows))
+    fine = [F.when(F.abs(n) < float("inf"), F.col(n)).cast("double") for n in names]  # NaN is above infinity
+    pairs = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.get("_x", F.lit(i)).alias("a"), F.get("_x", F.lit(j)).alias("b")) for (i, a), (j, b) in combinations(enumerate(names), 2)])
+    each = features.select(F.array(*fine).alias("_x")).select(F.explode(pairs).alias("p")).select("p.*").where("a is not null and b is not null")
+    spread = F.regr_sxx("a", "b") * F.regr_syy("a", "b")
+    t = each.groupBy("left", "right").agg(F.when(spread > 0, F.regr_sxy("a", "b") / F.sqrt(spread)).alias("corr"), F.count("*").alias("n"), F.avg((F.abs(F.col("a") - F.col("b")) <= 1e-12).cast("int")).alias("equal"))
+    return t.where((F.abs("corr") >= least) & (F.col("n") >= rows))
 
 
 def issues(profile: DataFrame, correlated: DataFrame, drift: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ _OWN = "SELECT feature, x.* FROM (SELECT feature, unnest(list_filter([{}], lambd
 v AS (SELECT feature, value, count(*) AS c FROM l WHERE {_fine('value')} IS NOT NULL GROUP BY 1, 2),
 p AS (SELECT * FROM (SELECT feature, count({_fine('value')}) AS valid, count(*) FILTER (WHERE value IS NULL) AS missing, count(*) FILTER (WHERE value = 'Infinity'::DOUBLE) AS above_all, count(*) FILTER (WHERE value = '-Infinity'::DOUBLE) AS below_all, min({_fine('value')}) AS least, max({_fine('value')}) AS most, count(*) FILTER (WHERE abs({_fine('value')}) > 1000) AS over_1000 FROM l GROUP BY 1)
   JOIN (SELECT feature, count(*) AS different, max(c) AS top FROM v GROUP BY 1) USING (feature)),
-d AS (SELECT feature, year, count({_fine('value')}) AS n, (avg({_fine('value')}) - any_value(m)) / any_value(s) AS z FROM l JOIN (SELECT feature, avg({_fine('value')}) AS m, stddev_pop({_fine('value')}) AS s FROM l GROUP BY 1) USING (feature) GROUP BY 1, 2)
+d AS (SELECT feature, year, count({_fine('value')}) AS n, (avg({_fine('value')}) - any_value(m)) / nullif(any_value(s), 0) AS z FROM l JOIN (SELECT feature, avg({_fine('value')}) AS m, stddev_pop({_fine('value')}) AS s FROM l GROUP BY 1) USING (feature) GROUP BY 1, 2)
 SELECT severity, issue, feature AS subject, {rq('value', 'value')} FROM ({_OWN}) UNION ALL SELECT 'WARN', 'high_feature_correlation', "left" || '|' || "right", {rq('abs(corr)', 'value')} FROM alike
 UNION ALL SELECT 'WARN', 'yearly_mean_shift_ge_2std', year || '|' || feature, {rq('z', 'value')} FROM d WHERE n >= 1000 AND abs(z) >= 2"""))
 def a15(spark, d):
