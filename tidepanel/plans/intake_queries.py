@@ -1,4 +1,4 @@
-"""Queries of sample rows, model reports, intake checks and plans."""
+"""Queries of sample rows, model reports, intake checks and plans."""
 
 from __future__ import annotations
 
