@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import ann, bpe, chat, line_dedup, ngram_join, packing, pii, secret_scan, simhash, toxicity
+from tidepanel.llm import ann, bpe, chat, line_dedup, ngram_join, packing, pii, repair, secret_scan, simhash, toxicity
 from tidepanel.llm.common import table
 
 
@@ -72,8 +72,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation. Nulls are one space; a null conv_id is a conversation and null turns come first; rows of a turn stand by role and text, equal ones count each; long texts are read whole; no rows, no result; other columns are ignored."""
+    return repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ann, op3_chat, op4_ngram_join, op5_simhash, op6_bpe, op7_secrets, op8_line_dedup, op9_pii, op10_packing)
+    f.__name__: f for f in (op1_toxicity, op2_ann, op3_chat, op4_ngram_join, op5_simhash, op6_bpe, op7_secrets, op8_line_dedup, op9_pii, op10_packing, op11_repair)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL}
