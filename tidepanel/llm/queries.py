@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import ann, bpe, chat, line_dedup, ngram_join, packing, pii, repair, secret_scan, simhash, toxicity
+from tidepanel.llm import ann, bit_slices, bpe, chat, line_dedup, ngram_join, packing, pii, repair, secret_scan, simhash, toxicity
 from tidepanel.llm.common import table
 
 
@@ -77,8 +77,13 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null and empty texts have the fingerprint 0 and are linked like others; repeated rows get a row each; a null doc_id names no component; long texts are read whole; no rows, no result; other columns are ignored."""
+    return bit_slices.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ann, op3_chat, op4_ngram_join, op5_simhash, op6_bpe, op7_secrets, op8_line_dedup, op9_pii, op10_packing, op11_repair)
+    f.__name__: f for f in (op1_toxicity, op2_ann, op3_chat, op4_ngram_join, op5_simhash, op6_bpe, op7_secrets, op8_line_dedup, op9_pii, op10_packing, op11_repair, op12_simhash_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL}
