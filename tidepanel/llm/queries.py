@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import ann, bit_slices, bpe, chat, line_dedup, ngram_join, packing, pii, repair, secret_scan, simhash, toxicity
+from tidepanel.llm import ann, bit_slices, bpe, chat, line_dedup, ngram_join, packing, pii, repair, resampling, secret_scan, simhash, toxicity
 from tidepanel.llm.common import table
 
 
@@ -82,8 +82,13 @@ def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_slices.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document against the benchmark's texts. Null and empty texts weigh 0; repeated rows get a row and a rank each; a null doc_id comes last among equal scores; long texts are counted whole; no rows, no result; other columns are ignored."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_ann, op3_chat, op4_ngram_join, op5_simhash, op6_bpe, op7_secrets, op8_line_dedup, op9_pii, op10_packing, op11_repair, op12_simhash_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_ann, op3_chat, op4_ngram_join, op5_simhash, op6_bpe, op7_secrets, op8_line_dedup, op9_pii, op10_packing, op11_repair, op12_simhash_dedup, op13_resampling)
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL}
