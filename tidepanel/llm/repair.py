@@ -236,21 +236,14 @@ def repair(rows: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("some"), F.struct("chunk", "first", "last", "ways")))).alias("parts"),
     )
     seams = F.zip_with(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda b, a: F.concat(a["last"], b["first"]))
-    best = of.select(*KEY, "gaps", "blank", "duplicate", "truncated", (F.col("illegal") + F.size(F.filter(seams, lambda p: ~p.isin(*LEGAL)))).alias("illegal"), _joined(F.col("parts")).alias("best"))
-    found = best.select(*KEY, F.explode("best.path").alias("p")).select(*KEY, "p.*")
-    lines = chunks.select(*KEY, "chunk", "turns").join(found, [*KEY, "chunk"]).select(*KEY, "chunk", _lines(F.col("turns"), F.col("enters"), F.col("edits")).alias("lines")).where(F.size("lines") > 0)
-    texts = lines.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("chunk", F.array_join("lines", "\n").alias("text")))).alias("texts"))
-    return best.join(texts, KEY, "left").select(
-        F.when(~F.col("absent"), F.col("conv")).alias("conv_id"),
-        "gaps",
-        "blank",
-        "duplicate",
-        "truncated",
-        F.col("illegal").cast("long").alias("illegal"),
-        F.col("best.cost").alias("cost"),
-        F.col("best.audit").alias("audit"),
-        F.coalesce(F.array_join(F.transform("texts", lambda t: t["text"]), "\n"), F.lit("")).alias("repaired"),
-    )
+    facts = F.struct("gaps", "blank", "duplicate", "truncated", (F.col("illegal") + F.size(F.filter(seams, lambda p: ~p.isin(*LEGAL)))).alias("illegal"), "best.cost", "best.audit")
+    best = of.withColumn("best", _joined(F.col("parts"))).select(*KEY, facts.alias("facts"), F.posexplode_outer("best.path").alias("at", "p"))
+    # the facts, of which the audit may be long, go with a conversation's first chunk only
+    found = best.select(*KEY, "p.*", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("facts")).alias("facts"))
+    dealt = found.join(chunks.select(*KEY, "chunk", "turns"), [*KEY, "chunk"], "left").withColumn("lines", F.when(F.col("turns").isNotNull(), _lines(F.col("turns"), F.col("enters"), F.col("edits"))))
+    text = F.when(F.size("lines") > 0, F.struct("chunk", F.array_join("lines", "\n").alias("text")))
+    done = dealt.groupBy(*KEY).agg(F.first("facts", ignorenulls=True).alias("facts"), F.array_sort(F.collect_list(text)).alias("texts"))
+    return done.select(F.when(~F.col("absent"), F.col("conv")).alias("conv_id"), *[F.col("facts")[c].cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], "facts.audit", F.array_join(F.transform("texts", lambda t: t["text"]), "\n").alias("repaired"))
 
 
 def repair_digest(conversations: DataFrame) -> DataFrame:
