@@ -236,8 +236,8 @@ def repair(rows: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("some"), F.struct("chunk", "first", "last", "ways")))).alias("parts"),
     )
     seams = F.zip_with(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda b, a: F.concat(a["last"], b["first"]))
-    facts = F.struct("gaps", "blank", "duplicate", "truncated", (F.col("illegal") + F.size(F.filter(seams, lambda p: ~p.isin(*LEGAL)))).alias("illegal"), "best.cost", "best.audit")
-    best = of.withColumn("best", _joined(F.col("parts"))).select(*KEY, facts.alias("facts"), F.posexplode_outer("best.path").alias("at", "p"))
+    facts = F.struct("gaps", "blank", "duplicate", "truncated", "illegal", "best.cost", "best.audit")
+    best = of.withColumn("illegal", F.col("illegal") + F.size(F.filter(seams, lambda p: ~p.isin(*LEGAL)))).withColumn("best", _joined(F.col("parts"))).select(*KEY, facts.alias("facts"), F.posexplode_outer("best.path").alias("at", "p"))
     # the facts, of which the audit may be long, go with a conversation's first chunk only
     found = best.select(*KEY, "p.*", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("facts")).alias("facts"))
     dealt = found.join(chunks.select(*KEY, "chunk", "turns"), [*KEY, "chunk"], "left").withColumn("lines", F.when(F.col("turns").isNotNull(), _lines(F.col("turns"), F.col("enters"), F.col("edits"))))
