@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -25,7 +26,7 @@ from tidepanel.llm.common import shared_folder
 
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 #: Characters of texts that one query of a task's database takes; a longer text is taken in pieces.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 19
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,12 +62,18 @@ def crc(texts) -> pa.Array:
     return pa.array(np.concatenate(of) if of else np.zeros(0, np.int64))
 
 
+@contextmanager
 def _database():
+    """A database in memory; it is closed with the task, as workers live on."""
     import duckdb
 
     db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-    db.create_function("crc", crc, ["VARCHAR"], "BIGINT", type="arrow")
-    return db
+    try:
+        db.create_function("crc", crc, ["VARCHAR"], "BIGINT", type="arrow")
+        yield db
+    finally:
+        db.remove_function("crc")
+        db.close()
 
 
 def _pieces(text: str) -> Iterator[tuple[str, str]]:
@@ -106,22 +113,22 @@ def counted(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_words": column("n_words", pa.int64()), "n_features": column("n_features", pa.int64()), "buckets": column("buckets", pa.list_(pa.int16())), "counts": column("counts", pa.list_(pa.int64()))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db = _database()
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                if len(text) > AT_ONCE:
-                    yield record([doc_id], _whole(db, text))
-                    continue
-                if texts and size + len(text) > AT_ONCE:
-                    yield record(ids, _counts(db, texts, [""] * len(texts)))
-                    ids, texts, size = [], [], 0
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-        if texts:
-            yield record(ids, _counts(db, texts, [""] * len(texts)))
+        with _database() as db:
+            ids, texts, size = [], [], 0
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    text = text or ""
+                    if len(text) > AT_ONCE:
+                        yield record([doc_id], _whole(db, text))
+                        continue
+                    if texts and size + len(text) > AT_ONCE:
+                        yield record(ids, _counts(db, texts, [""] * len(texts)))
+                        ids, texts, size = [], [], 0
+                    ids.append(doc_id)
+                    texts.append(text)
+                    size += len(text)
+            if texts:
+                yield record(ids, _counts(db, texts, [""] * len(texts)))
 
     return docs.mapInArrow(run, _SPILLED)
 
