@@ -18,13 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.llm.common import beside_rows, rows_apart
+from tidepanel.llm.common import beside_rows, durable, rows_apart
 
 #: Bound of the labelled sample for the fit: this many toxic and as many clean documents, those
 #: with the smallest hashes of their doc_id. Everything else covers all rows.
 MAX_PER_CLASS = 3000
-#: Features that a document of the sample gives at most, those of the smallest numbers: the sample has a fixed largest size.
-MAX_FEATURES = 20_000
 BITS = 18
 STRIP = ".,;:!?\"'()[]{}<>|#$%&*-_"
 #: A document is rejected from this probability of any toxic grade on (of held-out documents, toxic ones lie above and clean ones far below).
@@ -60,7 +58,7 @@ class _Cache(dict):
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """(toxic, features) of the bounded sample, one row for each doc_id.
+    """(toxic, features) of the bounded sample, one row for each doc_id, with every distinct feature of its text.
 
     A document labelled twice counts as toxic if any label says so; of rows that repeat a doc_id
     the one with the smallest text counts.
@@ -73,12 +71,30 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Cache(features)
         for batch in batches:
-            rows = [np.array(sorted(f for w in words(t or "") for f in cache[w])[:MAX_FEATURES], np.int32).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "features"])
+            rows = [sorted({f for w in words(t or "") for f in cache[w]}) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
 
     found = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
     first = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    return first.mapInArrow(run, "doc_id long, toxic int, features binary").select("toxic", "features")
+    return first.mapInArrow(run, "doc_id long, toxic int, features array<int>").select("toxic", "features")
+
+
+def supported(rows: DataFrame) -> DataFrame:
+    """(toxic, features as bytes): the sample with those features only that MIN_SUPPORT of its rows have; the others can't weigh in.
+
+    The features are counted on the executors; of 2**BITS numbers those that are often enough make one bounded array.
+    """
+    often = rows.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT)
+    mask = np.zeros(1 << BITS, bool)
+    mask[[r["feature"] for r in often.select("feature").collect()]] = True
+    sent = rows.sparkSession.sparkContext.broadcast(mask)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_ = [np.array(f, np.int32) for f in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[sent.value[f]].tobytes() for f in all_], pa.binary())], names=["toxic", "features"])
+
+    return rows.mapInArrow(run, "toxic int, features binary")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -153,7 +169,7 @@ def fit(toxic: np.ndarray, rows: list[np.ndarray], prior: float, penalty: float
 def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> OrdinalModel:
     """Fit on the bounded sample; without labels of both classes every document scores 0."""
     prior = labels.where("toxic is not null").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    rows = sample(docs, labels, per_class).collect()  # at most 2 * per_class rows of MAX_FEATURES numbers
+    rows = supported(durable(sample(docs, labels, per_class))).collect()  # at most 2 * per_class rows
     rows.sort(key=lambda r: (r["toxic"], bytes(r["features"])))
     toxic = np.array([r["toxic"] for r in rows], np.int64)
     return fit(toxic, [np.frombuffer(bytes(r["features"]), np.int32) for r in rows], min(max(prior or 0.0, 0.01), 0.99))
