@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm import bpe, line_dedup, ngram_join, packing, pii, queries, secret_scan, simhash, toxicity
 from tidepanel.llm.queries import pattern, vocabulary
 
-CLASHES = ("grade", "Rejected", "severity", "p_mild", "kept", "n_lines", "n_dropped", "row", "_row", "id", "rep", "comp", "token", "tokens", "length", "piece", "entities", "findings", "shard", "n")
+CLASHES = ("grade", "Rejected", "severity", "p_mild", "kept", "n_lines", "n_dropped", "row", "_row", "id", "rep", "comp", "token", "tokens", "length", "piece", "entities", "findings", "shard", "n", "a.b", "t1", "place", "copies")
 LONG = " ".join(random.Random(1).choices(["alpha", "beta", "gamma", "delta", "x1", "é"], k=170_000)) + " " + "q" * 70_000
 
 
@@ -62,10 +62,31 @@ def test_every_stage_keeps_the_columns(spark, tmp_path):
             now = spark.read.parquet(place)
             if name != "packing":
                 assert now.columns == docs.columns, name
-                assert [r[c] for r in now.select(*CLASHES).distinct().collect() for c in CLASHES] == ([] if empty else [f"clash {c}" for c in CLASHES]), name
+                assert [r[c] for r in now.select(*[f"`{c}`" for c in CLASHES]).distinct().collect() for c in CLASHES] == ([] if empty else [f"clash {c}" for c in CLASHES]), name
         assert (now.count() == 0) == empty
 
 
+def test_one_row_of_a_component_stays(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "other words than those of all the rest")
+    rows = [(5, a, "x"), (5, b, "x"), (3, b, "x"), (1, c, "x"), (1, c, "y"), (1, c, "y"), (7, "", "x"), (7, "", "x"), (8, None, "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(4)
+    got = sorted(map(tuple, ngram_join.keep_one(docs).collect()), key=str)
+    assert [r[:2] for r in got] == sorted([(5, a), (3, b), (1, c), (7, ""), (7, ""), (8, None), (None, a), (None, a)], key=str)
+    assert got == sorted(map(tuple, ngram_join.keep_one(docs.repartition(2)).collect()), key=str)
+
+
+def test_long_documents_train_all_features(spark):
+    """A text of 9,000 distinct words keeps its features of all numbers, and what four documents share reaches the fit."""
+    text = " ".join(f"word{i:05d}x" for i in range(9000))
+    docs = spark.createDataFrame([(i, text if i < 4 else f"own{i} words") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(8)], "doc_id long, toxic int")
+    whole = {f for w in toxicity.words(text) for f in toxicity.features(w)}
+    rows = toxicity.sample(docs, labels)
+    assert max((set(r["features"]) for r in rows.collect()), key=len) == whole and max(whole) > 250_000
+    kept = [np.frombuffer(bytes(r["features"]), np.int32) for r in toxicity.supported(rows).collect() if r["toxic"]]
+    assert all(set(k.tolist()) == whole for k in kept) and len(kept) == 4
+
+
 def test_long_words_equal_the_library():
     import tiktoken
 

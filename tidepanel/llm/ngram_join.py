@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidepanel.llm.common import durable
+from tidepanel.llm.common import durable, rows_apart
 from tidepanel.llm.graph import components as connected
 
 #: Orders whose first token is kept for the leaders, and how many of them must agree on a leader.
@@ -178,13 +179,17 @@ def _coded(counts: np.ndarray) -> np.ndarray:
 _DECODED = np.r_[np.arange(128), np.ceil(128 * 2 ** (np.arange(128) / 8))].astype(np.uint32)
 
 
+def _text_hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in (1, 2)]
+
+
 def _profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, s1, s2, firsts, sketch, counts) of every row.
+    """(doc_id, n, s1, s2, firsts, sketch, t1, t2, counts) of every row.
 
-    Set size, set signature, the least mix of each leader order, and the set's parity sketch behind
+    t1 and t2 are the text's hashes, of 128 bits together. Set size, set signature, the least mix of each leader order, and the set's parity sketch behind
     its size. Each task's last row has only counts: its tokens by bin, a byte each.
     """
-    names = ["doc_id", "n", "s1", "s2", "firsts", "sketch", "counts"]
+    names = ["doc_id", "n", "s1", "s2", "firsts", "sketch", "t1", "t2", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(width), np.zeros(1 << COUNT_BITS, np.int32)
@@ -211,15 +216,18 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(s2.view(np.int64)),
                         pa.FixedSizeListArray.from_arrays(firsts.ravel().view(np.int64), LEADER_ORDERS).cast(pa.list_(pa.int64())),
                         pa.array([size.tobytes() + one for size, one in zip(n.astype(np.int64), sketches(tokens, bounds), strict=True)], pa.binary()),
+                        batch.column(2)[part],
+                        batch.column(3)[part],
                         pa.nulls(len(n), pa.binary()),
                     ],
                     names=names,
                 )
         if counts.any():
-            empty = [pa.nulls(1, t) for t in (*(pa.int64(),) * 4, pa.list_(pa.int64()), pa.binary())]
+            empty = [pa.nulls(1, t) for t in (*(pa.int64(),) * 4, pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array([_coded(counts).tobytes()], pa.binary())], names=names)
 
-    return _documents(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, sketch binary, counts binary")
+    read = _documents(docs)
+    return read.select(*read.columns, *_text_hashes(F.col("text"))).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, firsts array<long>, sketch binary, t1 long, t2 long, counts binary")
 
 
 def _added(parts: DataFrame, keys: list[str], coded: bool) -> DataFrame:
@@ -588,10 +596,15 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     with nothing. Each row is judged by its own text: rows that repeat a doc_id get a row each. A
     null doc_id has no component and no part in linking.
     """
+    return _components(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, t1, t2, component_id) of every row."""
     spark = docs.sparkSession
     profiles = durable(_profiles(docs, width))
     rarity = spark.sparkContext.broadcast(_rarity(profiles))  # 3 * 2**COUNT_BITS bytes, whatever the corpus
-    rows = profiles.where("counts is null").select("doc_id", "n", "s1", "s2", "firsts", "sketch")
+    rows = profiles.where("counts is null").select("doc_id", "n", "s1", "s2", "t1", "t2", "firsts", "sketch")
     members = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"), F.first("sketch").alias("sketch"))
     classes = durable(members)
     leaders = durable(_leader_pairs(classes))
@@ -603,13 +616,28 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     more = durable(_verified(docs, rest, rarity, width, percent))
     final = _placed(classes, more.unionByName(_as_links(placed))).withColumnRenamed("comp", "component_id")
     named = classes.select("n", "s1", "s2", "rep").join(final, "rep").drop("rep")
-    return rows.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return rows.join(named, ["n", "s1", "s2"], "left").select("doc_id", "n", "t1", "t2", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose doc_id is the smallest of their component, with all their columns; rows without doc_id stay."""
-    leaders = components(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(leaders, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each component, with all its columns: of the smallest doc_id, and of several such rows that of the least text hash.
+
+    Of rows alike in doc_id and text the one whose columns have the least hash stays. Rows without
+    words or without doc_id are linked with nothing and all stay. Two texts of one doc_id that no
+    text of a smaller doc_id is linked with bear the same component's name, so one of them stays.
+    """
+    key = ["doc_id", "t1", "t2"]
+    placed = durable(_components(docs, width, percent).where("n > 0 and doc_id is not null").groupBy("component_id", *key).agg(F.count("*").alias("copies")))
+    best = placed.groupBy("component_id").agg(F.min(F.struct(*key, "copies")).alias("best")).select("best.*")
+    text = F.col("text").cast("string")
+    rows = rows_apart(docs, F.col("doc_id").cast("long").alias("doc_id"), *_text_hashes(F.coalesce(text, F.lit(""))), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    alone = rows.where("doc_id is null or not worded")
+    linked = rows.where("doc_id is not null and worded")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row")))
+    # repeats are rare: only they are put in order
+    repeated = linked.join(best.where("copies > 1").select(*key), key).withColumn("place", place).where("place = 1")
+    once = linked.join(best.where("copies = 1").select(*key), key, "left_semi")
+    return alone.select("row").unionByName(once.select("row")).unionByName(repeated.select("row")).select("row.*")
 
 
 #: The contract's components (four words, 85 in 100) for DuckDB: all pairs that share a shingle, then reachability.

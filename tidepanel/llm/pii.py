@@ -159,14 +159,15 @@ def masked(text: str) -> str:
 def mask_pii(docs: DataFrame) -> DataFrame:
     """The same rows and columns with ``text`` masked; a null text stays null."""
     names = docs.columns
+    at = names.index("text")
 
     def run(batches):
-        at = names.index("text")
         for batch in batches:
             new = pa.array([None if t is None else masked(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    # positions, not names, tell the columns apart: a name may hold a dot
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)
 
 
 def span_text(entities: Column, kinds: tuple[str, ...] | None = None) -> Column:
