@@ -37,19 +37,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five-word shingles, Jaccard 0.8) the smallest doc_id stays."""
+    """Of each group of linked documents (five-word shingles, Jaccard 0.8) one row of the smallest doc_id stays; rows without words or doc_id all stay."""
     small_batches(spark)
-    return ngram_join.keep_one(docs, width=5, percent=80).select(*docs.columns)
+    return ngram_join.keep_one(docs, width=5, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind in angle brackets; no document goes."""
     small_batches(spark)
-    return _retexted(pii.mask_pii(docs), F.col("text")).select(*docs.columns)
+    return _retexted(pii.mask_pii(docs), F.col("text")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their sequence and offset; repeated rows get places of their own, an empty text is its end token."""
     small_batches(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
