@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.sources.tables import path_exists
+
 PARTS = ("train", "calibrate", "test")
 CELL = ["market", "candidate", "test_year"]
 _MEASURES = "struct<rows: bigint, r2: double, correlation: double>"
@@ -149,7 +151,7 @@ def run_grid(by_fold: DataFrame, candidates: DataFrame, names: list[str], store:
     cell that was solved twice the newest result counts.
     """
     spark = by_fold.sparkSession
-    held = spark.read.schema(f"{RESULT}, run long").parquet(store) if _exists(spark, store) else None
+    held = spark.read.schema(f"{RESULT}, run long").parquet(store) if path_exists(spark, store) else None
     last = _newest(held) if held is not None else None
     done = None if last is None else last.where("error is null") if again else last
     run = 1 if held is None else held.agg(F.coalesce(F.max("run"), F.lit(0)).alias("run")).first()["run"] + 1
@@ -160,8 +162,3 @@ def run_grid(by_fold: DataFrame, candidates: DataFrame, names: list[str], store:
 def _newest(held: DataFrame) -> DataFrame:
     """A cell's last result; maps can't be compared, so the runs' numbers decide."""
     return held.join(held.groupBy(*CELL).agg(F.max("run").alias("run")), [*CELL, "run"], "left_semi").drop("run")
-
-
-def _exists(spark, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,9 @@ def replace_range(old: DataFrame, new: DataFrame, column: str, first, last, sour
 def write_partitioned(rows: DataFrame, path: str, by: list[str]) -> None:
     """Parquet by partition columns; only the partitions present in ``rows`` are replaced."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, by the file system that Spark itself uses for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
