@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +62,56 @@ def freshness_guard(today: str, newest: str | None, seed: str) -> str:
     return "UPDATE"
 
 
+def run_guarded_updates(spark: SparkSession, source: str, state_path: str, checkpoint: str, today: Callable[[], str], keep_dates: int = 100, least_stocks: int = 1, longest_gap: int = 31, oldest: int = 7) -> None:
+    """Take in new files of ``source`` over a seeded state (version=-1 of ``state_path``), or fail as late data demand.
+
+    A seed dated after today and a gap of more than ``longest_gap`` days between it and today are
+    errors. The stream drops repeats of a row and rows that come later than its watermark of
+    ``longest_gap`` days. A batch that brings no newer date is ALREADY_CURRENT: the state stays and
+    nothing is ready to send. After a batch with newer dates the newest may be ``oldest`` days
+    old at most. A batch that fails isn't committed and comes again.
+    """
+
+    def version(n: int) -> str:
+        return f"{state_path}/version={n}"
+
+    def newest(rows: DataFrame) -> pd.Timestamp | None:
+        day = rows.agg(F.max("date")).first()[0]
+        return None if day is None else pd.Timestamp(day)
+
+    def take(batch: DataFrame, n: int) -> None:
+        before = spark.read.schema(ROW).parquet(version(n - 1))
+        if batch.isEmpty():  # the watermark moved on, nothing came
+            before.write.mode("overwrite").parquet(version(n))
+            return
+        held, day = newest(before), pd.Timestamp(today())
+        if held > day:
+            raise ValueError(f"the state's newest date {held.date()} is after {day.date()}")
+        if (day - held).days > longest_gap:
+            raise ValueError(f"{(day - held).days} days between the state and {day.date()}, {longest_gap} are allowed; seed it anew")
+        after = apply_day(before, batch.select(*before.columns), keep_dates, least_stocks)
+        found = newest(after)
+        fresh = found > held
+        if fresh and (day - found).days > oldest:
+            raise ValueError(f"the newest date {found.date()} is more than {oldest} days before {day.date()}")
+        (after if fresh else before).write.mode("overwrite").parquet(version(n))
+        status = [("UPDATED" if fresh else "ALREADY_CURRENT", found.date() if fresh else held.date(), fresh)]
+        spark.createDataFrame(status, "status string, newest date, ready_to_send boolean").coalesce(1).write.mode("overwrite").parquet(f"{state_path}_status/batch={n}")
+
+    stream = spark.readStream.schema(ROW).option("maxFilesPerTrigger", 1).parquet(source)
+    timed = stream.withColumn("at", F.col("date").cast("timestamp")).withWatermark("at", f"{longest_gap} days").dropDuplicatesWithinWatermark(["stock_id", "date", "seq"]).drop("at")
+    timed.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def seed_state(rows: DataFrame, state_path: str) -> None:
+    """Write the state that updates start from."""
+    rows.write.mode("overwrite").parquet(f"{state_path}/version=-1")
+
+
+def batch_statuses(spark: SparkSession, state_path: str) -> DataFrame:
+    return spark.read.parquet(f"{state_path}_status")
+
+
 def lifecycle_stream(scores: DataFrame, machine=layout_day_merged) -> DataFrame:
     """Notifications of a stream of (stock_id, idx, score), the state machine kept per security.
 
