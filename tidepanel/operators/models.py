@@ -78,6 +78,19 @@ def fold_rows(rows: DataFrame, folds: list[tuple[int, int, int]], year: str = "y
     return x.withColumn("part", part).where("part is not null").drop("train", "cal")
 
 
+def missing_classes(parts: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """(test_year, part, n, missing): rows of each part and the classes it lacks, comma-joined."""
+    have = parts.groupBy("test_year", "part").agg(F.count("*").alias("n"), F.collect_set(label).alias("have"))
+    return have.select("test_year", "part", "n", F.array_join(F.array_except(F.array(*map(F.lit, classes)), "have"), ",").alias("missing"))
+
+
+def require_classes(parts: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """The parts; a fold's part that lacks a class is an error of the read."""
+    said = F.concat(F.lit("fold "), F.col("test_year").cast("string"), F.lit(" "), "part", F.lit(" lacks "), "missing")
+    whole = missing_classes(parts, label, classes).select("test_year", "part", F.when(F.col("missing") != "", F.raise_error(said).cast("boolean")).otherwise(True).alias("_whole"))
+    return parts.join(F.broadcast(whole), ["test_year", "part"]).where("_whole").drop("_whole")  # three rows a fold
+
+
 def temperature(rows: DataFrame, logit: str, y: str, candidates: int = 73) -> DataFrame:
     """(temperature, loss): the best of a logarithmic grid from 1/4 to 4 by log-loss, 1 included, in one pass."""
     grid = F.explode(F.array(*[F.lit(float(t)) for t in np.exp(np.linspace(np.log(0.25), np.log(4), candidates))]))

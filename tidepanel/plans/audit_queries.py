@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tidepanel.operators import audit as X
 from tidepanel.operators import features as P
-from tidepanel.operators.quantiles import exact_quantiles
+from tidepanel.operators.quantiles import count_up_to, exact_quantiles
 from tidepanel.plans.adapter import CTES, cells, panel, table, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq, share_sql
@@ -213,9 +213,12 @@ def a30(spark, d):
     """The best of the 99 percentiles and 0.5 by balanced accuracy, F1 and threshold."""
     p = probs(spark, d).select("y", F.round("p", 9).alias("p"))
     cuts = exact_quantiles(p, "p", [i / 100 for i in range(1, 100)])
-    t = cuts.select(F.explode(F.array_distinct(F.transform(F.concat("q", F.array(F.lit(0.5))), lambda x: F.round(x, 9)))).alias("t"))
-    up, yes = F.col("y") == 1, F.col("p") >= F.col("t")
-    c = p.crossJoin(F.broadcast(t)).groupBy("t").agg(F.count_if(up & yes).alias("tp"), F.count_if(~up & yes).alias("fp"), F.count_if(up & ~yes).alias("fn"), F.count_if(~up & ~yes).alias("tn"))  # a hundred rows
+    t = cuts.select(F.array_sort(F.array_distinct(F.transform(F.concat("q", F.array(F.lit(0.5))), lambda x: F.round(x, 9)))).alias("ts"))  # one row of a hundred
+    # a row finds by bisection how many thresholds it reaches; those are a hundred bins to sum over
+    bins = p.crossJoin(F.broadcast(t)).groupBy(count_up_to(F.col("ts"), F.col("p"), 100).alias("bin")).agg(F.count_if(F.col("y") == 1).alias("up"), F.count_if(F.col("y") != 1).alias("down"))
+    reached = F.col("bin") > F.col("at")
+    total = lambda n, when: F.coalesce(F.sum(F.when(when, F.col(n))), F.lit(0))
+    c = t.select(F.posexplode("ts").alias("at", "t")).crossJoin(F.broadcast(bins)).groupBy("t").agg(total("up", reached).alias("tp"), total("down", reached).alias("fp"), total("up", ~reached).alias("fn"), total("down", ~reached).alias("tn"))
     least = lambda e: F.greatest(F.expr(e), F.lit(1))
     m = c.select("t", F.round((F.col("tp") / least("tp + fn") + F.col("tn") / least("tn + fp")) / 2, 9).alias("ba"), F.round(2 * F.col("tp") / least("2 * tp + fp + fn"), 9).alias("f1"))
     return m.agg(F.max(F.struct("ba", "f1", "t")).alias("b")).select(r(F.col("b.t"), "threshold"), r(F.col("b.ba"), "balanced"), r(F.col("b.f1"), "f1"))

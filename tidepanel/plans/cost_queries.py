@@ -93,8 +93,9 @@ FROM (SELECT *, deviation >= a AND (back >= b OR place >= c) AS hot FROM heat, (
 WHERE deviation IS NOT NULL AND back IS NOT NULL AND place IS NOT NULL AND (period = 'all' OR year > 1996)) GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (WHERE hot) >= 20 AND count(*) FILTER (WHERE NOT hot) >= 20"""))
 def a43(spark, d):
     """Far above cost and risen fast or high in its range, against the rest; at least 20 rows on both sides."""
-    c = cells(spark, d).select("stock_id", "date", X.row_change(5).alias("back"), X.range_position(20).alias("place"))
-    s = risky(spark, d).join(c, ["stock_id", "date"]).withColumn("deviation", F.col("deviation") / 100)
+    # one frame by security and date serves the cost band, the change and the range
+    c = band(spark, d).select("stock_id", "date", (F.col("deviation") / 100).alias("deviation"), X.row_change(5).alias("back"), X.range_position(20).alias("place"))
+    s = ranked(spark, d).where("pct > 60").select("stock_id", "date", "year", "ret").join(c, ["stock_id", "date"])
     return X.overheat_grid(s, F.array(F.lit("all"), F.when(F.col("year") > 1996, "late")), "ret").select("period", "least_deviation", "least_return", "least_place", "n", "hot", *[r(F.col(k), k) for k in ("hot_mean", "normal_mean", "difference")])
 
 

@@ -80,9 +80,10 @@ def m07(spark, d):
 @query("m06_ridge_weights")
 def m06(spark, d):
     """Weights of the ridge model; a linear system isn't SQL, the tests solve it with numpy."""
-    rows = training(spark, d)
+    rows = training(spark, d).select("target", *NAMES).persist()  # read three times; lost blocks are made anew
     fitted = M.standardiser(rows, NAMES)
     w, b = M.ridge(rows, {n: M.standardised(n, v) for n, v in fitted.items()}, "target", 1e-3)
+    rows.unpersist()
     return spark.createDataFrame([*((n, round(float(x), 9)) for n, x in zip(NAMES, w, strict=True)), ("intercept", round(b, 9))], "feature string, weight double")
 
 
@@ -97,13 +98,14 @@ def m08(spark, d):
 @query("m04_m05_logistic")
 def m04(spark, d):
     """Accuracy of a three-way and a two-way logistic model on all rows."""
-    rows = training(spark, d).withColumn("direction", F.when(F.col("ret") >= 0.05, 2).when(F.col("ret") <= -0.05, 0).otherwise(1)).withColumn("up", (F.col("ret") > 0).cast("int"))
+    rows = training(spark, d).withColumn("direction", F.when(F.col("ret") >= 0.05, 2).when(F.col("ret") <= -0.05, 0).otherwise(1)).withColumn("up", (F.col("ret") > 0).cast("int")).select("direction", "up", *NAMES).persist()
     fitted = M.standardiser(rows, NAMES)
     cols = {n: M.standardised(n, v) for n, v in fitted.items()}
     out = []
     for name, label, family in (("direction", "direction", "multinomial"), ("up", "up", "binomial")):
         model = M.logistic(rows, cols, label, family=family)
         out.append((name, model.numClasses, float(model.summary.accuracy)))
+    rows.unpersist()
     return spark.createDataFrame(out, "model string, classes int, accuracy double")
 
 
