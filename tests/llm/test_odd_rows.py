@@ -75,6 +75,24 @@ def test_one_row_of_a_component_stays(spark):
     assert got == sorted(map(tuple, ngram_join.keep_one(docs.repartition(2)).collect()), key=str)
 
 
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_repeated_ids_count_as_rows(spark, bound):
+    """A row is a document, by the operator and by its SQL alike."""
+    import duckdb
+
+    a, b = "a line of more than forty characters that repeats", "Another line of more than forty characters, here"
+    rows = [(1, a), (1, a), (2, a), (2, f"{a}\n{b}"), (3, f" {a.upper()}\nx"), (4, b), (4, b), (5, f"{b}\n{b}"), (None, a), (None, f"{a}\n{b}"), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    cur = con.execute(line_dedup.ORACLE_SQL)
+    at = [c[0] for c in cur.description]
+    want = sorted(([r[at.index(n)] for n in names] for r in cur.fetchall()), key=str)
+    got = line_dedup.dedup_lines(docs, broadcast_bytes=bound).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    assert sorted((list(r) for r in got.collect()), key=str) == want and sum(w[2] for w in want) == 4
+
+
 def test_long_documents_train_all_features(spark):
     """A text of 9,000 distinct words keeps its features of all numbers, and what four documents share reaches the fit."""
     text = " ".join(f"word{i:05d}x" for i in range(9000))
