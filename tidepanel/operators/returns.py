@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidepanel.operators.features import by_date
 
@@ -38,52 +39,57 @@ def label(value: Column) -> Column:
     return F.when(x >= THRESHOLD, "UP").when(x <= -THRESHOLD, "DOWN").when(x.isNotNull(), "FLAT")
 
 
-def forward_returns(panel: DataFrame, actions: DataFrame, horizon: int, last_dates: DataFrame | None = None) -> DataFrame:
-    """(stock_id, date, status, raw, adjusted, highest, lowest, label, action_types) for days with a price.
+FACTS = ("status", "raw", "adjusted", "highest", "lowest", "label", "action_types")
+
+
+def returns_by_horizon(panel: DataFrame, actions: DataFrame, horizons: tuple[int, ...], last_dates: DataFrame | None = None) -> DataFrame:
+    """(stock_id, date, and FACTS with _<horizon>d behind each) for days with a price.
 
     Entry is the next market day's open, the target is ``horizon`` market days after the signal.
     The path multiplies each priced day's close over the previous priced close, or over the
-    resolved reference price on days with actions; an entry day's own action doesn't count. The
-    frame is ``horizon`` rows of the dense panel, so no task holds more than that per row.
+    resolved reference price on days with actions; an entry day's own action doesn't count. So from
+    the entry's close on a day's factor is the same for every signal, and a path is a difference of
+    running sums of their logarithms: all horizons are windows of numbers over one sort.
     ``last_dates`` (stock_id, last_date) are days from which on a security is not traded any more.
     """
-    window = by_date().rowsBetween(1, horizon)
-    close = F.when(F.col("close") > 0, F.col("close"))
-    joined = panel.join(resolved_actions(actions), ["stock_id", "date"], "left").withColumn("_close", close)
-    day = F.struct("idx", "date", "open", F.col("_close").alias("close"), "reference", "action_types", "conflict")
-    path = joined.select("stock_id", "date", "idx", "present", F.collect_list(day).over(window).alias("path"))
-    if last_dates is not None:
-        path = path.join(last_dates, "stock_id", "left")
-    else:
-        path = path.withColumn("last_date", F.lit(None).cast("date"))
-    path = path.where("present").withColumn("_first", F.get("path", F.lit(0))).withColumn("_last", F.get("path", F.lit(horizon - 1)))
-    later = F.slice("path", 2, horizon)
-    priced = F.filter("path", lambda x: x["close"].isNotNull())
-    # the fold carries the previous close and the running product with its extremes
-    start = F.struct(F.lit(None).cast("double").alias("before"), F.lit(1.0).alias("value"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"))
-
-    def step(s, x):
-        base = F.when(s["before"].isNull(), F.col("_first")["open"]).otherwise(F.coalesce(x["reference"], s["before"]))
-        value = s["value"] * (x["close"] / base)
-        return F.struct(x["close"].alias("before"), value.alias("value"), F.greatest(s["high"], value).alias("high"), F.least(s["low"], value).alias("low"))
-
-    folded = F.when(F.col("status") == "ok", F.aggregate(priced, start, step))
-    broken = F.exists(later, lambda x: x["action_types"].isNotNull() & (x["close"].isNull() | x["conflict"]))
-    status = (
-        F.when(F.size("path") < horizon, "insufficient_future_data")
-        .when(F.col("_first")["date"] >= F.col("last_date"), "delisted_before_entry")
-        .when(F.col("_last")["date"] >= F.col("last_date"), "delisted_before_target")
-        .when(~F.coalesce((F.col("_first")["open"] > 0) & F.col("_first")["close"].isNotNull(), F.lit(False)), "unavailable_entry_price")
-        .when(F.col("_last")["close"].isNull(), "unavailable_target_price")
-        .when(broken, "invalid_data")
-        .otherwise("ok")
-    )
-    done = path.withColumn("status", status).withColumn("_f", folded)
-    types = F.array_distinct(F.flatten(F.transform(F.filter(later, lambda x: x["action_types"].isNotNull()), lambda x: x["action_types"])))
-    adjusted = F.col("_f")["value"] - 1
-    return done.select(
-        "stock_id", "date", "status",
-        F.when(F.col("status") == "ok", F.col("_last")["close"] / F.col("_first")["open"] - 1).alias("raw"),
-        adjusted.alias("adjusted"), (F.col("_f")["high"] - 1).alias("highest"), (F.col("_f")["low"] - 1).alias("lowest"),
-        label(adjusted).alias("label"), F.to_json(types).alias("action_types"),
-    )
+    order = by_date()
+    ahead = lambda c, n: F.lead(c, n).over(order)
+    closed = F.when(F.col("close") > 0, F.col("close"))
+    days = panel.join(resolved_actions(actions), ["stock_id", "date"], "left").withColumn("_close", closed)
+    days = days.withColumn("_before", F.coalesce("reference", F.last("_close", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
+    factor = F.when(F.col("_close").isNotNull() & F.col("_before").isNotNull(), F.ln(F.col("_close") / F.col("_before"))).otherwise(0.0)
+    wrong = F.when(F.col("action_types").isNotNull() & (F.col("_close").isNull() | F.col("conflict")), 1)
+    days = days.withColumns({"_path": F.sum(factor).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_wrong": wrong})
+    made: dict[str, Column] = {"_open_1": ahead("open", 1), "_close_1": ahead("_close", 1), "_date_1": ahead("date", 1), "_path_1": ahead("_path", 1)}
+    for h in horizons:
+        frame = order.rowsBetween(1, h)
+        made |= {f"_n_{h}": F.count("*").over(frame), f"_date_{h}d": ahead("date", h), f"_close_{h}d": ahead("_close", h), f"_path_{h}d": ahead("_path", h), f"_top_{h}d": F.max("_path").over(frame), f"_low_{h}d": F.min("_path").over(frame)}
+        later = order.rowsBetween(2, h)
+        made |= {f"_wrong_{h}d": F.count("_wrong").over(later) if h > 1 else F.lit(0), f"_types_{h}d": F.collect_list("action_types").over(later) if h > 1 else F.array().cast("array<array<string>>")}
+    done = days.withColumns(made).where("present")
+    done = done.join(last_dates, "stock_id", "left") if last_dates is not None else done.withColumn("last_date", F.lit(None).cast("date"))
+    out = done
+    for h in horizons:
+        status = (
+            F.when(F.col(f"_n_{h}") < h, "insufficient_future_data")
+            .when(F.col("_date_1") >= F.col("last_date"), "delisted_before_entry")
+            .when(F.col(f"_date_{h}d") >= F.col("last_date"), "delisted_before_target")
+            .when(~F.coalesce((F.col("_open_1") > 0) & F.col("_close_1").isNotNull(), F.lit(False)), "unavailable_entry_price")
+            .when(F.col(f"_close_{h}d").isNull(), "unavailable_target_price")
+            .when(F.col(f"_wrong_{h}d") > 0, "invalid_data")
+            .otherwise("ok")
+        )
+        ok = F.col(f"status_{h}d") == "ok"
+        at = lambda c, ok=ok: F.when(ok, F.col("_close_1") / F.col("_open_1") * F.exp(F.col(c) - F.col("_path_1")) - 1)
+        out = out.withColumn(f"status_{h}d", status).withColumns({
+            f"raw_{h}d": F.when(ok, F.col(f"_close_{h}d") / F.col("_open_1") - 1),
+            f"adjusted_{h}d": at(f"_path_{h}d"), f"highest_{h}d": at(f"_top_{h}d"), f"lowest_{h}d": at(f"_low_{h}d"),
+            f"action_types_{h}d": F.to_json(F.array_distinct(F.flatten(f"_types_{h}d"))),
+        }).withColumn(f"label_{h}d", label(F.col(f"adjusted_{h}d")))
+    return out.select("stock_id", "date", *[f"{c}_{h}d" for h in horizons for c in FACTS])
+
+
+def forward_returns(panel: DataFrame, actions: DataFrame, horizon: int, last_dates: DataFrame | None = None) -> DataFrame:
+    """(stock_id, date, FACTS) of one horizon; see ``returns_by_horizon``."""
+    made = returns_by_horizon(panel, actions, (horizon,), last_dates)
+    return made.select("stock_id", "date", *[F.col(f"{c}_{horizon}d").alias(c) for c in FACTS])

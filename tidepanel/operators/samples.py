@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepanel.operators import features as X
-from tidepanel.operators.returns import forward_returns
+from tidepanel.operators.returns import returns_by_horizon
 
 # The feature names' parts, their panel columns and windows, and each market's model.
 ACTORS = {"foreign": "foreign_net", "investment_trust": "trust_net", "dealer_self": "dealer_net", "selected_total": "total_net"}
@@ -57,9 +57,10 @@ def sample_rows(panel: DataFrame, actions: DataFrame, last_dates: DataFrame | No
     """Days with a price: features, the liquidity screen, the first exclusion reason, and per horizon status, returns and eligibility."""
     rows = with_features(X.liquidity(panel, least_money)).withColumn("exclusion", X.exclusion(None, least_money)).where("present")
     rows = rows.select("stock_id", "date", F.year("date").alias("year"), *feature_names(), "history", "normal_days", "median_money", "zero_run", "liquid", "entry_ready", "exclusion")
+    kept = [f"{c}_{h}d" for h in horizons for c in ("status", "raw", "adjusted", "highest", "lowest")] + (["label_10d"] if 10 in horizons else [])
+    rows = rows.join(returns_by_horizon(panel, actions, tuple(horizons), last_dates).select("stock_id", "date", *kept), ["stock_id", "date"], "left")
     for h in horizons:
-        y = forward_returns(panel, actions, h, last_dates).select("stock_id", "date", F.col("status").alias(f"status_{h}d"), *[F.col(c).alias(f"{c}_{h}d") for c in ("raw", "adjusted", "highest", "lowest")], *([F.col("label").alias("label_10d")] if h == 10 else []))
-        rows = rows.join(y, ["stock_id", "date"], "left").withColumn(f"eligible_{h}d", F.col("liquid") & F.col("entry_ready") & (F.col(f"status_{h}d") == "ok"))
+        rows = rows.withColumn(f"eligible_{h}d", F.col("liquid") & F.col("entry_ready") & (F.col(f"status_{h}d") == "ok"))
     return rows
 
 
