@@ -34,6 +34,8 @@ def test_payload_source(spark, server):
     spark.dataSource.register(rest.PayloadSource)
     got = spark.read.format("payloads").options(url=server + "/{key}", keys=json.dumps(["a", "flaky", "b"]), pause="0", wait="0.01", batch="2").load()
     assert sorted((r["id"], json.loads(r["payload"])["path"]) for r in got.collect()) == [("a", "/a"), ("b", "/b"), ("flaky", "/flaky")]
+    alone = spark.read.format("payloads").options(url=server + "/{key}", keys=json.dumps(["a", "b", "c"]), pause="0").load()
+    assert alone.rdd.getNumPartitions() == 1 and alone.count() == 3
     with pytest.raises(rest.Quota):
         rest.fetch(server + "/quota", wait=0.01)
     assert Answers.seen["/quota"] == 1
@@ -50,13 +52,6 @@ def test_models_and_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out/r")).count() == 3
 
 
-def test_webhooks_in_order(spark):
-    sent = []
-    rows = spark.createDataFrame([("u2", 2, "b"), ("u1", 1, "a")], "url string, position long, text string")
-    sinks.webhook_sink(lambda url, body: sent.append((url, json.loads(body)["text"])))(rows, 0)
-    assert sent == [("u1", "a"), ("u2", "b")]
-
-
 def test_table_maintenance(spark, tmp_path):
     schema = "k long, v string, seq long, source string"
     old = spark.createDataFrame([(1, "a", 1, "x"), (2, "b", 5, "x"), (2, "old", 4, "x")], schema)

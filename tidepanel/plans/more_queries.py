@@ -1,4 +1,4 @@
-"""Further queries: classifications, cohorts, stars, gates and state (A32, A35, A36, A49, A52, A53, C09, C12, C15, C17-C19, F07, F11, F14, F16, F17, J03, J04, J17, J19, J23, J24, J27, K12, M17, T04, T05, W12)."""
+"""Further queries: classifications, cohorts, stars, gates and state (A32, A35, A36, A49, A52, A53, C09, C12, C15, C17, C18, F07, F11, F14, F16, F17, J03, J04, J17, J19, J23, J24, J27, K12, M17, T04, T05, W12)."""
 
 from __future__ import annotations
 

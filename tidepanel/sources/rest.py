@@ -1,4 +1,4 @@
-"""A batch data source of JSON payloads over HTTP: a partition per key, retries and a pause between requests."""
+"""A batch data source of JSON payloads over HTTP: retries, and a pause between requests."""
 
 from __future__ import annotations
 
@@ -35,8 +35,8 @@ def fetch(url: str, attempts: int = 4, wait: float = 1.0, timeout: float = 30.0)
 class PayloadSource(DataSource):
     """format("payloads"): options ``url`` with {key}, ``keys`` as a JSON list, ``pause`` in seconds, ``batch`` keys a partition.
 
-    Rows are (id, payload). One service allows one rate, so ``batch`` bounds how many partitions
-    ask at once; each waits ``pause`` between its requests.
+    Rows are (id, payload). One service allows one rate, so all keys are one partition, which waits
+    ``pause`` between its requests; ``batch`` is for services that take several clients at once.
     """
 
     @classmethod
@@ -58,10 +58,11 @@ class _Keys(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.url, self.keys = options["url"], json.loads(options["keys"])
-        self.pause, self.batch, self.wait = float(options.get("pause", "0.25")), int(options.get("batch", "50")), float(options.get("wait", "1"))
+        self.pause, self.batch, self.wait = float(options.get("pause", "0.25")), int(options.get("batch", "0")), float(options.get("wait", "1"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Keys(self.keys[i : i + self.batch]) for i in range(0, len(self.keys), self.batch)]
+        size = self.batch or max(1, len(self.keys))
+        return [_Keys(self.keys[i : i + size]) for i in range(0, len(self.keys), size)]
 
     def read(self, partition):
         for n, key in enumerate(partition.keys):

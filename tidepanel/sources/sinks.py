@@ -1,10 +1,9 @@
-"""Sinks: report bundles, models with checksums, sent-key state, and webhooks by micro-batch."""
+"""Sinks: report bundles, models with checksums, and sent-key state; webhooks are in ``webhooks``."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,18 +35,3 @@ def newest_keys(sent: DataFrame, user: str, sequence: str, most: int = 5000) ->
     """The last ``most`` sent keys of each user."""
     place = F.row_number().over(Window.partitionBy(user).orderBy(F.desc(sequence)))
     return sent.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
-
-
-def webhook_sink(post: Callable[[str, str], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that posts each row's (url, payload) from the driver, in position order.
-
-    Batches are the deliverable notifications of a day after limits, so they are small; rows stream
-    to the driver one partition at a time.
-    """
-
-    def send(batch: DataFrame, _: int) -> None:
-        body = F.to_json(F.struct(*[c for c in batch.columns if c != "url"])).alias("payload")
-        for r in batch.orderBy("position").select("url", body).toLocalIterator():
-            post(r["url"], r["payload"])
-
-    return send
