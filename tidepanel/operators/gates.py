@@ -65,3 +65,23 @@ def rule_candidates(events: DataFrame, intervals: DataFrame, first_year: int, ev
     t = counts.join(years, "rule").join(intervals, "rule", "left")
     strong = (F.col("events") >= events_least) & (F.col("stocks") >= stocks_least) & (F.col("years") >= 3) & (F.col("positive_years") >= F.greatest(F.lit(2), F.ceil(F.col("years") * 0.6))) & (F.col("excess") > 0) & (F.col("low") > 0)
     return t.withColumn("status", F.when(F.coalesce(strong, F.lit(False)), "strong_candidate").otherwise("not_selected"))
+
+
+def confirmation(folds: DataFrame, markets: DataFrame) -> DataFrame:
+    """A row for each of ``markets`` (market) with what its confirmation years decide.
+
+    ``folds`` are (market, test_rows, spread, model_loss, history_loss, model_ece, history_ece), one a year. The
+    ranking holds if three quarters of the years, one at least, have a positive spread and the mean by rows and
+    the median are positive too. Probabilities hold if their loss is below that of the history's share and
+    their calibration error is at most half a percent above it. A market without a year is INCOMPLETE.
+    """
+    weighted = lambda c: F.sum(F.col(c) * F.col("test_rows")) / F.sum("test_rows")
+    a = folds.groupBy("market").agg(
+        F.count("*").alias("years"), F.sum("test_rows").alias("test_rows"), F.count_if(F.col("spread") > 0).alias("positive_years"), weighted("spread").alias("weighted_spread"), F.median("spread").alias("median_spread"),
+        *[weighted(c).alias(c) for c in ("model_loss", "history_loss", "model_ece", "history_ece")],
+    )
+    ranking = (F.col("positive_years") >= F.greatest(F.lit(1), F.ceil(F.col("years") * 0.75))) & (F.col("weighted_spread") > 0) & (F.col("median_spread") > 0)
+    probability = (F.col("model_loss") < F.col("history_loss")) & (F.col("model_ece") <= F.col("history_ece") + 0.005)
+    j = markets.select("market").distinct().join(a, "market", "left").withColumns({"ranking": F.coalesce(ranking, F.lit(False)), "probability": F.coalesce(probability, F.lit(False))})
+    decision = F.when(F.col("years").isNull(), "INCOMPLETE").when(F.col("ranking") & F.col("probability"), "PROBABILITY_AND_RANKING").when(F.col("ranking"), "RANKING_ONLY").otherwise("REJECT")
+    return j.withColumn("decision", decision)

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.operators.quantiles import count_up_to
+
+
+#: Market dates that a calendar may have: some 4,000 years of them.
+MOST_DAYS = 1 << 20
+
+
+def last_up_to(days: Column, date: Column) -> Column:
+    """The last of the sorted days that is no later than the date, by bisection; null before the first."""
+    return F.get(days, count_up_to(days, date, MOST_DAYS) - 1)
+
 
 def target_dates(asks: DataFrame, calendar: DataFrame) -> DataFrame:
     """The asks (now, as_of, explicit, cutoff) with target and source.
@@ -19,8 +30,9 @@ def target_dates(asks: DataFrame, calendar: DataFrame) -> DataFrame:
     a = asks.crossJoin(F.broadcast(days)).withColumn("day", F.coalesce("as_of", today))
     included = (F.col("day") < today) | ((F.col("day") == today) & F.coalesce(clock >= F.col("cutoff"), F.lit(False)))
     a = a.withColumn("included", included)
-    latest = F.array_max(F.filter("days", lambda x: (x < F.col("day")) | (F.col("included") & (x == F.col("day")))))
-    listed = F.array_contains("days", F.col("explicit"))
+    until = F.when(F.col("included"), F.col("day")).otherwise(F.date_sub("day", 1))
+    latest = last_up_to(F.col("days"), until)
+    listed = F.coalesce(last_up_to(F.col("days"), F.col("explicit")) == F.col("explicit"), F.lit(False))
     source = (
         F.when(F.col("day") > today, "as_of_after_today")
         .when(F.col("explicit") > F.col("day"), "explicit_after_as_of")

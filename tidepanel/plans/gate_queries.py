@@ -1,14 +1,16 @@
-"""Queries of gates and guards (M17: returns over a horizon, entry rules; F25: classes by fold; C20: notification modes)."""
+"""Queries of gates and guards (M17: returns over a horizon, entry rules, confirmation years; F25: classes by fold; C20: notification modes)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidepanel.operators import gates as G
 from tidepanel.operators import models as M
 from tidepanel.operators.lifecycle import CLASSES
 from tidepanel.operators.ranking import daily_spearman
 from tidepanel.plans.adapter import CTES, table, with_ctes
+from tidepanel.plans.audit_queries import probs
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq
 from tidepanel.plans.model_queries import training
@@ -76,3 +78,33 @@ def c20(spark, d):
     modes = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
     kind = F.get(F.array(*map(F.lit, _TYPES)), (F.col("o_orderkey") % 6).cast("int"))
     return table(spark, d, "orders").groupBy(F.coalesce(F.try_element_at(modes, kind), F.lit("SILENT_STATE")).alias("mode")).agg(F.count("*").alias("n"))
+
+
+_LOSS = "-avg(y * ln(greatest(1e-12, p)) + (1 - y) * ln(greatest(1e-12, 1 - p)))"
+_FIELDS = ("weighted_spread", "median_spread", "model_loss", "history_loss", "model_ece", "history_ece")
+CTES["confirmed"] = (("probs", "ranked"), f"""SELECT b.market, b.year, b.n AS test_rows, s.spread, b.loss AS model_loss, e.ece AS model_ece, -(m * ln(greatest(1e-12, base)) + (1 - m) * ln(greatest(1e-12, 1 - base))) AS history_loss, abs(base - m) AS history_ece
+FROM (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS base FROM (SELECT CASE WHEN stock_id::INTEGER % 2 = 0 THEN 'even' ELSE 'odd' END AS market, year(date)::INTEGER AS year, count(*) AS n, avg(y) AS m, {_LOSS} AS loss FROM probs GROUP BY 1, 2) WINDOW w AS (PARTITION BY market ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) b
+JOIN (SELECT market, year, sum(abs(sp - sy)) / sum(n) AS ece FROM (SELECT CASE WHEN stock_id::INTEGER % 2 = 0 THEN 'even' ELSE 'odd' END AS market, year(date)::INTEGER AS year, least(9, floor(p * 10)) AS bin, sum(p) AS sp, sum(y) AS sy, count(*) AS n FROM probs GROUP BY 1, 2, 3) GROUP BY 1, 2) e USING (market, year)
+JOIN (SELECT market, year, avg(spread) AS spread FROM (SELECT CASE WHEN stock_id::INTEGER % 2 = 0 THEN 'even' ELSE 'odd' END AS market, year(date)::INTEGER AS year, avg(ret) FILTER (WHERE pct > 80) - avg(ret) FILTER (WHERE pct <= 20) AS spread FROM ranked GROUP BY 1, 2, date) GROUP BY 1, 2) s USING (market, year) WHERE base IS NOT NULL""")
+
+
+@query("m17_confirmation", with_ctes(("confirmed",), f""", a AS (SELECT market, count(*) AS years, sum(test_rows)::BIGINT AS test_rows, count(*) FILTER (WHERE spread > 0) AS positive_years, sum(spread * test_rows) / sum(test_rows) AS weighted_spread, median(spread) AS median_spread, {', '.join(f'sum({c} * test_rows) / sum(test_rows) AS {c}' for c in _FIELDS[2:])} FROM confirmed GROUP BY 1),
+j AS (SELECT m.market, a.* EXCLUDE (market), coalesce(positive_years >= greatest(1, ceil(years * 0.75)) AND weighted_spread > 0 AND median_spread > 0, false) AS ranking, coalesce(model_loss < history_loss AND model_ece <= history_ece + 0.005, false) AS probability FROM (VALUES ('even'), ('none'), ('odd')) m(market) LEFT JOIN a USING (market))
+SELECT market, years, test_rows, positive_years, {', '.join(rq(c, c, 9) for c in _FIELDS)}, ranking, probability, CASE WHEN years IS NULL THEN 'INCOMPLETE' WHEN ranking AND probability THEN 'PROBABILITY_AND_RANKING' WHEN ranking THEN 'RANKING_ONLY' ELSE 'REJECT' END AS decision FROM j"""))
+def m17_confirmation(spark, d):
+    """Whether each market's ranking and probabilities hold in the years after its first, against the share of all years before."""
+    market = F.when(F.col("stock_id").cast("int") % 2 == 0, "even").otherwise("odd")
+    x = probs(spark, d).select(market.alias("market"), F.year("date").alias("year"), "y", "p")
+    least = F.lit(1e-12)
+    log_loss = lambda y, p: -(y * F.ln(F.greatest(least, p)) + (1 - y) * F.ln(F.greatest(least, 1 - p)))
+    b = x.groupBy("market", "year").agg(F.count("*").alias("test_rows"), F.avg("y").alias("m"), F.avg(log_loss(F.col("y"), F.col("p"))).alias("model_loss"))
+    past = Window.partitionBy("market").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # a row a year
+    b = b.withColumn("base", F.sum(F.col("test_rows") * F.col("m")).over(past) / F.sum("test_rows").over(past)).where("base is not null")
+    bins = x.groupBy("market", "year", F.least(F.lit(9), F.floor(F.col("p") * 10)).alias("bin")).agg(F.sum("p").alias("sp"), F.sum("y").alias("sy"), F.count("*").alias("n"))
+    e = bins.groupBy("market", "year").agg((F.sum(F.abs(F.col("sp") - F.col("sy"))) / F.sum("n")).alias("model_ece"))
+    side = lambda condition: F.avg(F.when(condition, F.col("ret")))
+    daily = ranked(spark, d).groupBy(market.alias("market"), F.year("date").alias("year"), "date").agg((side(F.col("pct") > 80) - side(F.col("pct") <= 20)).alias("spread"))
+    s = daily.groupBy("market", "year").agg(F.avg("spread").alias("spread"))
+    folds = b.join(e, ["market", "year"]).join(s, ["market", "year"]).withColumns({"history_loss": log_loss(F.col("m"), F.col("base")), "history_ece": F.abs(F.col("base") - F.col("m"))})
+    names = spark.createDataFrame([("even",), ("none",), ("odd",)], "market string")
+    return G.confirmation(folds, names).select("market", "years", "test_rows", "positive_years", *[r(F.col(c), c, 9) for c in _FIELDS], "ranking", "probability", "decision")
