@@ -147,7 +147,7 @@ def test_fit_against_plain_descent():
     assert model.thresholds[0] < model.thresholds[1]
 
 
-@pytest.mark.parametrize("name", [f"op{i}_" for i in range(1, 11)])
+@pytest.mark.parametrize("name", [f"op{i}_" for i in range(1, 14)])
 def test_every_query_is_described(name):
     (found,) = [f for n, f in queries.QUERIES.items() if n.startswith(name)]
     assert found.__doc__ and "null" in found.__doc__.lower()
