@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_ann, op3_chat, op4_ngram_join, op5_simhash, op6_bpe, op7_secrets, op8_line_dedup, op9_pii, op10_packing, op11_repair, op12_simhash_dedup, op13_resampling)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_ngram_join": ngram_join.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL, "op13_resampling": resampling.ORACLE_SQL}
