@@ -88,3 +88,26 @@ def test_freshness_has_all_statuses(spark):
     names = ("as_of", "explicit", "signal_date", "raw_date", "price_date", "flow_date")
     asks = spark.createDataFrame([a for a, _, _ in want], ", ".join(f"{n} string" for n in names)).selectExpr(*[f"{n}::date AS {n}" for n in names])
     assert [(r["status"], r["lag"]) for r in freshness(asks.coalesce(1), cal).collect()] == [(s, lag) for _, s, lag in want]
+
+
+def test_plan_totals_equal_the_plan_summed_up(spark):
+    from pyspark.sql import functions as F
+    from tidepanel.operators import notify as N
+
+    notes = spark.createDataFrame(
+        [("tpex", "000001", 3, 3, "NEW_CANDIDATE", "NEW_CANDIDATE", 91.5), ("twse", "000002", 40, 9, "TWSE_DAY40_END", "STATE_UPDATE", None), ("tpex", "000010", 5, 5, "NEW_CANDIDATE", "NEW_CANDIDATE", 90.25), ("tpex", "000003", 7, 2, "DAY40_END", "SILENT_STATE", 1.0)],
+        "market string, stock_id string, idx long, start_idx long, type string, class string, percentile double",
+    )
+    who = spark.createDataFrame([(1, True), (20, False), (3, True), (3, True)], "user_id long, enabled boolean")
+    plan = N.notification_plan(notes, who).groupBy("user_id", "class", "priority").agg(F.count("*").alias("n"), F.sum("percentile").alias("p"), F.avg("percentile").alias("m"), F.min("state_key").alias("first_key"), F.max("state_key").alias("last_key"))
+    got = N.plan_totals(notes, who, {"n": F.count("*"), "p": F.sum("percentile")}, {"m": F.avg("percentile")})
+    key = lambda df: sorted(str(tuple(r)) for r in df.select("user_id", "class", "priority", "n", "p", "m", "first_key", "last_key").collect())
+    assert key(got) == key(plan) and got.where("user_id = 3 and class = 'NEW_CANDIDATE'").first()["n"] == 4
+
+
+def test_told_plan_makes_no_row_for_each_user_and_note(spark, monkeypatch):
+    from tidepanel.operators import notify as N
+
+    monkeypatch.setattr(N, "notification_plan", None)
+    users = len(rows(spark, "customer"))
+    assert QUERIES["m23_notification_plan"](spark, SOURCE).select("user_id").distinct().count() == users
