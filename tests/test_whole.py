@@ -111,3 +111,11 @@ def test_told_plan_makes_no_row_for_each_user_and_note(spark, monkeypatch):
     monkeypatch.setattr(N, "notification_plan", None)
     users = len(rows(spark, "customer"))
     assert QUERIES["m23_notification_plan"](spark, SOURCE).select("user_id").distinct().count() == users
+
+
+def test_notice_product_makes_no_row_for_each_user_and_note(spark, monkeypatch):
+    from tidepanel.operators import notify as N
+
+    monkeypatch.setattr(N, "notification_plan", None)
+    users = sum(u["c_custkey"] % 7 != 0 for u in rows(spark, "customer"))
+    assert QUERIES["j17_notice_product"](spark, SOURCE).select("user_id").distinct().count() == users
