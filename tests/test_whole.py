@@ -126,3 +126,12 @@ def test_titles_cut_off_in_an_entity(spark, tmp_path):
     spark.createDataFrame([(i, f"<title>{t}</title>") for i, t in titles], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["title"] for r in QUERIES["c07_s09_html_cells"](spark, str(tmp_path)).collect()}
     assert got == {1: "a &", 2: "&&&", 3: "&", 4: "&ampx", 5: "x &", 6: "x &am"}
+
+
+def test_daily_merge_keeps_codes_of_five_digits_apart(spark, tmp_path):
+    """12301 begins with 1230, which is not in the universe, and does not put it there."""
+    line = spark.read.parquet(f"{SOURCE}/lineitem.parquet").limit(1)
+    keys = spark.createDataFrame([(k,) for k in (1230, 1231, 12301, 1236, 12361, 1235)], "k long")
+    line.drop("l_suppkey").crossJoin(keys.withColumnRenamed("k", "l_suppkey")).select(line.columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in (1230, 1231, 12301, 1236, 12361)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(r["stock_id"] for r in QUERIES["f19_daily_merge"](spark, str(tmp_path)).collect()) == ["1231", "1236"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import gates as G
 from tidepanel.operators import intake as I
 from tidepanel.operators import samples as S
-from tidepanel.plans.adapter import CTES, actions, cells, panel, table, with_ctes
+from tidepanel.plans.adapter import CTES, actions, cells, panel, stock_key, table, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import _REASON, MONEY, _agree, frame, r, rq, share_sql
 from tidepanel.plans.ranking_queries import ranked
@@ -116,8 +116,9 @@ _CODE = "CASE WHEN stock_id::BIGINT < 10000 THEN lpad((stock_id::BIGINT)::VARCHA
 def f19(spark, d):
     """Every week's quotes and flows; one in seven securities has no flows, one in five is not in the universe."""
     k = F.col("stock_id").cast("long")
-    c = cells(spark, d).withColumn("k", k).withColumn("stock_id", F.when(k < 10000, F.lpad(k.cast("string"), 4, "0")).otherwise(F.col("stock_id")))
-    universe = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("stock_id"))
+    code = lambda n, longer: F.when(n < 10000, F.lpad(n.cast("string"), 4, "0")).otherwise(longer)  # noqa: E731  lpad cuts longer keys
+    c = cells(spark, d).withColumn("k", k).withColumn("stock_id", code(k, F.col("stock_id")))
+    universe = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(code(F.col("s_suppkey"), stock_key("s_suppkey")).alias("stock_id"))
     flows = c.where("k % 7 <> 0").select("stock_id", "date", (F.col("foreign_net") + F.col("trust_net") + F.col("dealer_net")).alias("total_net"))
     return I.merge_day(c.select("stock_id", "date", "volume"), flows, universe)
 
