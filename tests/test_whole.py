@@ -135,3 +135,16 @@ def test_daily_merge_keeps_codes_of_five_digits_apart(spark, tmp_path):
     line.drop("l_suppkey").crossJoin(keys.withColumnRenamed("k", "l_suppkey")).select(line.columns).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k,) for k in (1230, 1231, 12301, 1236, 12361)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     assert sorted(r["stock_id"] for r in QUERIES["f19_daily_merge"](spark, str(tmp_path)).collect()) == ["1231", "1236"]
+
+
+def test_shredded_rows_do_not_carry_their_table(spark):
+    from tidepanel.sources.payloads import shredded
+
+    table = '{"fields": ["Code ", "Close"], "data": [["1101", "5"], ["2330"]]}'
+    texts = [(1, f'{{"stat": "ok", "tables": [{table}, {table}]}}'), (2, table), (3, f'{{"stat": "no", "tables": [{table}]}}'), (4, None), (5, "x"), (6, '{"data": [["1"]]}')]
+    got = shredded(spark.createDataFrame(texts, "id long, payload string"), {"code": ["SecuritiesCompanyCode", "Code"], "close": ["Close"], "name": ["Name"]})
+    want = [("1101", "5", None), ("2330", None, None)]
+    assert sorted(map(str, got.collect())) == sorted(f"Row(id={i}, code={r[0]!r}, close={r[1]!r}, name={r[2]!r})" for i, n in ((1, 2), (2, 1)) for r in want * n)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    rows = next(line for line in plan.splitlines() if "Generate explode(data" in line)
+    assert "explode(data" in rows and ", []," not in rows  # the table is not among the columns that go on

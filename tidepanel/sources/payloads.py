@@ -23,11 +23,14 @@ def shredded(payloads: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     A table's rows come from ``tables``, else from top-level fields and data. A name is found by
     the first of its aliases that the fields hold.
     """
-    p = payloads.select("id", parsed(F.col("payload")).alias("p")).where("p is not null and upper(coalesce(p.stat, 'OK')) = 'OK'")
+    p = payloads.select("id", parsed(F.col("payload")).alias("p"))
     whole = F.when(F.size(F.coalesce("p.tables", F.array().cast("array<struct<fields: array<string>, data: array<array<string>>>>"))) > 0, F.col("p.tables")).otherwise(F.array(F.struct(F.col("p.fields").alias("fields"), F.col("p.data").alias("data"))))
-    tables = p.select("id", F.explode(whole).alias("t")).select("id", F.transform("t.fields", lambda f: F.trim(f)).alias("f"), F.explode("t.data").alias("row"))
+    good = F.col("p").isNotNull() & (F.upper(F.coalesce("p.stat", F.lit("OK"))) == "OK")  # asked inside explode, as a filter would parse again
+    tables = p.select("id", F.explode(F.when(good, whole)).alias("t")).select("id", F.transform("t.fields", lambda f: F.trim(f)).alias("f"), F.col("t.data").alias("data")).where("f is not null")
     at = lambda aliases: F.coalesce(*[F.nullif(F.array_position("f", a), F.lit(0)) for a in aliases])
-    return tables.where("f is not null").select("id", *[F.get("row", (at(v) - 1).cast("int")).alias(k) for k, v in names.items()])
+    # places are found once a table, and a row takes along these numbers, not its table
+    rows = tables.select("id", "data", *[(at(v) - 1).cast("int").alias(f"_{k}") for k, v in names.items()]).select("id", *[f"_{k}" for k in names], F.explode("data").alias("row"))
+    return rows.select("id", *[F.get("row", F.col(f"_{k}")).alias(k) for k in names])
 
 
 def positional_quotes(payloads: DataFrame) -> DataFrame:
