@@ -170,3 +170,21 @@ def test_failed_payloads_have_no_rows(spark):
 def test_panel_of_no_cells(spark):
     cells = spark.createDataFrame([], "stock_id string, date date, volume double, money double, open double, high double, low double, close double, foreign_net double, trust_net double, dealer_net double")
     assert panel.dense_panel(cells, panel.market_calendar(cells)).count() == 0
+
+
+def test_panel_of_odd_cells(spark):
+    cells = spark.createDataFrame([("b", day(2), 1.0), ("b", day(4), 2.0), ("a", day(1), 3.0), ("a", day(1), 4.0), ("c", None, 5.0), (None, day(3), 6.0)], "stock_id string, date date, close double")
+    cells = cells.withColumns({c: F.col("close") for c in ("open", "high", "low", "volume", "money", "foreign_net", "trust_net", "dealer_net")})
+    cal = panel.market_calendar(spark.createDataFrame([(day(i),) for i in range(1, 6)], "date date"))
+    got = panel.dense_panel(cells, cal)
+    assert sorted((r["stock_id"], r["idx"], r["close"]) for r in got.where("present").collect()) == [("a", 0, 3.0), ("a", 0, 4.0), ("b", 1, 1.0), ("b", 3, 2.0)]
+    assert sorted((r["stock_id"] or "", r["idx"]) for r in got.where("not present and close is null and volume = 0 and total_net = 0").collect()) == [("", 2), ("", 3), ("", 4), *(("a", i) for i in range(1, 5)), ("b", 2), ("b", 4)]
+    dealt = panel.dense_panel(cells.repartition("stock_id"), cal).withColumn("n", F.count("*").over(features.by_date()))
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(stock_id") == 1  # no join of the cells with a grid
+
+
+def test_average_rank_counts_equal_values(spark):
+    rows = spark.createDataFrame([(1, v) for v in (0.0, -0.0, None, None, 2.0, float("nan"), float("nan"))], "date int, x double")
+    got = rows.withColumn("r", ranking.average_rank("x", ["date"]))
+    assert sorted((str(r["x"]), r["r"]) for r in got.collect()) == [("-0.0", 3.5), ("0.0", 3.5), ("2.0", 5.0), ("None", 1.5), ("None", 1.5), ("nan", 6.5), ("nan", 6.5)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # one sort for both
