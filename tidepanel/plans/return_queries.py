@@ -67,10 +67,9 @@ for _h in (5, 10, 40):
 
 @query("m02_label_statuses", with_ctes(("returns5", "returns10", "returns40"), "SELECT h AS horizon, status, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {h} AS h, status FROM returns{h}" for h in (5, 10, 40)) + ") GROUP BY 1, 2"))
 def m02(spark, d):
-    from functools import reduce
-
-    rows = [returns(spark, d, h).select(F.lit(h).alias("horizon"), "status") for h in (5, 10, 40)]
-    return reduce(lambda a, b: a.unionByName(b), rows).groupBy("horizon", "status").agg(F.count("*").alias("n"))
+    made = X.returns_by_horizon(panel(spark, d), actions(spark, d), (5, 10, 40), gone(spark, d))
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"status_{h}d").alias("status")) for h in (5, 10, 40)]))
+    return made.select(each.alias("s")).groupBy("s.horizon", "s.status").agg(F.count("*").alias("n"))
 
 
 @query("a06_label_distribution", with_ctes(("returns10",), f"SELECT year(date)::INTEGER AS year, {_LABEL} AS label, count(*) AS n FROM returns10 WHERE status = 'ok' GROUP BY 1, 2"))
