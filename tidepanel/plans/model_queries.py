@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.operators import models as M
-from tidepanel.operators.ranking import same_day, average_rank, daily_spread
+from tidepanel.operators.features import flow_share
+from tidepanel.operators.ranking import average_rank, daily_spread, day_size
 from tidepanel.plans.adapter import CTES, with_ctes
 from tidepanel.plans.audit_queries import feats, probs
 from tidepanel.plans.core import query
@@ -19,8 +20,8 @@ FIXED = {"foreign_net_20": (-50.0, 50.0, 1.5, 20.0, 0.3), "trust_net_20": (-40.0
 
 def training(spark, d):
     """Features with the rank target in (0, 1]."""
-    t = scores(spark, d).select("stock_id", "date", "year", F.date_add("date", 70).alias("target_date"), (average_rank("ret", ["date"]) / F.count("*").over(same_day())).alias("target"), "ret")
-    return t.join(feats(spark, d).select("stock_id", "date", *NAMES), ["stock_id", "date"])
+    more = {n: flow_share(n.rpartition("_")[0], int(n.rpartition("_")[2])) for n in NAMES}
+    return scores(spark, d, more).select("stock_id", "date", "year", F.date_add("date", 70).alias("target_date"), (average_rank("ret", ["date"]) / day_size("ret")).alias("target"), "ret", *NAMES)
 
 
 CTES["training"] = (("scores", "feats"), "SELECT s.stock_id, s.date, s.year, s.date + 70 AS target_date, (rank() OVER (PARTITION BY s.date ORDER BY ret) + (count(*) OVER (PARTITION BY s.date, ret) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY s.date) AS target, ret, " + ", ".join(f"f.{n}" for n in NAMES) + " FROM scores s JOIN feats f ON f.stock_id = s.stock_id AND f.date = s.date")
