@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepanel.operators import features as X
-from tidepanel.operators.returns import returns_by_horizon
+from tidepanel.operators.returns import with_returns
 
 # The feature names' parts, their panel columns and windows, and each market's model.
 ACTORS = {"foreign": "foreign_net", "investment_trust": "trust_net", "dealer_self": "dealer_net", "selected_total": "total_net"}
@@ -43,22 +43,26 @@ def with_features(panel: DataFrame) -> DataFrame:
     """The panel with all forty features; every frame is by security and day, so one shuffle and sort serve them."""
     flags = {f"_s_{a}": F.when(F.signum(net) == F.lag(F.signum(net)).over(X.by_date()), None).otherwise(F.col("idx")) for a, net in ACTORS.items()}
     since = X.by_date().rowsBetween(Window.unboundedPreceding, 0)
+    # a frame's sum is asked for by several features and made once
+    total = lambda c, w: F.col(f"_{c}_{w}")
+    sums = {f"_{c}_{w}": F.sum(c).over(X.trailing(w)) for c in ("volume", *ACTORS.values()) for w in FLOW_WINDOWS}
+    share = lambda net, w: F.when(total("volume", w) > 0, 100 * total(net, w) / total("volume", w)).otherwise(0.0)
     made: dict[str, Column] = {}
     for a, net in ACTORS.items():
-        made |= {f"{a}_flow_pct_{w}d": X.flow_share(net, w) for w in FLOW_WINDOWS}
+        made |= {f"{a}_flow_pct_{w}d": share(net, w) for w in FLOW_WINDOWS}
         made |= {f"{a}_buy_day_ratio_{w}d": X.buy_day_ratio(net, w) for w in BUY_DAY_WINDOWS}
         made[f"{a}_streak"] = ((F.col("idx") - F.max(f"_s_{a}").over(since) + 1) * F.signum(net)).cast("double")
-    made |= {f"institutional_agreement_{w}d": X.agreement(w) for w in AGREEMENT_WINDOWS}
-    made[ACCELERATION] = X.acceleration()
-    return panel.withColumns(flags).withColumns(made).drop(*flags)
+    made |= {f"institutional_agreement_{w}d": sum((F.signum(total(net, w)) for net in X.NETS[1:3]), F.signum(total(X.NETS[0], w))) / 3.0 for w in AGREEMENT_WINDOWS}
+    made[ACCELERATION] = share("total_net", 5) - share("total_net", 20)
+    return panel.withColumns(flags | sums).withColumns(made).drop(*flags, *sums)
 
 
-def sample_rows(panel: DataFrame, actions: DataFrame, last_dates: DataFrame | None, least_money: float, horizons=HORIZONS) -> DataFrame:
-    """Days with a price: features, the liquidity screen, the first exclusion reason, and per horizon status, returns and eligibility."""
-    rows = with_features(X.liquidity(panel, least_money)).withColumn("exclusion", X.exclusion(None, least_money)).where("present")
-    rows = rows.select("stock_id", "date", F.year("date").alias("year"), *feature_names(), "history", "normal_days", "median_money", "zero_run", "liquid", "entry_ready", "exclusion")
+def sample_rows(events: DataFrame, least_money: float, horizons=HORIZONS) -> DataFrame:
+    """Days with a price of a panel ``with_events``: features, the liquidity screen, the first exclusion reason, and per horizon status, returns and eligibility."""
+    rows = with_features(X.liquidity(events, least_money)).withColumn("exclusion", X.exclusion(None, least_money))
     kept = [f"{c}_{h}d" for h in horizons for c in ("status", "raw", "adjusted", "highest", "lowest")] + (["label_10d"] if 10 in horizons else [])
-    rows = rows.join(returns_by_horizon(panel, actions, tuple(horizons), last_dates).select("stock_id", "date", *kept), ["stock_id", "date"], "left")
+    rows = with_returns(rows, tuple(horizons)).where("present")  # features and labels from one sort
+    rows = rows.select("stock_id", "date", F.year("date").alias("year"), *feature_names(), "history", "normal_days", "median_money", "zero_run", "liquid", "entry_ready", "exclusion", *kept)
     for h in horizons:
         rows = rows.withColumn(f"eligible_{h}d", F.col("liquid") & F.col("entry_ready") & (F.col(f"status_{h}d") == "ok"))
     return rows

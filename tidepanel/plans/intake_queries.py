@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from tidepanel.operators import gates as G
 from tidepanel.operators import intake as I
 from tidepanel.operators import samples as S
-from tidepanel.plans.adapter import CTES, actions, cells, panel, stock_key, table, with_ctes
+from tidepanel.plans.adapter import CTES, cells, eventful, panel, stock_key, table, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import _REASON, MONEY, _agree, frame, r, rq, share_sql
 from tidepanel.plans.ranking_queries import ranked
-from tidepanel.plans.return_queries import _LABEL, gone, returns
+from tidepanel.plans.return_queries import _LABEL, returns
 from tidepanel.plans.run_queries import runs
 
 _BY = "PARTITION BY stock_id ORDER BY idx"
@@ -35,7 +35,7 @@ CTES["wide"] = (("liquid",), f"SELECT * FROM (SELECT stock_id, date, present, li
 @query("m01_sample_rows", with_ctes(("wide", "returns5", "returns10", "returns40"), f"SELECT w.stock_id, w.date, exclusion, {', '.join(rq(n, n) for n in _FEATURES)}, " + ", ".join(f"r{h}.status AS status_{h}d, {rq(f'r{h}.adjusted', f'adjusted_{h}d')}, {rq(f'r{h}.lowest', f'lowest_{h}d')}, liquid AND entry_ready AND r{h}.status = 'ok' AS eligible_{h}d" for h in (5, 10, 40)) + f", {_LABEL.replace('adjusted', 'r10.adjusted')} AS label_10d FROM wide w " + " ".join(f"LEFT JOIN returns{h} r{h} ON r{h}.stock_id = w.stock_id AND r{h}.date = w.date" for h in (5, 10, 40))))
 def m01(spark, d):
     """Every security and day with a price: all features, the first reason against it and three horizons' labels."""
-    s = S.sample_rows(panel(spark, d), actions(spark, d), gone(spark, d), MONEY)
+    s = S.sample_rows(eventful(spark, d), MONEY)
     tail = [c for h in S.HORIZONS for c in (F.col(f"status_{h}d"), r(F.col(f"adjusted_{h}d"), f"adjusted_{h}d"), r(F.col(f"lowest_{h}d"), f"lowest_{h}d"), F.col(f"eligible_{h}d"))]
     return s.select("stock_id", "date", "exclusion", *[r(F.col(n), n) for n in S.feature_names()], *tail, "label_10d")
 

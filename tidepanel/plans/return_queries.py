@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.operators import returns as X
-from tidepanel.plans.adapter import CTES, actions, calendar, cells, panel, with_ctes
+from tidepanel.plans.adapter import CTES, actions, calendar, cells, eventful, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq
 
@@ -41,13 +41,14 @@ for _h in (5, 10, 40):
     CTES[f"returns{_h}"] = _returns(_h)
 
 
-def gone(spark, d):
-    """Every third security is taken as delisted on its last date."""
-    return cells(spark, d).where(F.col("stock_id").cast("long") % 3 == 0).groupBy("stock_id").agg(F.max("date").alias("last_date"))
+def horizons(spark, d, *hs: int, more: dict | None = None):
+    """Days with a price, their facts of all horizons, and ``more`` features of the panel, from one pass over it."""
+    p = eventful(spark, d)
+    return X.with_returns(p.withColumns(more) if more else p, hs).where("present")
 
 
 def returns(spark, d, h: int):
-    return X.forward_returns(panel(spark, d), actions(spark, d), h, gone(spark, d))
+    return horizons(spark, d, h).select("stock_id", "date", *[F.col(f"{c}_{h}d").alias(c) for c in X.FACTS])
 
 
 _LABEL = "CASE WHEN round(adjusted, 10) >= 0.05 THEN 'UP' WHEN round(adjusted, 10) <= -0.05 THEN 'DOWN' WHEN adjusted IS NOT NULL THEN 'FLAT' END"
@@ -67,7 +68,7 @@ for _h in (5, 10, 40):
 
 @query("m02_label_statuses", with_ctes(("returns5", "returns10", "returns40"), "SELECT h AS horizon, status, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {h} AS h, status FROM returns{h}" for h in (5, 10, 40)) + ") GROUP BY 1, 2"))
 def m02(spark, d):
-    made = X.returns_by_horizon(panel(spark, d), actions(spark, d), (5, 10, 40), gone(spark, d))
+    made = horizons(spark, d, 5, 10, 40)
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"status_{h}d").alias("status")) for h in (5, 10, 40)]))
     return made.select(each.alias("s")).groupBy("s.horizon", "s.status").agg(F.count("*").alias("n"))
 
