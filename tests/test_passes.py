@@ -14,12 +14,36 @@ from tidepanel.plans.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["m01_sample_rows"])
+@pytest.mark.parametrize("name", ["m01_sample_rows", "a11_correlations"])
 def test_one_deal_of_the_lines(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().toString()
     assert plan.count("RepartitionByExpression") <= 1
 
 
+def test_pairs_of_features_are_not_rows(spark):
+    plan = QUERIES["a11_correlations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # the panel's days
+
+
+def test_correlations_of_odd_numbers(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(1e6, 1.0, 900)
+    rows = [(float(x), float(2 * x + rng.normal(0, 1e-3)), 0.1, None if i % 7 == 0 else float(-x), (math.inf, -math.inf, math.nan, float(x))[i % 4], float(x) if i < 50 else None) for i, x in enumerate(base)]
+    names = list("abcdef")
+    got = {(r["left"], r["right"]): r for r in audit.correlations(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5), names).collect()}
+    want = {}
+    x = np.array([[math.nan if v is None or not math.isfinite(v) else v for v in row] for row in rows])
+    for i, j in combinations(range(6), 2):
+        both = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+        a, b = x[both, i], x[both, j]
+        if both.sum() >= 100 and np.ptp(a) > 0 and np.ptp(b) > 0 and abs(np.corrcoef(a, b)[0, 1]) >= 0.995:
+            want[names[i], names[j]] = (np.corrcoef(a, b)[0, 1], both.sum(), np.mean(np.abs(a - b) <= 1e-12))
+    assert got.keys() == want.keys() and ("a", "e") in got and not any("c" in k or "f" in k for k in got)
+    for k, (corr, n, equal) in want.items():
+        assert (got[k]["corr"], got[k]["equal"]) == (pytest.approx(corr, abs=1e-9), equal) and got[k]["n"] == n
+    assert audit.correlations(spark.createDataFrame([], "a double, b double"), ["a", "b"]).collect() == []
+
+
 def test_listed_actions_are_resolved_as_rows_are(spark):
     days = [
         [("dividend", 95.0)], [("dividend", 95.0), ("split", 95.0)], [("dividend", 90.0), ("split", 50.0)], [("dividend", None)], [("dividend", 0.0), ("split", 7.0)],

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,18 +40,62 @@ def profiles(features: DataFrame, names: list[str]) -> DataFrame:
     return out.withColumn("distinct", F.coalesce("distinct", F.lit(0))).withColumn("top_share", F.try_divide("top", "valid")).drop("top")
 
 
+class _Moments:
+    """Counts, means, squares and products about the means, and equal values of all pairs of columns; entry (i, j) is of i where j is known too."""
+
+    def __init__(self, k: int):
+        self.n, self.mean, self.square, self.product, self.equal = (np.zeros((k, k)) for _ in range(5))
+
+    def add(self, x: np.ndarray) -> None:
+        """Rows with NaN where unknown. A constant column has no spread at all, whatever its digits."""
+        fine = np.isfinite(x)
+        x = np.where(fine, x, np.nan)
+        known = fine.astype(float)
+        low, high = np.where(fine, x, np.inf).min(axis=0), np.where(fine, x, -np.inf).max(axis=0)
+        centre = np.where(low < high, np.where(fine, x, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1), np.where(low == high, low, 0.0))
+        z = np.where(fine, x - centre, 0.0)
+        n, total = known.T @ known, z.T @ known
+        off = total / np.maximum(n, 1)
+        square, product = (z * z).T @ known - off * total, z.T @ z - off * total.T
+        for i in range(x.shape[1]):
+            self.equal[i] += (np.abs(x - x[:, i : i + 1]) <= 1e-12).sum(axis=0)
+        both = np.maximum(self.n + n, 1)
+        apart = np.where(n > 0, np.where(self.n > 0, centre[:, None] + off - self.mean, 0.0), 0.0)
+        self.mean = np.where(self.n > 0, self.mean + apart * n / both, centre[:, None] + off)
+        self.square += square + apart * apart * self.n * n / both
+        self.product += product + apart * apart.T * self.n * n / both
+        self.n += n
+
+
 def correlations(features: DataFrame, names: list[str], least: float = 0.995, rows: int = 100) -> DataFrame:
     """(left, right, corr, n, equal): pairs of features whose correlation is ``least`` or more either way.
 
     Over the rows where both are finite, at least ``rows`` of them; equal is the share of rows whose
-    values agree. A row is split into its pairs, which are summed up before any shuffle: one
-    aggregate of all pairs side by side would be too wide for generated code.
+    values agree. A task sums all pairs up from batches of rows by products of matrices, and only
+    its row of each pair is shuffled.
     """
-    fine = [F.when(F.abs(n) < float("inf"), F.col(n)).cast("double") for n in names]  # NaN is above infinity
-    pairs = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.get("_x", F.lit(i)).alias("a"), F.get("_x", F.lit(j)).alias("b")) for (i, a), (j, b) in combinations(enumerate(names), 2)])
-    each = features.select(F.array(*fine).alias("_x")).select(F.explode(pairs).alias("p")).select("p.*").where("a is not null and b is not null")
-    spread = F.regr_sxx("a", "b") * F.regr_syy("a", "b")
-    t = each.groupBy("left", "right").agg(F.when(spread > 0, F.regr_sxy("a", "b") / F.sqrt(spread)).alias("corr"), F.count("*").alias("n"), F.avg((F.abs(F.col("a") - F.col("b")) <= 1e-12).cast("int")).alias("equal"))
+    pairs = list(combinations(range(len(names)), 2))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _Moments(len(names))
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                if batch.num_rows:
+                    m.add(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+        met = [(i, j) for i, j in pairs if m.n[i, j]]
+        at = lambda a, turn=False: [float(a[j, i] if turn else a[i, j]) for i, j in met]
+        yield pa.RecordBatch.from_pydict({"left": pa.array([names[i] for i, _ in met], pa.string()), "right": pa.array([names[j] for _, j in met], pa.string()), **{c: pa.array(v, pa.float64()) for c, v in {"n": at(m.n), "a": at(m.mean), "b": at(m.mean, True), "aa": at(m.square), "bb": at(m.square, True), "ab": at(m.product), "same": at(m.equal)}.items()}})
+
+    numbers = features.select(*[F.col(n).cast("double").alias(n) for n in names])
+    parts = numbers.mapInArrow(summed, "left string, right string, n double, a double, b double, aa double, bb double, ab double, same double")
+    # means as distances from the pair's least, so that equal means are no distance apart
+    pair = Window.partitionBy("left", "right")
+    parts = parts.withColumns({c: F.col(c) - F.min(c).over(pair) for c in ("a", "b")})
+    n, s = F.sum("n"), lambda e: F.sum(F.expr(e))
+    t = parts.groupBy("left", "right").agg(
+        n.alias("n"), (s("same") / n).alias("equal"), (s("aa + n * a * a") - s("n * a") * s("n * a") / n).alias("aa"), (s("bb + n * b * b") - s("n * b") * s("n * b") / n).alias("bb"), (s("ab + n * a * b") - s("n * a") * s("n * b") / n).alias("ab")
+    )
+    t = t.select("left", "right", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("corr"), F.col("n").cast("long").alias("n"), "equal")
     return t.where((F.abs("corr") >= least) & (F.col("n") >= rows))
 
 
