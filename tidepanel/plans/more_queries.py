@@ -9,8 +9,8 @@ from tidepanel.operators import features as X
 from tidepanel.operators import gates as G
 from tidepanel.operators.quantiles import exact_quantiles
 from tidepanel.operators.ranking import ceiled_group, daily_rank
-from tidepanel.operators.returns import label
-from tidepanel.plans.adapter import actions, calendar, cells, panel, table, with_ctes
+from tidepanel.operators.returns import label, with_returns
+from tidepanel.plans.adapter import actions, calendar, cells, eventful, panel, table, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.cost_queries import band
 from tidepanel.plans.feature_queries import MONEY, r, rq
@@ -42,8 +42,10 @@ def a36(spark, d):
 
 @query("j23_long_horizons", with_ctes(("returns5", "returns40", "entries"), f"SELECT e.stock_id, e.date, {rq('a.adjusted', 'after_5')}, {rq('b.adjusted', 'after_40')} FROM entries e LEFT JOIN returns5 a ON a.stock_id = e.stock_id AND a.date = e.date LEFT JOIN returns40 b ON b.stock_id = e.stock_id AND b.date = e.date"))
 def j23(spark, d):
-    at = lambda h: returns(spark, d, h).select("stock_id", "date", r(F.col("adjusted"), f"after_{h}"))
-    return entries(spark, d).select("stock_id", "date").join(at(5), ["stock_id", "date"], "left").join(at(40), ["stock_id", "date"], "left")
+    after = {f"after_{h}": F.col(f"adjusted_{h}d") for h in (5, 40)}
+    # an entry carries its returns along from the panel that its score is made of
+    e = entries(spark, d, after, with_returns(eventful(spark, d), (5, 40)))
+    return e.select("stock_id", "date", *[r(F.col(c), c) for c in after])
 
 
 @query("j03_quotes_and_flows", with_ctes(("cells",), "SELECT q.stock_id, q.date, close, net FROM (SELECT stock_id, date, close FROM cells WHERE close > 0) q JOIN (SELECT stock_id, date, foreign_net + trust_net AS net FROM cells WHERE foreign_net <> 0) f ON f.stock_id = q.stock_id AND f.date = q.date"))

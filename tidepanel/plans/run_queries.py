@@ -18,12 +18,12 @@ FROM (SELECT stock_id, date, year, idx, pct, ret, idx - row_number() OVER (PARTI
 CTES["entries"] = (("runs",), "SELECT * FROM runs WHERE run_length = 2")
 
 
-def runs(spark, d):
-    return X.runs(ranked(spark, d).select("stock_id", "date", "year", "idx", "pct", "ret"), "pct", 70)
+def runs(spark, d, more: dict | None = None, days=None):
+    return X.runs(ranked(spark, d, more, days).select("stock_id", "date", "year", "idx", "pct", "ret", *(more or {})), "pct", 70)
 
 
-def entries(spark, d):
-    return runs(spark, d).where("run_length = 2")
+def entries(spark, d, more: dict | None = None, days=None):
+    return runs(spark, d, more, days).where("run_length = 2")
 
 
 @query("w15_w16_runs", with_ctes(("runs",), "SELECT stock_id, idx, run_length, episode_start, episode_end, episode_length FROM runs"))
