@@ -15,7 +15,7 @@ from tidepanel.plans.core import query
 from tidepanel.plans.cost_queries import band
 from tidepanel.plans.feature_queries import MONEY, r, rq
 from tidepanel.plans.ranking_queries import ranked, scores
-from tidepanel.plans.return_queries import returns
+from tidepanel.plans.return_queries import horizons, returns
 from tidepanel.plans.run_queries import entries, runs
 from tidepanel.sources import sinks as K
 
@@ -36,8 +36,8 @@ _LABEL = "CASE WHEN round(adjusted, 10) >= 0.05 THEN 'UP' WHEN round(adjusted, 1
 
 @query("a36_common_cohort", with_ctes(("returns5", "returns10", "returns40"), f"SELECT a.label AS label_5, b.label AS label_40, count(*) AS n FROM (SELECT stock_id, date, {_LABEL} AS label FROM returns5 WHERE status = 'ok') a JOIN (SELECT stock_id, date FROM returns10 WHERE status = 'ok') m USING (stock_id, date) JOIN (SELECT stock_id, date, {_LABEL} AS label FROM returns40 WHERE status = 'ok') b USING (stock_id, date) GROUP BY 1, 2"))
 def a36(spark, d):
-    ok = lambda h: returns(spark, d, h).where("status = 'ok'").select("stock_id", "date", F.col("label").alias(f"label_{h}"))
-    return ok(5).join(ok(10), ["stock_id", "date"]).join(ok(40), ["stock_id", "date"]).groupBy("label_5", "label_40").agg(F.count("*").alias("n"))
+    ok = horizons(spark, d, 5, 10, 40).where("status_5d = 'ok' and status_10d = 'ok' and status_40d = 'ok'")
+    return ok.groupBy(F.col("label_5d").alias("label_5"), F.col("label_40d").alias("label_40")).agg(F.count("*").alias("n"))
 
 
 @query("j23_long_horizons", with_ctes(("returns5", "returns40", "entries"), f"SELECT e.stock_id, e.date, {rq('a.adjusted', 'after_5')}, {rq('b.adjusted', 'after_40')} FROM entries e LEFT JOIN returns5 a ON a.stock_id = e.stock_id AND a.date = e.date LEFT JOIN returns40 b ON b.stock_id = e.stock_id AND b.date = e.date"))
