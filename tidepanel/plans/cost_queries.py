@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.operators import costs as X
+from tidepanel.operators.panel import dense_panel
 from tidepanel.operators.quantiles import exact_quantiles
-from tidepanel.plans.adapter import CTES, cells, with_ctes
+from tidepanel.plans.adapter import CTES, calendar, cells, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.feature_queries import r, rq
 from tidepanel.plans.ranking_queries import ranked
@@ -47,12 +48,19 @@ def w19(spark, d):
     return cells(spark, d).select("stock_id", "date", F.lead("date").over(X.own_rows()).alias("next_date"), r(F.lead("open").over(X.own_rows()), "next_open"), r(X.row_change(5), "change_5"), r(X.row_change(20), "change_20"))
 
 
+def costed(spark, d, more: dict | None = None):
+    """The ranked days with the deviation and ``more`` features of the security's own rows, which the panel carries along: nothing is joined."""
+    b = band(spark, d).withColumns(more or {})
+    names = ("deviation", *(more or {}))
+    return ranked(spark, d, {c: F.col(c) for c in names}, dense_panel(b, calendar(spark, d), names))
+
+
 CTES["risky"] = (("band", "ranked"), "SELECT s.stock_id, s.date, s.year, s.ret, s.pct, deviation FROM ranked s JOIN band b ON b.stock_id = s.stock_id AND b.date = s.date WHERE pct > 60")
 
 
 def risky(spark, d):
     """Days of high scores with the deviation from the cost band (J20: the features joined to the event)."""
-    return ranked(spark, d).where("pct > 60").select("stock_id", "date", "year", "ret", "pct").join(band(spark, d).select("stock_id", "date", "deviation"), ["stock_id", "date"])
+    return costed(spark, d).where("pct > 60").select("stock_id", "date", "year", "ret", "pct", "deviation")
 
 
 @query("j20_event_costs", with_ctes(("risky",), f"SELECT stock_id, date, {rq('ret', 'ret')}, {rq('deviation', 'deviation')} FROM risky"))
@@ -71,7 +79,7 @@ _Q = "list_sort(list_distinct(quantile_cont(deviation, [0.0, 0.2, 0.4, 0.6, 0.8,
 
 @query("a41_quintiles", with_ctes(("risky",), f", e AS (SELECT {_Q} AS q FROM risky) SELECT (len(list_filter(q[2:len(q) - 1], lambda x: x < deviation)) + 1)::INTEGER AS quintile, count(*) AS n, {rq('avg(ret)', 'mean')} FROM risky, e WHERE deviation IS NOT NULL GROUP BY 1"))
 def a41q(spark, d):
-    s = risky(spark, d).where("deviation is not null")
+    s = risky(spark, d).where("deviation is not null").select("ret", "deviation").persist()  # two numbers a row, read three times
     edges = exact_quantiles(s, "deviation", _FIFTHS).select(F.array_sort(F.array_distinct("q")).alias("q"))
     return s.crossJoin(F.broadcast(edges)).groupBy(X.quantile_groups(F.col("deviation"), F.col("q")).alias("quintile")).agg(F.count("*").alias("n"), r(F.avg("ret"), "mean"))
 
@@ -94,8 +102,8 @@ WHERE deviation IS NOT NULL AND back IS NOT NULL AND place IS NOT NULL AND (peri
 def a43(spark, d):
     """Far above cost and risen fast or high in its range, against the rest; at least 20 rows on both sides."""
     # one frame by security and date serves the cost band, the change and the range
-    c = band(spark, d).select("stock_id", "date", (F.col("deviation") / 100).alias("deviation"), X.row_change(5).alias("back"), X.range_position(20).alias("place"))
-    s = ranked(spark, d).where("pct > 60").select("stock_id", "date", "year", "ret").join(c, ["stock_id", "date"])
+    s = costed(spark, d, {"back": X.row_change(5), "range": X.range_position(20)}).where("pct > 60")
+    s = s.select("year", "ret", (F.col("deviation") / 100).alias("deviation"), "back", F.col("range").alias("place"))
     return X.overheat_grid(s, F.array(F.lit("all"), F.when(F.col("year") > 1996, "late")), "ret").select("period", "least_deviation", "least_return", "least_place", "n", "hot", *[r(F.col(k), k) for k in ("hot_mean", "normal_mean", "difference")])
 
 
