@@ -86,7 +86,7 @@ def a41q(spark, d):
 
 @query("a42_yearly_high_minus_low", with_ctes(("risky",), f", e AS (SELECT year, {_Q} AS q FROM risky WHERE deviation IS NOT NULL GROUP BY 1) SELECT year, {rq('avg(ret) FILTER (WHERE g = 5) - avg(ret) FILTER (WHERE g = 1)', 'high_minus_low')} FROM (SELECT r.year, ret, len(list_filter(q[2:len(q) - 1], lambda x: x < deviation)) + 1 AS g FROM risky r JOIN e ON e.year = r.year WHERE deviation IS NOT NULL) GROUP BY 1"))
 def a42(spark, d):
-    s = risky(spark, d).where("deviation is not null")
+    s = risky(spark, d).where("deviation is not null").select("year", "ret", "deviation").persist()  # read three times
     edges = exact_quantiles(s, "deviation", _FIFTHS, ("year",)).select("year", F.array_sort(F.array_distinct("q")).alias("q"))
     g = s.join(F.broadcast(edges), "year").withColumn("g", X.quantile_groups(F.col("deviation"), F.col("q")))  # a row per year
     return g.groupBy("year").agg(r(F.avg(F.when(F.col("g") == 5, F.col("ret"))) - F.avg(F.when(F.col("g") == 1, F.col("ret"))), "high_minus_low"))
