@@ -28,7 +28,7 @@ def profiles(features: DataFrame, names: list[str]) -> DataFrame:
     v = F.col("value")
     ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     x, infinite = F.when(ok, v), F.lit(float("inf"))
-    long = long_form(features, [], names)
+    long = long_form(features.select(*names).persist(), [], names)  # the features are read four times, only their numbers are kept
     by = long.groupBy("feature").agg(
         F.count("*").alias("rows"), F.count(x).alias("valid"), F.count_if(v.isNull() | F.isnan(v)).alias("missing"), F.count_if(v == infinite).alias("above_all"), F.count_if(v == -infinite).alias("below_all"), F.count_if(x == 0).alias("zeros"),
         F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"), F.count_if(F.abs(x) > 100).alias("over_100"), F.count_if(F.abs(x) > 1000).alias("over_1000"),
