@@ -15,7 +15,7 @@ from tidepanel.plans.core import query
 from tidepanel.plans.cost_queries import band
 from tidepanel.plans.feature_queries import MONEY, r, rq
 from tidepanel.plans.ranking_queries import ranked, scores
-from tidepanel.plans.return_queries import horizons, returns
+from tidepanel.plans.return_queries import horizons
 from tidepanel.plans.run_queries import entries, runs
 from tidepanel.sources import sinks as K
 
@@ -184,9 +184,8 @@ def m19(spark, d):
 
 @query("a13_label_direction", with_ctes(("feats", "returns10"), f"SELECT {_LABEL} AS label, count(*) AS n, {rq('avg(total_net_20)', 'mean')}, {rq('median(total_net_20)', 'median')}, {rq('stddev_pop(total_net_20)', 'std')} FROM returns10 x JOIN feats f ON f.stock_id = x.stock_id AND f.date = x.date WHERE status = 'ok' GROUP BY 1"))
 def a13(spark, d):
-    from tidepanel.plans.audit_queries import feats
-
-    x = returns(spark, d, 10).where("status = 'ok'").select("stock_id", "date", "label").join(feats(spark, d).select("stock_id", "date", "total_net_20"), ["stock_id", "date"])
+    x = horizons(spark, d, 10, more={"total_net_20": X.flow_share("total_net", 20)}).where("status_10d = 'ok'")
+    x = x.select(F.col("label_10d").alias("label"), "total_net_20").persist()  # a label and a number a row, read three times
     middle = exact_quantiles(x, "total_net_20", [0.5], ("label",)).select("label", r(F.get("q", F.lit(0)), "median"))  # a row per label
     return x.groupBy("label").agg(F.count("*").alias("n"), r(F.avg("total_net_20"), "mean"), r(F.stddev_pop("total_net_20"), "std")).join(F.broadcast(middle), "label", "left")
 
