@@ -14,7 +14,7 @@ from tidepanel.plans.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["m01_sample_rows", "a11_correlations", "j23_long_horizons", "a36_common_cohort", "a41_quintiles", "a43_overheat_grid", "a42_yearly_high_minus_low", "a09_a10_feature_profiles", "a13_label_direction"])
+@pytest.mark.parametrize("name", ["m01_sample_rows", "a11_correlations", "j23_long_horizons", "a36_common_cohort", "a41_quintiles", "a43_overheat_grid", "a42_yearly_high_minus_low", "a09_a10_feature_profiles", "a13_label_direction", "j19_a53_rule_star"])
 def test_one_deal_of_the_lines(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().toString()
     assert plan.count("RepartitionByExpression") <= 1
@@ -65,3 +65,9 @@ def test_median_and_zero_run_of_a_frame(spark):
     got = df.select(features.trailing_median("v", 4).alias("m"), F.percentile("v", F.lit(0.5)).over(w).alias("p"), features.longest_zero_run("v", 4).alias("z")).orderBy("idx").collect()
     assert [str(r["m"]) for r in got] == [str(r["p"]) for r in got]
     assert [r["z"] for r in got] == [1, 1, 2, 2, 1, 1, 2, 2, 2, 1, 0, 1, 1, 1, 1, 0]
+
+
+def test_a_high_day_ahead_is_a_row_of_the_runs(spark):
+    scores = spark.createDataFrame([("1", i, 80.0 if i in (0, 1, 20, 22) else 10.0) for i in range(30)], "stock_id string, idx long, pct double")
+    got = runs.runs(scores, "pct", 70).withColumn("ahead", runs.score_days_ahead("pct", 20)).where("ahead is not null").collect()
+    assert [r["idx"] for r in got] == [0]

@@ -10,6 +10,7 @@ from tidepanel.operators import gates as G
 from tidepanel.operators.quantiles import exact_quantiles
 from tidepanel.operators.ranking import ceiled_group, daily_rank
 from tidepanel.operators.returns import label, with_returns
+from tidepanel.operators.runs import score_days_ahead
 from tidepanel.plans.adapter import actions, calendar, cells, eventful, panel, table, with_ctes
 from tidepanel.plans.core import query
 from tidepanel.plans.cost_queries import band
@@ -130,11 +131,10 @@ def c18(spark, d):
 x AS (SELECT rule, count(*) FILTER (WHERE b.pct >= 70) AS extended FROM e LEFT JOIN ranked b ON b.stock_id = e.stock_id AND b.idx = e.idx + 20 GROUP BY 1)
 SELECT e.rule, count(*) AS events, {rq('avg(ret)', 'mean')}, any_value(years) AS years, any_value(good_years) AS good_years, any_value(extended) AS extended FROM e JOIN y ON y.rule = e.rule JOIN x ON x.rule = e.rule GROUP BY 1"""))
 def j19(spark, d):
-    e = runs(spark, d).where("run_length in (1, 2, 3)").select(F.col("run_length").alias("rule"), "year", "stock_id", "idx", "ret")
-    y = e.groupBy("rule", "year").agg(F.avg("ret").alias("m")).groupBy("rule").agg(F.count("*").alias("years"), F.count_if(F.col("m") > 0).alias("good_years"))
-    later = ranked(spark, d).where("pct >= 70").select("stock_id", (F.col("idx") - 20).alias("idx"), F.lit(1).alias("hit"))
-    x = e.join(later, ["stock_id", "idx"], "left").groupBy("rule").agg(F.count("hit").alias("extended"))
-    return e.groupBy("rule").agg(F.count("*").alias("events"), r(F.avg("ret"), "mean")).join(y, "rule").join(x, "rule")
+    # a run's rows are the high days, so the day 20 ahead is high if it is among them; a year of a rule holds all that the star needs
+    e = runs(spark, d).withColumn("ahead", score_days_ahead("pct", 20)).where("run_length in (1, 2, 3)")
+    y = e.groupBy(F.col("run_length").alias("rule"), "year").agg(F.count("*").alias("n"), F.count("ret").alias("k"), F.sum("ret").alias("s"), F.avg("ret").alias("m"), F.count("ahead").alias("hits"))
+    return y.groupBy("rule").agg(F.sum("n").alias("events"), r(F.try_divide(F.sum("s"), F.sum("k")), "mean"), F.count("*").alias("years"), F.count_if(F.col("m") > 0).alias("good_years"), F.sum("hits").alias("extended"))
 
 
 @query("t04_best_candidate", with_ctes(("runs",), "SELECT year, rule FROM (SELECT year, run_length AS rule, row_number() OVER (PARTITION BY year ORDER BY round(avg(ret), 9) DESC, run_length) AS n FROM runs WHERE run_length <= 5 GROUP BY 1, 2) WHERE n = 1"))
