@@ -14,7 +14,7 @@ from tidepanel.plans.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["m01_sample_rows", "a11_correlations", "j23_long_horizons", "a36_common_cohort", "a41_quintiles", "a43_overheat_grid", "a42_yearly_high_minus_low", "a09_a10_feature_profiles", "a13_label_direction", "j19_a53_rule_star"])
+@pytest.mark.parametrize("name", ["m01_sample_rows", "a11_correlations", "j23_long_horizons", "a36_common_cohort", "a41_quintiles", "a42_yearly_high_minus_low", "a43_overheat_grid", "a09_a10_feature_profiles", "a13_label_direction", "j19_a53_rule_star"])
 def test_one_deal_of_the_lines(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().withCachedData().toString()
     assert plan.count("RepartitionByExpression") <= 1
