@@ -47,6 +47,31 @@ def test_dispatch_in_one_order_equals_dispatch_by_user(spark):
     assert N.dispatch_unsent(notes, who.where(F.lit(False)), scores).count() == 0
 
 
+def test_dispatch_deals_its_product_to_many_tasks(spark):
+    from pyspark.sql import functions as F
+    from tidepanel.operators import notify as N
+
+    notes = spark.range(300).selectExpr("'tpex' AS market", "lpad(id, 6, '0') AS stock_id", "id AS idx", "id AS start_idx", "'DAY20_EXTEND' AS type", "'STATE_UPDATE' AS class", "80 + id % 20 / 1.0D AS percentile")
+    who = spark.range(0, 200, 1, 1).selectExpr("id AS user_id", "true AS enabled", "1 AS max_new", "true AS wants_updates")
+    sent = N.dispatch_unsent(notes, who)
+    by_task = [r["count"] for r in sent.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(by_task) == 300 * 200 and len(by_task) >= 4 and max(by_task) <= sum(by_task) / 2
+    assert sent.groupBy("user_id").agg(F.count_distinct("position").alias("n"), F.max("position").alias("last")).where("n <> 300 OR last <> 300").count() == 0
+
+
+def test_dealt_product_is_cut_by_rows_and_keeps_pairs(spark, monkeypatch):
+    from tidepanel.operators import notify as N
+
+    left, right = spark.range(50).selectExpr("id AS a"), spark.range(40).selectExpr("id AS b")
+    monkeypatch.setattr(N, "TASK_ROWS", 100)
+    got = N.dealt_product(left, right, "b", (50, 40))
+    assert got.rdd.getNumPartitions() >= 2000 / 100
+    assert sorted(tuple(r) for r in got.collect()) == [(a, b) for a in range(50) for b in range(40)]
+    for none in (left.where("a < 0"), right.where("b < 0")):
+        sides = (none, right, "b", (0, 40)) if "a" in none.columns else (left, none, "b", (50, 0))
+        assert N.dealt_product(*sides).count() == 0
+
+
 def test_target_dates_follow_the_cutoff(spark):
     from tidepanel.operators.updates import target_dates
 
