@@ -1,6 +1,11 @@
 """Queries over the panel make it once: lines are dealt by security a single time, and pairs are not listed row by row."""
 
+import builtins
+import dis
+import importlib
 import math
+import pkgutil
+import types
 from datetime import date, timedelta
 from itertools import combinations
 
@@ -8,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import tidepanel
 from tidepanel.operators import audit, features, returns, runs
 from tidepanel.plans.registry import QUERIES
 
@@ -20,6 +26,31 @@ def test_one_deal_of_the_lines(spark, name):
     assert plan.count("RepartitionByExpression") <= 1
 
 
+def test_functions_know_the_names_they_use():
+    """A query is made only when it is asked for; a name that its module lost is an error only then."""
+
+    def read(code):
+        yield from (i.argval for i in dis.get_instructions(code) if i.opname == "LOAD_GLOBAL")
+        for inner in code.co_consts:
+            if isinstance(inner, types.CodeType):
+                yield from read(inner)
+
+    for m in pkgutil.walk_packages(tidepanel.__path__, "tidepanel."):
+        module = importlib.import_module(m.name)
+        with open(module.__file__) as f:
+            unknown = {n for n in read(compile(f.read(), module.__file__, "exec")) if not hasattr(module, n) and not hasattr(builtins, n)}
+        assert not unknown, (m.name, unknown)
+
+
+def test_eligible_days_are_those_with_a_label(spark):
+    got = {r["label"]: (r["n"], r["mean"]) for r in QUERIES["f16_horizon_eligibility"](spark, SF).collect()}
+    days = [r for r in QUERIES["w23_forward_return_10"](spark, SF).collect() if r["label"]]
+    assert got.keys() == {r["label"] for r in days} and len(got) == 3
+    for kind, (n, mean) in got.items():
+        own = [r["adjusted"] for r in days if r["label"] == kind]
+        assert n == len(own) and mean == pytest.approx(sum(own) / n, abs=2e-6)
+
+
 def test_pairs_of_features_are_not_rows(spark):
     plan = QUERIES["a11_correlations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1  # the panel's days

@@ -9,7 +9,7 @@ from tidepanel.operators import features as X
 from tidepanel.operators import gates as G
 from tidepanel.operators.quantiles import exact_quantiles
 from tidepanel.operators.ranking import ceiled_group, daily_rank
-from tidepanel.operators.returns import label, with_returns
+from tidepanel.operators.returns import with_returns
 from tidepanel.operators.runs import score_days_ahead
 from tidepanel.plans.adapter import actions, calendar, cells, eventful, panel, table, with_ctes
 from tidepanel.plans.core import query
@@ -92,7 +92,8 @@ def f11(spark, d):
 
 @query("f16_horizon_eligibility", with_ctes(("returns10",), f"SELECT {_LABEL} AS label, count(*) AS n, {rq('avg(adjusted)', 'mean')} FROM returns10 WHERE {_LABEL} IN ('UP', 'DOWN', 'FLAT') GROUP BY 1"))
 def f16(spark, d):
-    return returns(spark, d, 10).where(F.col("label").isin("UP", "DOWN", "FLAT")).groupBy(label(F.col("adjusted")).alias("label")).agg(F.count("*").alias("n"), r(F.avg("adjusted"), "mean"))
+    eligible = horizons(spark, d, 10).where(F.col("label_10d").isin("UP", "DOWN", "FLAT"))
+    return eligible.groupBy(F.col("label_10d").alias("label")).agg(F.count("*").alias("n"), r(F.avg("adjusted_10d"), "mean"))
 
 
 @query("f17_download_complete", "SELECT user_id, bool_and(done) AS complete FROM (SELECT user_id, event_type, min(ts) <= TIMESTAMP '2024-01-10' AND max(ts) >= TIMESTAMP '2024-01-20' AS done FROM events GROUP BY 1, 2) GROUP BY 1")
