@@ -72,6 +72,22 @@ def test_dealt_product_is_cut_by_rows_and_keeps_pairs(spark, monkeypatch):
         assert N.dealt_product(*sides).count() == 0
 
 
+def test_dealt_product_goes_round_few_right_rows(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+    from tidepanel.operators import notify as N
+
+    left, right = spark.range(120).selectExpr("id AS a"), spark.range(0, 26_000, 1, 1).selectExpr("id * 7 AS b")
+    monkeypatch.setattr(N, "TASK_ROWS", 120_000)
+    got = N.dealt_product(left, right, "b", (120, 26_000))
+    rounds = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("b").alias("right")).collect()
+    assert sum(r["n"] for r in rounds) == 120 * 26_000 and max(r["right"] for r in rounds) <= 1.5 * N.PART_ROWS
+    got.write.parquet(f"{tmp_path}/product")
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("product/*.parquet")]
+    stored = sum(m.row_group(g).column(1).total_compressed_size for m in files for g in range(m.num_row_groups))
+    assert stored < 0.8 * 120 * 26_000  # bytes for b, of which a row's number takes ten bits
+
+
 def test_target_dates_follow_the_cutoff(spark):
     from tidepanel.operators.updates import target_dates
 
